@@ -5,7 +5,8 @@ within tau edits, some segment i of the shorter has no edit, exactly i - 1 edits
 tau + 1 - i after it. So the longer line has that segment at a shift s with |s| <= i - 1 and |s - d| <= tau + 1 - i,
 d being the difference of lengths. Segments and those substrings, hashed with their number and the length, are the
 index and the probes. What is left of two such lines once the shared segment is removed is again within tau edits,
-so a key that gathers many lines is refined by the signatures of the rests: exact, and no group is paired off whole.
+so keys are refined by the signatures of the rests before lines are paired: exact, and a group of lines that merely share
+a passage is not paired off.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpoint, components, id_key, small_side, string_or_empty
 
-#: A key whose lines make more pairs than this is refined, at most REFINE times.
-HOT_PAIRS, REFINE = 64, 3
+#: Times that keys are refined by the rests of their lines.
+REFINE = 2
 SALTS = 16
 
 
@@ -105,6 +106,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def _live(rows: DataFrame) -> DataFrame:
+    """rows, signed, under keys that hold two different lines, one of them indexed; told by two numbers a key."""
+    keys = rows.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("probe").alias("p")).where("a != b and p = 0").select("key")
+    keys = checkpoint(keys)
+    return rows.join(small_side(keys, keys.count()), "key", "left_semi")
+
+
 def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """(u, v): the pairs of different lines within tau edits, u < v, each a struct (owner, h1, h2).
 
@@ -112,33 +120,13 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """
     if min_chars < 4 * (tau + 1):
         raise ValueError("min_chars must be at least 4 * (tau + 1)")
-    distinct = lines.groupBy("line", "h1", "h2").agg(F.min("doc").alias("owner"))
-    packed = (
-        signed(distinct.select("line"), "line", tau, min_chars)
-        .groupBy("key")
-        .agg(F.sum(F.when(F.col("probe") == 0, F.lit(1).cast("long")).otherwise(F.lit(1 << 32).cast("long"))).alias("n"))
-        .where(f"n % {1 << 32} >= 2 or (n % {1 << 32} = 1 and n > {1 << 32})")
-        .select("key")
-    )
-    live = checkpoint(packed)
-    rows = signed(lines, "line", tau, min_chars).join(small_side(live, live.count()), "key", "left_semi")
-    rows = rows.groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
-    rows = checkpoint(rows.withColumn("rest", F.concat(F.expr("substring(line, 1, at - 1)"), F.expr("substring(line, at + width)"))).drop("at", "width"))
-    owners = rows.groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
-    rows = rows.drop("owner").join(owners, ["h1", "h2"])
-    pairs = None
-    for level in range(REFINE + 1):
-        if level == REFINE:
-            found = _pairs(rows)
-        else:
-            sizes = rows.groupBy("key").agg(F.sum(1 - F.col("probe")).alias("ni"), F.count(F.lit(1)).alias("na"))
-            sized = checkpoint(rows.join(sizes.where("ni >= 1 and na >= 2").withColumn("hot", F.expr(f"ni * na > {HOT_PAIRS}")).select("key", "hot"), "key"))
-            found = _pairs(sized.where("not hot"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if level == REFINE or (hot := sized.where("hot")).isEmpty():
-            break
-        again = signed(hot.select("owner", "h1", "h2", "line", F.col("rest").alias("old"), "key"), "old", tau, 1, "key")
-        rows = again.withColumn("rest", F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)"))).drop("old", "at", "width").distinct()
+    rest = F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)")).alias("rest")
+    rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
+    rows = rows.withColumn("old", F.col("line"))
+    for _ in range(REFINE):
+        rows = checkpoint(rows.select("owner", "h1", "h2", "line", "key", rest).distinct())
+        rows = _live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
+    pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "line").distinct())
     close = pairs.dropDuplicates(["u", "v"]).where(F.abs(F.char_length("x") - F.char_length("y")) <= tau)
     return close.where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
@@ -178,12 +166,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
     goes = ~((F.col("first") == F.col("doc")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
-    told = (
-        met.groupBy("doc", "h1", "h2", "line", "links", "first")
-        .agg(F.first(goes).alias("goes"))
-        .groupBy(F.col("doc").alias("_doc"))
-        .agg(F.collect_set(F.when(F.col("goes"), F.concat(F.lit(":"), "line"))).alias("_gone"), F.sum("links").alias("n_links"), F.min("first").alias("_first"))
-    )
+    gone = F.collect_set(F.when(goes, F.concat(F.lit(":"), "line")))
+    told = met.groupBy(F.col("doc").alias("_doc")).agg(gone.alias("_gone"), F.sum("links").alias("n_links"), F.min("first").alias("_first"))
     tagged = F.transform("_lines", lambda x, i: F.concat(F.when(F.char_length(x) < min_chars, i.cast("string")).otherwise(""), F.lit(":"), x))
     out = base.join(told, "_doc", "left").withColumn("_tagged", F.array_except(tagged, F.coalesce("_gone", F.array().cast("array<string>"))))
     first = F.least("_doc", F.coalesce("_first", "_doc"))
