@@ -95,11 +95,16 @@ def signed(rows: DataFrame, text: str, tau: int, shortest: int, salt: str | None
     return out.select(*kept, "_one.*").where("key is not null")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different lines under a key of which one is indexed; rows: (key, probe, owner, h1, h2, line)."""
+def _pairs(rows: DataFrame, tau: int) -> DataFrame:
+    """Pairs of different lines under a key of which one is indexed; rows: (key, probe, owner, h1, h2, line).
+
+    A bound on lengths and a banded distance are conditions of the join itself, so that a group of lines that share a
+    passage but are not alike puts out no pairs; bounded_edit_distance() then verifies what is left.
+    """
     a = rows.where("probe = 0").select("key", F.struct("owner", "h1", "h2").alias("a"), F.col("line").alias("line_a"))
     b = rows.select("key", "probe", F.struct("owner", "h1", "h2").alias("b"), F.col("line").alias("line_b"))
-    met = a.join(b, "key").where("a != b and (probe = 1 or a < b)")
+    met = a.join(b, "key").where("a != b and (probe = 1 or a < b)").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
+    met = met.where(F.levenshtein("line_a", "line_b", tau) >= 0)
     low = F.least("a", "b")
     return met.select(
         low.alias("u"), F.greatest("a", "b").alias("v"), F.when(low == F.col("a"), F.col("line_a")).otherwise(F.col("line_b")).alias("x"), F.when(low == F.col("a"), F.col("line_b")).otherwise(F.col("line_a")).alias("y")
@@ -126,9 +131,8 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     for _ in range(REFINE):
         rows = checkpoint(rows.select("owner", "h1", "h2", "line", "key", rest).distinct())
         rows = _live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
-    pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "line").distinct())
-    close = pairs.dropDuplicates(["u", "v"]).where(F.abs(F.char_length("x") - F.char_length("y")) <= tau)
-    return close.where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
+    pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "line").distinct(), tau)
+    return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24) -> DataFrame:
