@@ -1,4 +1,5 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the sales analytics and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
