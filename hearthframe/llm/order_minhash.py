@@ -22,6 +22,7 @@ K, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 16, 3
 #: Lower-cases A-Z; what is no digit, letter or character beyond ASCII parts words.
 WORD_BYTES = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
+AT_ONCE, PARITY = 1 << 20, 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,16 +60,25 @@ def sketches(marks: np.ndarray, count: int = SKETCHES, kept: int = KEPT) -> np.n
     """count 64-bit keys, each of the kept least labelled k-mers of one hash function in text order."""
     if not len(marks):
         return np.zeros(0, np.int64)
-    kept, out = min(kept, len(marks)), np.empty(count, np.uint64)
+    kept, out = min(kept, len(marks)), []
+    at_once = max(1, AT_ONCE // len(marks))  # hash functions, so that a long text takes bounded memory
     with np.errstate(over="ignore"):
-        for j in range(count):
-            hashed = _mix(marks ^ _mix(np.array([j + 1], np.uint64) * U(0x9E3779B97F4A7C15)))
-            least = np.sort(np.argpartition(hashed, kept - 1)[:kept])
-            key = np.array([j], np.uint64)
-            for x in marks[least]:
-                key = _mix(key * U(0x9E3779B97F4A7C15) + x)
-            out[j] = key[0]
-    return out.view(np.int64)
+        for low in range(0, count, at_once):
+            seeds = np.arange(low, min(count, low + at_once), dtype=np.uint64)
+            hashed = _mix(marks[None, :] ^ _mix((seeds + U(1)) * U(0x9E3779B97F4A7C15))[:, None])
+            least = np.sort(np.argpartition(hashed, kept - 1, axis=1)[:, :kept], axis=1)
+            key = seeds
+            for i in range(kept):
+                key = _mix(key * U(0x9E3779B97F4A7C15) + marks[least[:, i]])
+            out.append(key)
+    return np.concatenate(out).view(np.int64)
+
+
+def parity(marks: np.ndarray) -> list[int]:
+    """PARITY longs of bits, each the parity of the labelled k-mers that hash to it: two texts differ in at most as many
+    bits as in labelled k-mers."""
+    odd = np.bincount((marks >> U(17)) % U(64 * PARITY), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -115,9 +125,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, class_id, keep): class_id is the least id of the row's class, keep true for one row of it.
 
-    Equal texts are one node, linked without being paired. Candidates are first paired with the least node of their
-    sketch; then all those are paired that share a sketch but are not yet in one class, so that classes are the same as
-    if every candidate pair had been verified, while a large group of copies makes few pairs. Texts without words have
+    Equal texts are one node, linked without being paired. Candidates are first paired with the centre of their sketch,
+    the node whose sketches are the most shared: the text that the others were copied from, in a large group. Then all
+    those are paired that share a sketch but are not yet in one class, so that classes are the same as if every
+    candidate pair had been verified, while a large group of copies makes few pairs. Texts without words have
     equal ones only for partners. Null text: as empty. Rows that share an id, null included, are one node and all kept
     or dropped together; null ids come last, and class_id is null if all ids of a class are.
     """
@@ -126,25 +137,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["h1", "h2"]].assign(keys=[sketches(kmers(t)) for t in batch["text"]])
+            marks = [kmers(t) for t in batch["text"]]
+            yield batch[["h1", "h2"]].assign(n=[len(m) for m in marks], keys=[sketches(m) for m in marks], bits=[parity(m) for m in marks])
 
-    signs = base.select("h1", "h2", "text").mapInPandas(sketched, "h1 long, h2 long, keys array<long>")
-    signs = signs.select("h1", "h2", F.explode("keys").alias("key")).distinct().join(nodes, ["h1", "h2"]).select("key", "node")
-    groups = signs.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    signs = base.select("h1", "h2", "text").mapInPandas(sketched, "h1 long, h2 long, n long, keys array<long>, bits array<long>")
+    marks = checkpoint(signs.dropDuplicates(["h1", "h2"]).join(nodes, ["h1", "h2"]).select("node", "n", "keys", *[F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)]))
+    signs = marks.select("node", F.explode("keys").alias("key"))
+    groups = signs.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "size")
     groups = checkpoint(groups)
-    members = checkpoint(signs.join(small_side(groups, groups.count()), "key").select("key", "low", "node"))
+    members = checkpoint(signs.join(small_side(groups, groups.count()), "key").select("key", "node", "size"))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    centres = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
+    star = members.join(centres, "key").where("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    star = checkpoint(star)
     wanted = checkpoint(members.select("node").distinct())
     of_node = base.select("doc", "text", "h1", "h2").join(small_side(wanted, wanted.count()), F.col("doc") == F.col("node")).join(nodes.select("node", F.col("h1").alias("n1"), F.col("h2").alias("n2")), "node")
     texts = of_node.where("h1 = n1 and h2 = n2").dropDuplicates(["node"]).select("node", "text")
 
-    star = members.where("node != low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
     edges = checkpoint(_verified(star, texts, least))
     labels = components(edges) if not edges.isEmpty() else edges.selectExpr("u as node", "v as label")
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     apart = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    placed = checkpoint(placed.join(apart, "key"))
-    left, right = placed.select("key", F.col("node").alias("u"), F.col("label").alias("lu")), placed.select("key", F.col("node").alias("v"), F.col("label").alias("lv"))
-    rest = left.join(right, "key").where("u < v and lu != lv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    placed = checkpoint(placed.join(apart, "key").join(marks.drop("keys"), "node"))
+    left, right = (placed.select("key", *[F.col(c).alias(c + x) for c in placed.columns if c != "key"]) for x in ("_u", "_v"))
+    # bounds that no similar pair breaks, as conditions of the join: pairs within a large group that are not alike stay in it
+    differ = sum((F.bit_count(F.col(f"b{i}_u").bitwiseXOR(F.col(f"b{i}_v"))) for i in range(PARITY)), F.lit(0))
+    alike = (F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v")) & (differ <= (F.col("n_u") + F.col("n_v")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6))
+    met = left.join(right, "key").where("node_u < node_v and label_u != label_v").where(alike)
+    rest = met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
     found = checkpoint(_verified(rest, texts, least))
     if not found.isEmpty():
         labels = components(edges.unionAll(found))
