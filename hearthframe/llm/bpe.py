@@ -173,7 +173,7 @@ def encode_words(words: DataFrame, path: str, word_col: str = "word") -> DataFra
             return F.try_element_at(F.get(ranks, (F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("int")) % F.lit(BUCKETS)), x)
 
         def step(parts: Column, _: Column) -> Column:
-            near = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.size(parts)), F.concat)
+            near = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.size(parts)), lambda x, y: F.concat(x, y))
             best = F.array_min(F.filter(F.transform(near, lambda x, i: F.struct(rank(x).alias("r"), i.alias("i"))), lambda x: x["r"].isNotNull()))
 
             def merge(b: Column) -> Column:

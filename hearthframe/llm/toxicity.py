@@ -46,7 +46,8 @@ class OrdinalModel:
     def at_least(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k = 1..K."""
         z = sum(self.weights[f] for f in features(text) if f in self.weights)
-        return 1 / (1 + np.exp(np.clip(self.thresholds - z, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(self.thresholds - z))
 
 
 def fit_thresholds(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 0.1, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
