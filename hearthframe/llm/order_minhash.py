@@ -22,7 +22,7 @@ K, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 16, 3
 #: Lower-cases A-Z; what is no digit, letter or character beyond ASCII parts words.
 WORD_BYTES = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
-AT_ONCE, PARITY = 1 << 20, 8
+AT_ONCE, PARITY = 1 << 20, 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
