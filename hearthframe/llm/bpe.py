@@ -104,6 +104,20 @@ class Words(dict):
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+class Lengths(dict):
+    """word -> how many ids it has, made when first asked for; bounded."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = out = len(fold_word(self.ranks, word.encode()))
+        return out
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> tuple[Words, "regex.Pattern"]:
     """The task's table of words and the compiled pattern."""
@@ -148,8 +162,10 @@ def count_docs(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     """(n_tokens) of each row of docs; null text has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, split = tokenizer(path, pattern)
+        lengths = Lengths(words.ranks)
         for batch in batches:
-            yield pd.DataFrame({"n_tokens": [sum([len(x[0]) for x in encode_text(t if isinstance(t, str) else "", path, pattern)]) for t in batch[text_col]]}, dtype="int64")
+            yield pd.DataFrame({"n_tokens": [sum(map(lengths.__getitem__, split.findall(t))) if isinstance(t, str) else 0 for t in batch[text_col]]}, dtype="int64")
 
     return docs.select(text_col).mapInPandas(run, "n_tokens long")
 

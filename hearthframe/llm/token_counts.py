@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import count_docs
+from .common import checkpoint
 
 
 def length_histogram(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -19,9 +20,10 @@ def context_limits(histogram: DataFrame, block: int = 1024) -> DataFrame:
 
     docs_within, tokens_within: documents of at most that length and their tokens; docs_over, tokens_over: the longer
     ones; tokens_truncated: all tokens when every document is cut at the limit; quantile: share of documents within.
-    Sums go over blocks of lengths first, so that no window spans them all.
+    Sums go over blocks of lengths first, so that no window spans them all. The histogram is read twice, so it is
+    cut in the shared folder and documents are encoded once.
     """
-    blocked = histogram.withColumn("block", F.floor(F.col("length") / block))
+    blocked = checkpoint(histogram).withColumn("block", F.floor(F.col("length") / block))
     blocks = blocked.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     over = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)  # a row per block of lengths
     whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
