@@ -72,27 +72,36 @@ def bounded_edit_distance(a: Column, b: Column, tau: int) -> Column:
     return F.get(F.transform(F.array(chars), scan), F.lit(0))
 
 
+def _probes(tau: int) -> list[tuple[int, int, int]]:
+    """(i, delta, s): a line's segment i, cut as for a line delta characters shorter, looked for at shift s."""
+    return [(i, delta, s) for i in range(1, tau + 2) for delta in range(tau + 1) for s in range(-(i - 1), i) if abs(s - delta) <= tau + 1 - i]
+
+
 def signed(rows: DataFrame, text: str, tau: int, shortest: int, salt: str | None = None) -> DataFrame:
-    """rows with key, probe, at and width: the segments of the text, and what it must be probed for; at is from 1.
+    """rows with key, probe (0: indexed), nth (of _probes) and chars, a row for each segment and substring of the text.
 
-    The array is a projection of its own below an outer explode, so that it is made once, in generated code.
+    The keys are an array of numbers, a projection of its own below an outer explode: made once, in generated code.
     """
-    made = []
-    for i in range(1, tau + 2):
-        for delta in range(tau + 1):
-            size = F.col("_chars") - F.lit(delta)
-            begin = F.expr(f"cast(((_chars - {delta}) * {i - 1}) div {tau + 1} as int)")
-            width = F.expr(f"cast(((_chars - {delta}) * {i}) div {tau + 1} as int)") - begin
-            for s in range(-(i - 1), i):
-                if abs(s - delta) > tau + 1 - i:
-                    continue
-                at = begin + F.lit(s + 1)
-                key = F.xxhash64(*([F.col(salt)] if salt else []), F.lit(i), size, F.substring(F.col(text), at, width))
-                made.append(F.struct(F.when(size >= shortest, key).alias("key"), F.lit(int(bool(s or delta))).alias("probe"), at.alias("at"), width.alias("width")))
+    probes, made = _probes(tau), []
+    for i, delta, s in probes:
+        size = F.col("chars") - F.lit(delta)
+        begin = F.expr(f"cast(((chars - {delta}) * {i - 1}) div {tau + 1} as int)")
+        width = F.expr(f"cast(((chars - {delta}) * {i}) div {tau + 1} as int)") - begin
+        key = F.xxhash64(*([F.col(salt)] if salt else []), F.lit(i), size, F.substring(F.col(text), begin + F.lit(s + 1), width))
+        made.append(F.when(size >= shortest, key))
     kept = [c for c in rows.columns if c != salt]
-    sized = rows.withColumn("_chars", F.char_length(text))
-    out = sized.select(*kept, F.array(*made).alias("_made")).select(*kept, F.explode_outer("_made").alias("_one"))
-    return out.select(*kept, "_one.*").where("key is not null")
+    sized = rows.withColumn("chars", F.char_length(text))
+    out = sized.select(*kept, "chars", F.array(*made).alias("_made")).select(*kept, "chars", F.posexplode_outer("_made").alias("nth", "key"))
+    indexed = [n for n, (_, delta, s) in enumerate(probes) if not (s or delta)]
+    return out.where("key is not null").withColumn("probe", (~F.col("nth").isin(indexed)).cast("int"))
+
+
+def _placed(rows: DataFrame, tau: int) -> DataFrame:
+    """rows, signed, with at (from 1) and width of the segment or substring in place of nth and chars."""
+    i, delta, s = (F.get(F.array(*[F.lit(x) for x in one]), F.col("nth")) for one in zip(*_probes(tau), strict=True))
+    cut = rows.withColumns({"_size": F.col("chars") - delta, "_i": i, "_s": s})
+    begin = F.expr(f"cast((_size * (_i - 1)) div {tau + 1} as int)")
+    return cut.withColumns({"at": begin + F.col("_s") + 1, "width": F.expr(f"cast((_size * _i) div {tau + 1} as int)") - begin}).drop("_size", "_i", "_s", "nth", "chars")
 
 
 def _blocks_kept(a: Column, b: Column, tau: int) -> Column:
@@ -137,10 +146,10 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     if min_chars < 4 * (tau + 1):
         raise ValueError("min_chars must be at least 4 * (tau + 1)")
     rest = F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)")).alias("rest")
-    rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
+    rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "nth", "chars", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
     rows = rows.withColumn("old", F.col("line"))
     for _ in range(REFINE):
-        rows = checkpoint(rows.select("owner", "h1", "h2", "line", "key", rest).distinct())
+        rows = checkpoint(_placed(rows, tau).select("owner", "h1", "h2", "line", "key", rest).distinct())
         rows = _live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
     pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "line").distinct(), tau)
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
