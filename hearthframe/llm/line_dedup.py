@@ -104,6 +104,13 @@ def _placed(rows: DataFrame, tau: int) -> DataFrame:
     return cut.withColumns({"at": begin + F.col("_s") + 1, "width": F.expr(f"cast((_size * _i) div {tau + 1} as int)") - begin}).drop("_size", "_i", "_s", "nth", "chars")
 
 
+def bigram_parity(text: Column) -> Column:
+    """64 bits: whether pairs of neighbouring characters, hashed to 64 numbers, are odd in number. An edit flips 4 at most."""
+    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(bit(g)))
+
+
 def _blocks_kept(a: Column, b: Column, tau: int) -> Column:
     """Necessary for tau edits, and cheap: of 4 (tau + 1) blocks of a, all but tau stand in b within tau characters."""
     n, found = 4 * (tau + 1), F.lit(0)
@@ -116,14 +123,14 @@ def _blocks_kept(a: Column, b: Column, tau: int) -> Column:
 
 
 def _pairs(rows: DataFrame, tau: int) -> DataFrame:
-    """Pairs of different lines under a key of which one is indexed; rows: (key, probe, owner, h1, h2, line).
+    """Pairs of different lines under a key of which one is indexed; rows: (key, probe, owner, h1, h2, bits, line).
 
-    A bound on lengths and a banded distance are conditions of the join itself, so that a group of lines that share a
+    Bounds by bigram parities and lengths, and a banded distance, are conditions of the join itself, so that a group of lines that share a
     passage but are not alike puts out no pairs; bounded_edit_distance() then verifies what is left.
     """
-    a = rows.where("probe = 0").select("key", F.struct("owner", "h1", "h2").alias("a"), F.col("line").alias("line_a"))
-    b = rows.select("key", "probe", F.struct("owner", "h1", "h2").alias("b"), F.col("line").alias("line_b"))
-    met = a.join(b, "key").where("a != b and (probe = 1 or a < b)").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
+    a = rows.where("probe = 0").select("key", F.struct("owner", "h1", "h2").alias("a"), F.col("bits").alias("bits_a"), F.col("line").alias("line_a"))
+    b = rows.select("key", "probe", F.struct("owner", "h1", "h2").alias("b"), F.col("bits").alias("bits_b"), F.col("line").alias("line_b"))
+    met = a.join(b, "key").where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau).where("a != b and (probe = 1 or a < b)").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
     met = met.where(_blocks_kept(F.col("line_a"), F.col("line_b"), tau)).where(F.levenshtein("line_a", "line_b", tau) >= 0)
     low = F.least("a", "b")
     return met.select(
@@ -147,11 +154,11 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
         raise ValueError("min_chars must be at least 4 * (tau + 1)")
     rest = F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)")).alias("rest")
     rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "nth", "chars", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
-    rows = rows.withColumn("old", F.col("line"))
+    rows = rows.withColumns({"old": F.col("line"), "bits": bigram_parity(F.col("line"))})
     for _ in range(REFINE):
-        rows = checkpoint(_placed(rows, tau).select("owner", "h1", "h2", "line", "key", rest).distinct())
+        rows = checkpoint(_placed(rows, tau).select("owner", "h1", "h2", "bits", "line", "key", rest).distinct())
         rows = _live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
-    pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "line").distinct(), tau)
+    pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "bits", "line").distinct(), tau)
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
 
