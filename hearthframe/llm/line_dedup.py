@@ -111,17 +111,6 @@ def bigram_parity(text: Column) -> Column:
     return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(bit(g)))
 
 
-def _blocks_kept(a: Column, b: Column, tau: int) -> Column:
-    """Necessary for tau edits, and cheap: of 4 (tau + 1) blocks of a, all but tau stand in b within tau characters."""
-    n, found = 4 * (tau + 1), F.lit(0)
-    for j in range(n):
-        begin = F.floor(F.char_length(a) * F.lit(j) / F.lit(n)).cast("int")
-        width = F.floor(F.char_length(a) * F.lit(j + 1) / F.lit(n)).cast("int") - begin
-        low = F.greatest(begin - F.lit(tau), F.lit(0))
-        found = found + F.contains(F.substring(b, low + 1, begin + width + F.lit(tau) - low), F.substring(a, begin + 1, width)).cast("int")
-    return found >= F.lit(n - tau)
-
-
 def _pairs(rows: DataFrame, tau: int) -> DataFrame:
     """Pairs of different lines under a key of which one is indexed; rows: (key, probe, owner, h1, h2, bits, line).
 
@@ -130,8 +119,10 @@ def _pairs(rows: DataFrame, tau: int) -> DataFrame:
     """
     a = rows.where("probe = 0").select("key", F.struct("owner", "h1", "h2").alias("a"), F.col("bits").alias("bits_a"), F.col("line").alias("line_a"))
     b = rows.select("key", "probe", F.struct("owner", "h1", "h2").alias("b"), F.col("bits").alias("bits_b"), F.col("line").alias("line_b"))
-    met = a.join(b, "key").where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau).where("a != b and (probe = 1 or a < b)").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
-    met = met.where(_blocks_kept(F.col("line_a"), F.col("line_b"), tau)).where(F.levenshtein("line_a", "line_b", tau) >= 0)
+    # one condition, as the optimizer may reorder several; the cheapest come first
+    near = F.expr("a != b and (probe = 1 or a < b)") & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau)
+    near = near & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau) & (F.levenshtein("line_a", "line_b", tau) >= 0)
+    met = a.join(b, "key").where(near)
     low = F.least("a", "b")
     return met.select(
         low.alias("u"), F.greatest("a", "b").alias("v"), F.when(low == F.col("a"), F.col("line_a")).otherwise(F.col("line_b")).alias("x"), F.when(low == F.col("a"), F.col("line_b")).otherwise(F.col("line_a")).alias("y")
