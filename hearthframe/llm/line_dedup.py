@@ -87,10 +87,11 @@ def signed(rows: DataFrame, text: str, tau: int, shortest: int, salt: str | None
         size = F.col("chars") - F.lit(delta)
         begin = F.expr(f"cast(((chars - {delta}) * {i - 1}) div {tau + 1} as int)")
         width = F.expr(f"cast(((chars - {delta}) * {i}) div {tau + 1} as int)") - begin
-        key = F.xxhash64(*([F.col(salt)] if salt else []), F.lit(i), size, F.substring(F.col(text), begin + F.lit(s + 1), width))
+        key = F.xxhash64(*([F.col(salt)] if salt else []), F.lit(i), size, F.substring(F.col("_wide"), (begin + F.lit(s)) * 4 + 1, width * 4))
         made.append(F.when(size >= shortest, key))
     kept = [c for c in rows.columns if c != salt]
-    sized = rows.withColumn("chars", F.char_length(text))
+    wide = rows.withColumn("_wide", F.encode(text, "UTF-32"))  # four bytes a character: cut without counting through the text
+    sized = wide.withColumn("chars", F.expr("cast(octet_length(_wide) div 4 as int)"))
     out = sized.select(*kept, "chars", F.array(*made).alias("_made")).select(*kept, "chars", F.posexplode_outer("_made").alias("nth", "key"))
     indexed = [n for n, (_, delta, s) in enumerate(probes) if not (s or delta)]
     return out.where("key is not null").withColumn("probe", (~F.col("nth").isin(indexed)).cast("int"))
