@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RATE, FRAME, HOP = 8000, 256, 256
+RATE, FRAME, HOP = 8000, 256, 64
 #: Peaks of a frame (the strongest in so many bands) are paired with those of the next FAN frames.
 BANDS, FAN, FRAMES_AT_ONCE = 3, 2, 4096
 
@@ -38,12 +38,13 @@ def from_wav(media: bytes) -> bytes:
 def spectral_peaks(samples: bytes) -> np.ndarray:
     """(frames, BANDS): the strongest bin of each band of each frame of the short-time Fourier transform.
 
-    Magnitudes are rounded, and of equal ones the lower bin counts, so that equal samples always give equal peaks. Some
-    thousands of frames at once, whatever the length.
+    Silence around the samples puts each of them, first and last ones too, into FRAME / HOP frames, at different places of
+    the window, whose ends are 0. Magnitudes are rounded, and of equal ones the lower bin counts, so that equal samples
+    always give equal peaks. Some thousands of frames at once, whatever the length.
     """
+    lead = FRAME - HOP
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
+    x = np.concatenate([np.full(lead, 128, np.uint8), x, np.full(lead + -len(x) % HOP, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     edges = np.unique(np.geomspace(1, FRAME // 2 + 1, BANDS + 1).astype(int))
     shape, out = np.hanning(FRAME), []

@@ -134,6 +134,21 @@ def test_media_round_trip(spark, odd):
     assert media.payload_of("a" * 192)[1] == b"a" * 192 and media.payload_of(None) == (0, b" " * 192)
 
 
+def test_media_features_tell_short_texts_and_ends_apart(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh ijklmnop") for _ in range(n)) + "." for n in range(100, 384)]
+    for n in (192, 384, 960, 1000, 4992):  # the same but for the last bytes
+        same = "".join(r.choice("abcdefgh ijklmnop") for _ in range(n - 32))
+        texts += [same + "".join(r.choice(x) for _ in range(32)) for x in ("abcdefgh", "qrstuvw", "0123456789")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x.feature for x in media.media_columns(df, arrays=False).collect()]
+    assert len(set(got)) == len(texts) and not any(x.startswith("0:") for x in got)
+    for n in (2, 63, 64, 65, 192, 256, 257, 1000):  # a click in silence counts wherever it stands
+        x = bytes([128] * n)
+        for at in {0, n // 2 - 1, n - 2}:
+            assert (media.spectral_peaks(x[:at] + b"\xff\x00" + x[at + 2 :]) != media.spectral_peaks(x)).any()
+
+
 def test_token_counts_match_direct_sums(odd):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
     n = [len(enc.encode_ordinary(t or "")) for _, t in ODD]
