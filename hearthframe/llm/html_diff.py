@@ -2,8 +2,9 @@
 
 The nearest page is the neighbour, in the order of paths within a host, with the longer common beginning of the path.
 The lines of both, each with the kind of place it stands in, are aligned by their longest common subsequence, and the
-lines they share go. Paragraphs of an <article> or <main> stay even if shared, as two articles may quote one sentence;
-places that are never main text (menus, forms, adverts and so on) go in any case.
+lines they share go. Two articles may quote one sentence, so lines within an <article> or <main> go only if they also
+stand on a third page of the host, and only if they are less than half of the page's main text, as the rest may else be
+copies of one article. Places that are never main text (menus, forms, adverts and so on) go in any case.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_key, string_or_empty
+from .common import BROADCAST_ROWS, checkpoint, id_key, string_or_empty
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -40,6 +41,9 @@ MARKS = set(
 MAIN_WORDS = {"main", "article"}
 #: A line's place: within the main element, or elsewhere.
 MAIN, OTHER = 1, 0
+#: Pages of a host that a line is on at least, to go from a main element.
+RECURS = 3
+SALTS = 16
 
 
 def _marked(name: str, attributes: str, in_main: bool) -> bool:
@@ -179,11 +183,16 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[int, str]], other: list[int]) -> str:
-    """The page's lines without those shared with the other page, whose hashes are given."""
-    gone = shared_lines([line_hash(*x) for x in lines], other) if other else set()
-    has_main = any(place == MAIN for place, _ in lines)
-    return "\n".join(line for i, (place, line) in enumerate(lines) if (place == MAIN if has_main else i not in gone))
+def main_text(lines: list[tuple[int, str]], other: list[int], often: set[int]) -> str:
+    """The page's lines without those shared with the other page, whose hashes are given, and which of them recur."""
+    hashes = [line_hash(*x) for x in lines]
+    gone = shared_lines(hashes, other) if other else set()
+    main = [i for i, (place, _) in enumerate(lines) if place == MAIN]
+    if main:
+        gone = {i for i in main if i in gone and hashes[i] in often}
+        if 2 * sum(len(lines[i][1]) for i in gone) >= sum(len(lines[i][1]) for i in main):
+            gone = set()  # a copy of an article
+    return "\n".join(lines[i][1] for i in main or range(len(lines)) if i not in gone)
 
 
 def url_parts(url: str):
@@ -201,8 +210,20 @@ def _common(a, b):
     return F.when(a.isNull() | b.isNull(), F.lit(-1)).when(n == 0, F.lit(0)).when(differs == 0, n).otherwise(differs - 1)
 
 
+def recurring_lines(pages: DataFrame) -> DataFrame:
+    """(page, often): the hashes of each page that RECURS pages of its host have; pages without any are left out."""
+    lines = pages.select("host", "page", F.explode(F.array_distinct("hashes")).alias("hash")).select("page", "hash", F.xxhash64("host", "hash").alias("key"))
+    keys = checkpoint(lines.groupBy("key").count().where(F.col("count") >= RECURS).select("key"))
+    if keys.count() <= BROADCAST_ROWS:
+        met = lines.join(F.broadcast(keys), "key")
+    else:  # a line that all pages of a large host have is spread over the salts
+        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = lines.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    return met.groupBy("page").agg(F.collect_list("hash").alias("often"))
+
+
 def nearest_pages(pages: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFrame:
-    """(page, lines of the nearest page) from (host, path, page, hashes); a host of any size spans several ranges.
+    """(page, lines of the nearest page, those of them that recur) from (host, path, page, hashes); a host of any size spans several ranges.
 
     cuts, sorted places in the order (host, path, page), deal the rows out; the first and last row of each range are
     gathered, a row per range, so that neighbours meet over the ends of ranges as well.
@@ -214,7 +235,8 @@ def nearest_pages(pages: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFra
     else:
         ranged = pages.withColumn("part", F.lit(0))
     ranged = checkpoint(ranged)
-    row = F.struct("host", "path", "page", "hashes")
+    ranged = checkpoint(ranged.join(recurring_lines(ranged), "page", "left"))
+    row = F.struct("host", "path", "page", "hashes", "often")
     ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
     by_part = Window.orderBy("part")  # a row per range
     ends = checkpoint(ends.select("part", F.lag("high").over(by_part).alias("before"), F.lead("low").over(by_part).alias("after")))
@@ -223,7 +245,7 @@ def nearest_pages(pages: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFra
     same = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(c))
     near = near.withColumns({"b": same("b"), "a": same("a")})
     near = near.withColumn("pick", F.when(_common(F.col("path"), F.col("a.path")) > _common(F.col("path"), F.col("b.path")), F.col("a")).otherwise(F.coalesce("b", "a")))
-    return near.select("page", F.col("pick.hashes").alias("other")).dropDuplicates(["page"])
+    return near.select("page", F.col("pick.hashes").alias("other"), F.col("pick.often").alias("often")).dropDuplicates(["page"])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -252,14 +274,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for blob, other in zip(batch["lines"], batch["other"], strict=True):
+            for blob, other, often in zip(batch["lines"], batch["other"], batch["often"], strict=True):
                 lines = [(int(x[0]), x[1:]) for x in zlib.decompress(blob).decode().split("\n") if x]
-                texts.append(main_text(lines, [] if other is None else list(other)))
+                texts.append(main_text(lines, [] if other is None else list(other), set() if often is None else set(often)))
             yield batch[["key", "url"]].assign(text=texts, n_chars=np.array([len(t) for t in texts], dtype="int64"))
 
     kind = dict(pages.dtypes)[id_col]
     signs = base.select("host", "path", "page", "html").mapInPandas(hashed, "host string, path string, page long, hashes array<long>")
     near = nearest_pages(signs.dropDuplicates(["page"]), cuts)
     whole = base.select("key", "url", "page", "html").mapInPandas(packed, f"key {kind}, url string, page long, lines binary")
-    out = whole.join(near, "page", "left").select("key", "url", "lines", "other").mapInPandas(aligned, f"key {kind}, url string, text string, n_chars long")
+    out = whole.join(near, "page", "left").select("key", "url", "lines", "other", "often").mapInPandas(aligned, f"key {kind}, url string, text string, n_chars long")
     return out.select(F.col("key").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -88,6 +88,21 @@ def test_html_extraction(spark):
         assert len(html_diff.shared_lines(a, b)) == best
 
 
+def test_html_lines_within_articles(spark):
+    r = random.Random(9)
+    own = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(8)]
+    page = "<body><p>head</p><article><h1>t{}</h1><p>{}</p>{}<p>Read on by letter.</p></article></body>"
+    quoted = "<p>one sentence that two pages quote</p>"
+    rows = [(i, f"http://h/a/{i}", page.format(i, x, quoted if i in (2, 3) else "")) for i, x in enumerate(own)]
+    rows += [(10 + i, f"http://copies/{i}", "<article><p>a copied article</p><p>of two lines</p></article>") for i in range(4)]
+    rows += [(20 + i, f"http://two/{i}", f"<main><p>{own[i]}</p><p>Read on by letter.</p></main>") for i in range(2)]
+    got = {x.page_id: x.text for x in html_diff.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, x in enumerate(own):  # the notice goes, the quoted sentence stays
+        assert got[i] == f"t{i}\n{x}" + ("\none sentence that two pages quote" if i in (2, 3) else "")
+    assert all(got[10 + i] == "a copied article\nof two lines" for i in range(4))
+    assert all(got[20 + i] == f"{own[i]}\nRead on by letter." for i in range(2))  # may be quoted
+
+
 def test_license_scan(spark, odd):
     rows = spark.createDataFrame([(1, "Released under the MIT License. under the MIT-license"), (2, "Licensed undr the Apache Licence, Version 2"), (3, "nothing here")], "doc_id long, text string")
     got = {x.doc_id: x for x in license_scan.scan_licenses(rows).collect()}
