@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -85,11 +86,13 @@ class Scanner:
             for m in self.fuzzy[k].finditer(plain, begin, end):
                 errors = sum(m.fuzzy_counts)
                 spans.add((m.start(), m.end(), label, errors, 1 - errors / len(notice)))
-        best: list[tuple[int, int, str, int, float]] = []  # of overlapping spans the one with fewest errors
+        best: list[tuple[int, int, str, int, float]] = []  # of overlapping spans the one with fewest errors, by place
+        longest = max((x[1] - x[0] for x in spans), default=0)
         for span in sorted(spans, key=lambda x: (x[3], x[0], -x[1], x[2])):
-            if all(span[1] <= x[0] or span[0] >= x[1] for x in best[-64:] if x[2] != span[2]):
-                best.append(span)
-        return len(words), exact, sorted(best)
+            near = best[bisect_left(best, (span[0] - longest,)) : bisect_left(best, (span[1],))]
+            if all(span[1] <= x[0] or span[0] >= x[1] for x in near if x[2] != span[2]):
+                insort(best, span)
+        return len(words), exact, best
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, notices: list[tuple[str, str, int]] | None = None) -> DataFrame:

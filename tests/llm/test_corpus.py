@@ -111,6 +111,13 @@ def test_license_scan(spark, odd):
     assert not got[3].spans and license_scan.scan_licenses(odd).count() == len(ODD)
 
 
+def test_license_labels_do_not_depend_on_length():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    for n in (1, 60, 70, 300):
+        spans = scanner.scan("licensed under the gnu general public license version 3 and more. " * n)[2]
+        assert len(spans) == n and {(x[2], x[3]) for x in spans} == {("gpl-3", 0)} and spans == sorted(spans)
+
+
 def test_mixing_hits_targets(spark, odd):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, "w " * r.randrange(1, 40), r.choice(["a", "b", "c", None])) for i in range(200)], "doc_id long, text string, source string")
