@@ -154,12 +154,13 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 12) -> DataFrame:
     """docs with each line kept only where its class of near-equal lines first occurs, over all documents.
 
     Lines of at least min_chars characters within tau edits of each other are linked, and classes are the connected
     components; a class keeps the line whose first document has the least id (between lines of one document, an
-    arbitrary but fixed one), there once. Shorter lines are no passages and stay. Adds n_lines, n_kept, n_links (links
+    arbitrary but fixed one), there once. 4 * (tau + 1) characters are the least that the join supports; shorter lines are no
+    passages and stay. Adds n_lines, n_kept, n_links (links
     of its lines to different ones) and class_id (the least id of a document that owns a line kept for one of its lines,
     itself if it has none). Null text: one empty line. Null ids: all such rows are one document, after all others; so
     are rows that share an id. A column of docs with the name of an added one is replaced.

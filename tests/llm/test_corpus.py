@@ -61,6 +61,21 @@ def test_line_dedup_keeps_first_and_short_lines(spark, odd):
     assert line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 
+def test_lines_from_twelve_characters_are_joined(spark):
+    r = random.Random(10)
+    base = ["".join(r.choice("abcd ") for _ in range(r.randrange(12, 24))) for _ in range(20)] + ["All rights reserved."]
+    rows = [(i, "\n".join(edited(r, r.choice(base), r.randrange(3)) for _ in range(3))) for i in range(50)]
+    lines = sorted({x for _, t in rows for x in t.split("\n") if len(x) >= 12})
+    label = {x: x for x in lines}
+    links = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    for _ in lines:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = [x for _, t in sorted((x.doc_id, x.text) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) for x in t.split("\n")]
+    assert links and sorted(label[x] for x in got if len(x) >= 12) == sorted(set(label.values()))  # one line of each class
+    assert sorted(x for x in got if 0 < len(x) < 12) == sorted(x for _, t in rows for x in t.split("\n") if 0 < len(x) < 12)
+
+
 def test_bpe_equals_tiktoken(spark, odd):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
     got = bpe.encode_docs(odd, PATH, public_tokenizers.PATTERN, ids=True).collect()
