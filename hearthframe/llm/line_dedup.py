@@ -107,7 +107,8 @@ def _placed(rows: DataFrame, tau: int) -> DataFrame:
 
 def bigram_parity(text: Column) -> Column:
     """64 bits: whether pairs of neighbouring characters, hashed to 64 numbers, are odd in number. An edit flips 4 at most."""
-    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
+    # the last dot takes a whole character, where a match of no width would also stop within one beyond U+FFFF
+    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(..))."), F.lit(1))
     bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
     return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(bit(g)))
 

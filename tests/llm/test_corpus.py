@@ -76,6 +76,22 @@ def test_lines_from_twelve_characters_are_joined(spark):
     assert sorted(x for x in got if 0 < len(x) < 12) == sorted(x for _, t in rows for x in t.split("\n") if 0 < len(x) < 12)
 
 
+def test_characters_beyond_the_basic_plane_count_once(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        x = [r.choice("abcdefgh") for _ in range(30)]
+        for at in (5, 9, 20, 25):
+            x[at] = "😀"
+        y = list(x)
+        y[9], y[20] = "q", "z"  # two edits
+        rows += [(2 * i, "".join(x)), (2 * i + 1, "".join(y))]
+    df = spark.createDataFrame(rows, "doc long, line string").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(17))})
+    bits = [x.bits for x in df.select("doc", line_dedup.bigram_parity(F.col("line")).alias("bits")).orderBy("doc").collect()]
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 8 for a, b in zip(bits[::2], bits[1::2], strict=True))
+    assert {tuple(sorted((x.u.owner, x.v.owner))) for x in line_dedup.linked_lines(df, 2, 12).collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
 def test_bpe_equals_tiktoken(spark, odd):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
     got = bpe.encode_docs(odd, PATH, public_tokenizers.PATTERN, ids=True).collect()
