@@ -70,6 +70,22 @@ class Scanner:
         for k, was in open_.items():
             yield (k, *was)
 
+    def matches(self, k: int, text: str, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(begin, end, errors) of a notice's matches in a window: exact ones, then the best of what is left on either side."""
+        notice, _, errors = self.notices[k]
+        left = []
+        while (at := text.find(notice, begin, end)) >= 0:
+            yield at, at + len(notice), 0
+            left.append((begin, at))
+            begin = at + len(notice)
+        left.append((begin, end))
+        while left:
+            a, b = left.pop()
+            m = self.fuzzy[k].search(text, a, b) if b - a >= len(notice) - errors else None
+            if m:
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                left += [(a, m.start()), (m.end(), b)]
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int, float]]]:
         """Words; (word, label) of each phrase; (begin, end, label, errors, score) of each notice, in the words' text."""
         words = (text or "").encode().translate(WORD_BYTES).split()
@@ -83,9 +99,8 @@ class Scanner:
         spans = set()
         for k, begin, end in self.windows(plain):
             notice, label, _ = self.notices[k]
-            for m in self.fuzzy[k].finditer(plain, begin, end):
-                errors = sum(m.fuzzy_counts)
-                spans.add((m.start(), m.end(), label, errors, 1 - errors / len(notice)))
+            for a, b, errors in self.matches(k, plain, begin, end):
+                spans.add((a, b, label, errors, 1 - errors / len(notice)))
         best: list[tuple[int, int, str, int, float]] = []  # of overlapping spans the one with fewest errors, by place
         longest = max((x[1] - x[0] for x in spans), default=0)
         for span in sorted(spans, key=lambda x: (x[3], x[0], -x[1], x[2])):

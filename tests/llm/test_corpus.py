@@ -149,6 +149,14 @@ def test_license_labels_do_not_depend_on_length():
         assert len(spans) == n and {(x[2], x[3]) for x in spans} == {("gpl-3", 0)} and spans == sorted(spans)
 
 
+def test_license_notices_before_a_better_one_are_found():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    notice, worse, worst = "released under the mit license", "relxased under the mit license", "relxased undxr the mit license"
+    for parts in ([worse, notice], [notice, worse], [worst, worse, notice, worse, worst], [worse] * 5, [worst, notice] * 50):
+        got = scanner.scan(" ".join(parts))[2]
+        assert [(x[0], x[1], x[3]) for x in got] == [(31 * i, 31 * i + 30, [notice, worse, worst].index(x)) for i, x in enumerate(parts)]
+
+
 def test_mixing_hits_targets(spark, odd):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, "w " * r.randrange(1, 40), r.choice(["a", "b", "c", None])) for i in range(200)], "doc_id long, text string, source string")
