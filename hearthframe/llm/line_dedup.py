@@ -78,31 +78,20 @@ def _probes(tau: int) -> list[tuple[int, int, int]]:
 
 
 def signed(rows: DataFrame, text: str, tau: int, shortest: int, salt: str | None = None) -> DataFrame:
-    """rows with key, probe (0: indexed), nth (of _probes) and chars, a row for each segment and substring of the text.
+    """rows with key, probe (0: indexed), at (from 1) and width, a row for each segment and substring of the text.
 
-    The keys are an array of numbers, a projection of its own below an outer explode: made once, in generated code.
+    One hash expression after the explode keeps the generated code small enough to be compiled. Pieces are hashed as
+    UTF-8; where all characters are ASCII they are cut by bytes, without counting through the text.
     """
-    probes, made = _probes(tau), []
-    for i, delta, s in probes:
-        size = F.col("chars") - F.lit(delta)
-        begin = F.expr(f"cast(((chars - {delta}) * {i - 1}) div {tau + 1} as int)")
-        width = F.expr(f"cast(((chars - {delta}) * {i}) div {tau + 1} as int)") - begin
-        key = F.xxhash64(*([F.col(salt)] if salt else []), F.lit(i), size, F.substring(F.col("_wide"), (begin + F.lit(s)) * 4 + 1, width * 4))
-        made.append(F.when(size >= shortest, key))
+    probes = [F.struct(*[F.lit(x).alias(n) for n, x in zip(("i", "delta", "shift"), one, strict=True)]) for one in _probes(tau)]
     kept = [c for c in rows.columns if c != salt]
-    wide = rows.withColumn("_wide", F.encode(text, "UTF-32"))  # four bytes a character: cut without counting through the text
-    sized = wide.withColumn("chars", F.expr("cast(octet_length(_wide) div 4 as int)"))
-    out = sized.select(*kept, "chars", F.array(*made).alias("_made")).select(*kept, "chars", F.posexplode_outer("_made").alias("nth", "key"))
-    indexed = [n for n, (_, delta, s) in enumerate(probes) if not (s or delta)]
-    return out.where("key is not null").withColumn("probe", (~F.col("nth").isin(indexed)).cast("int"))
-
-
-def _placed(rows: DataFrame, tau: int) -> DataFrame:
-    """rows, signed, with at (from 1) and width of the segment or substring in place of nth and chars."""
-    i, delta, s = (F.get(F.array(*[F.lit(x) for x in one]), F.col("nth")) for one in zip(*_probes(tau), strict=True))
-    cut = rows.withColumns({"_size": F.col("chars") - delta, "_i": i, "_s": s})
-    begin = F.expr(f"cast((_size * (_i - 1)) div {tau + 1} as int)")
-    return cut.withColumns({"at": begin + F.col("_s") + 1, "width": F.expr(f"cast((_size * _i) div {tau + 1} as int)") - begin}).drop("_size", "_i", "_s", "nth", "chars")
+    cut = rows.withColumns({"_chars": F.char_length(text), "_ascii": F.char_length(text) == F.octet_length(text), "_bytes": F.col(text).cast("binary")})
+    out = cut.withColumn("_p", F.explode(F.array(*probes))).withColumn("_size", F.col("_chars") - F.col("_p.delta")).where(F.col("_size") >= shortest)
+    begin = F.expr(f"cast((_size * (_p.i - 1)) div {tau + 1} as int)")
+    out = out.withColumns({"at": begin + F.col("_p.shift") + 1, "width": F.expr(f"cast((_size * _p.i) div {tau + 1} as int)") - begin})
+    piece = F.when(F.col("_ascii"), F.substring("_bytes", F.col("at"), F.col("width"))).otherwise(F.substring(F.col(text), F.col("at"), F.col("width")).cast("binary"))
+    key = F.xxhash64(*([F.col(salt)] if salt else []), F.col("_p.i"), F.col("_size"), piece)
+    return out.select(*kept, "at", "width", key.alias("key"), ((F.col("_p.delta") != 0) | (F.col("_p.shift") != 0)).cast("int").alias("probe"))
 
 
 def bigram_parity(text: Column) -> Column:
@@ -146,10 +135,10 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     if min_chars < 4 * (tau + 1):
         raise ValueError("min_chars must be at least 4 * (tau + 1)")
     rest = F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)")).alias("rest")
-    rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "nth", "chars", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
+    rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
     rows = rows.withColumns({"old": F.col("line"), "bits": bigram_parity(F.col("line"))})
     for _ in range(REFINE):
-        rows = checkpoint(_placed(rows, tau).select("owner", "h1", "h2", "bits", "line", "key", rest).distinct())
+        rows = checkpoint(rows.select("owner", "h1", "h2", "bits", "line", "key", rest).distinct())
         rows = _live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
     pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "bits", "line").distinct(), tau)
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
