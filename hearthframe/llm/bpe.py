@@ -10,17 +10,20 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a task keeps folded; beyond it the table starts anew. Longer words than FOLD_BYTES are merged on a heap.
-CACHE_WORDS, FOLD_BYTES = 300_000, 48
+from .common import map_texts
+
+#: Words that a worker keeps folded; beyond it the table starts anew.
+CACHE_WORDS = 150_000
 BUCKETS = 16_384
 
 
@@ -31,77 +34,59 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
 
 
-def _merge_once(ranks: dict[bytes, int], parts: list[bytes], _: int) -> list[bytes]:
-    """parts with the leftmost pair of least rank made one; parts itself if no pair has a rank."""
-    found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-    if not found:
-        return parts
-    i = min(found)[1]
-    return [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
-
-
-def _merge_long(ranks: dict[bytes, int], word: bytes) -> list[bytes]:
-    """What the fold gives, for a long word: neighbours as a linked list, pairs on a heap by rank and place."""
-    n = len(word)
-    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = bytearray(b"\1") * n
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, end[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or after[i] >= n or end[after[i]] != stop:
-            continue
-        j = after[i]
-        alive[j], end[i], after[i] = 0, stop, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        if before[i] >= 0:
-            offer(before[i])
-        offer(i)
-    return [word[i : end[i]] for i in range(n) if alive[i]]
-
-
 def fold_word(ranks: dict[bytes, int], word: bytes) -> list[int]:
-    """The ids of one word: its own rank if it has one, else the ranks of its parts after all merges."""
+    """The ids of one word: its own rank if it has one, else the ranks of its parts once no two neighbours have a rank.
+
+    Of all neighbours the leftmost pair of least rank is made one; pairs wait on a heap, so that a word of any length
+    takes time in proportion to n log n.
+    """
     if (own := ranks.get(word)) is not None:
         return [own]
-    if len(word) > FOLD_BYTES:
-        parts = _merge_long(ranks, word)
-    else:
-        parts = [word[i : i + 1] for i in range(len(word))]
-        for step in range(len(word) - 1):
-            if (merged := _merge_once(ranks, parts, step)) is parts:
-                break
-            parts = merged
-    return [ranks[x] for x in parts]
-
-
-class Words(dict):
-    """word -> (ids, ids joined by commas, bytes that the ids stand for), made when first asked for; bounded."""
+    n, rank = len(word), ranks.get
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+    heapify(heap)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by start of a part: its end (0: no part starts here), the start of the one before
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := rank(word[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        if i and (r := rank(word[before[i] : stop])) is not None:
+            heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+class Ids(dict):
+    """word -> its ids joined by commas, made when first asked for; bytes_ has what those ids stand for. Bounded."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.bytes_ = ranks, {}
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             self.pieces[rank] = word
 
-    def __missing__(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = tuple(fold_word(self.ranks, word.encode()))
-        self[word] = out = (ids, ",".join(map(str, ids)), self.decode(ids))
+    def __missing__(self, word: str) -> str:
+        ids = fold_word(self.ranks, word.encode())
+        self[word] = out = ",".join(map(str, ids))
+        self.bytes_[word] = b"".join(map(self.pieces.__getitem__, ids))
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def text(self, words: list[str]) -> tuple[str, bytes]:
+        """All words' ids joined by commas, and the bytes that the ids stand for."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.bytes_.clear()
+        return ",".join(map(self.__getitem__, words)), b"".join(map(self.bytes_.__getitem__, words))
 
 
 class Lengths(dict):
@@ -119,55 +104,54 @@ class Lengths(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> tuple[Words, "regex.Pattern"]:
-    """The task's table of words and the compiled pattern."""
+def tokenizer(path: str, pattern: str) -> tuple[Ids, Lengths, "regex.Pattern"]:
+    """The worker's tables of words and the compiled pattern."""
     # \s is Unicode's White_Space, as in Rust and in Java's (?U); Python's has four control characters more
     unicode_space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    return Words(load_ranks(path)), regex.compile(unicode_space)
+    ranks = load_ranks(path)
+    return Ids(ranks), Lengths(ranks), regex.compile(unicode_space)
 
 
-def encode_text(text: str, path: str, pattern: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-    """The entry of each word of the text, in order."""
-    words, split = tokenizer(path, pattern)
-    return [words[w] for w in split.findall(text)]
+def encode_text(text: str, path: str, pattern: str) -> tuple[str, bytes]:
+    """The text's ids joined by commas, and the bytes that they stand for."""
+    words, _, split = tokenizer(path, pattern)
+    return words.text(split.findall(text))
 
 
 def encode_docs(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text, and with ids the array itself, token_ids.
 
     Null text: as empty (no tokens). A column of docs with the name of an added one is replaced. All other columns of
-    docs pass through; rows may repeat.
+    docs pass through as they are; rows may repeat, and a table without rows gives none.
     """
-    added = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids]
-    rows = docs.select(*[c for c in docs.columns if c not in added])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    schema = ", ".join([*kinds, "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["token_ids array<int>"] * ids])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts, hashes, back, arrays = [], [], [], []
-            for text in batch[text_col]:
-                found = encode_text(text if isinstance(text, str) else "", path, pattern)
-                counts.append(sum([len(x[0]) for x in found]))
-                hashes.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
-                if ids:
-                    arrays.append([i for x in found for i in x[0]])
-            yield batch.assign(n_tokens=counts, ids_sha256=hashes, decoded_sha256=back, **({"token_ids": arrays} if ids else {}))
-
-    return rows.mapInPandas(run, schema)
+
+    def run(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        counts, hashes, back, joined = [], [], [], []
+        for text in texts:
+            told, raw = encode_text(text or "", path, pattern)
+            counts.append(told.count(",") + 1 if told else 0)
+            hashes.append(hashlib.sha256(told.encode()).hexdigest())
+            back.append(hashlib.sha256(raw).hexdigest())
+            if ids:
+                joined.append(told or None)
+        out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes), "decoded_sha256": pa.array(back)}
+        if ids:
+            numbers = pc.split_pattern(pa.array(joined, pa.string()), ",")
+            flat = numbers.flatten().cast(pa.int32())
+            out["token_ids"] = pa.ListArray.from_arrays(pa.array([0, *pc.cumulative_sum(out["n_tokens"]).to_pylist()], pa.int32()), flat)
+        return out
+
+    return map_texts(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids, run)
 
 
 def count_docs(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """(n_tokens) of each row of docs; null text has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, split = tokenizer(path, pattern)
-        lengths = Lengths(words.ranks)
-        for batch in batches:
-            yield pd.DataFrame({"n_tokens": [sum(map(lengths.__getitem__, split.findall(t))) if isinstance(t, str) else 0 for t in batch[text_col]]}, dtype="int64")
+    def run(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        _, lengths, split = tokenizer(path, pattern)
+        return {"n_tokens": pa.array([sum(map(lengths.__getitem__, split.findall(t))) if t else 0 for t in texts], pa.int64())}
 
-    return docs.select(text_col).mapInPandas(run, "n_tokens long")
+    return map_texts(docs.select(text_col), text_col, "n_tokens long", run).select("n_tokens")
 
 
 def _rank_literal(path: str) -> Column:
@@ -207,8 +191,13 @@ def encode_words(words: DataFrame, path: str, word_col: str = "word") -> DataFra
 
 
 def decode_arrays(ids: DataFrame, pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """(key columns of ids, text): the binary pieces (id, piece) of an id array put together in its order."""
+    """(key columns of ids, text): the binary pieces (id, piece) of an id array put together in its order.
+
+    An empty or null array gives an empty text; rows with equal keys and ids stay rows of their own.
+    """
     keys = [c for c in ids.columns if c != ids_col]
-    flat = ids.select(*keys, F.posexplode(ids_col).alias("at", "id")).join(pieces, "id")
-    joined = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    return joined.select(*keys, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), "")), "UTF-8").alias("text"))
+    rows = ids.withColumn("_row", F.monotonically_increasing_id())
+    flat = rows.select(*keys, "_row", F.posexplode_outer(ids_col).alias("_at", "id")).join(pieces, "id", "left")
+    joined = flat.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], F.array_sort(F.collect_list(F.struct("_at", "piece"))).alias("_p"))
+    hexed = F.array_join(F.transform("_p", lambda x: F.hex(x["piece"])), "")  # array_join leaves nulls out
+    return joined.select(*keys, F.decode(F.unhex(hexed), "UTF-8").alias("text"))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 NO_ID = (1 << 63) - 1  # stands for a null id; such rows own nothing that a row with an id also has
 BROADCAST_ROWS = 500_000  # narrow rows (at most some tens of bytes) that may be broadcast once counted
@@ -29,6 +33,41 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows whose texts are Python objects at once, and characters at which fewer are.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2_000, 8 << 20
+
+
+def map_texts(docs: DataFrame, text_col: str, added: str, compute: Callable[[Iterator[str | None]], dict[str, pa.Array]], keep: bool = True) -> DataFrame:
+    """docs with the columns `added` (DDL), which compute() makes from some rows' texts at once.
+
+    Batches stay Arrow's, so that ids and all other columns pass through exactly as they are, nulls among 64-bit
+    numbers too. Columns of docs with the name of an added one are replaced. keep=False leaves the text out.
+    """
+    extra = StructType.fromDDL(added)
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in extra.names])
+    passed = [c for c in rows.columns if c not in extra.names and (keep or c != text_col)]
+    if text_col not in passed or dict(rows.dtypes)[text_col] != "string":
+        rows = rows.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").cast("string").alias("_text"))
+        text_col = "_text"
+    kept = rows.select(*[F.col(f"`{c}`") for c in passed]).schema.fields
+    schema = StructType([*kept, *extra.fields])
+    made = to_arrow_schema(extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, ROWS_AT_ONCE)
+                while part.num_rows > 1 and part.column(text_col).nbytes > BYTES_AT_ONCE:
+                    part = part.slice(0, part.num_rows // 2)
+                at += part.num_rows
+                new = compute(x.as_py() for x in part.column(text_col))
+                columns = [part.column(c) for c in passed] + [new[f.name].cast(f.type) for f in made]
+                yield pa.RecordBatch.from_arrays(columns, names=[*passed, *made.names])
+
+    return rows.mapInArrow(run, schema)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the bound; as it is otherwise."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -101,10 +101,31 @@ def test_bpe_equals_tiktoken(spark, odd):
     r = random.Random(2)
     for _ in range(300):
         t = "".join(r.choice("ab AB\n\t\x1c\x85\xa0 'sted 12٣éß漢😀_-.") for _ in range(r.randrange(60)))
-        assert [i for w in bpe.encode_text(t, PATH, public_tokenizers.PATTERN) for i in w[0]] == enc.encode_ordinary(t)
-    words = spark.createDataFrame([(" hello",), ("unbelievably",), ("é漢",), ("zqxjk",)], "word string")
-    for x in bpe.encode_words(words, PATH).collect():  # the same fold in higher-order functions
+        assert bpe.encode_text(t, PATH, public_tokenizers.PATTERN) == (",".join(map(str, enc.encode_ordinary(t))), t.encode())
+    for t in ("x" * 30000, "漢é" * 9000, "".join(r.choice("abcdest") for _ in range(20000))):  # one word each
+        assert bpe.encode_text(t, PATH, public_tokenizers.PATTERN)[0] == ",".join(map(str, enc.encode_ordinary(t)))
+
+
+def test_bpe_fold_in_higher_order_functions(spark):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    r = random.Random(12)
+    words = {" hello", "unbelievably", "é漢", "zqxjk"} | {"".join(r.choice("abcdeinorst漢é") for _ in range(r.randrange(1, 12))) for _ in range(2000)}
+    ids = bpe.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), PATH)
+    for x in ids.collect():
         assert x.ids == enc.encode_ordinary(x.word)
+    pieces = spark.createDataFrame([(i, bytearray(b)) for b, i in bpe.load_ranks(PATH).items()], "id int, piece binary")
+    back = bpe.decode_arrays(ids.unionAll(spark.createDataFrame([("", []), ("\0", None)], "word string, ids array<int>")), pieces)
+    assert sorted((x.word, x.text) for x in back.collect()) == sorted([*((w, w) for w in words), ("", ""), ("\0", "")])
+
+
+def test_sixty_four_bit_ids_pass_through_beside_nulls(spark):
+    ids = [9007199254740993, None, -1, (1 << 63) - 2]
+    df = spark.createDataFrame([(i, "under the mit license") for i in ids], "doc_id long, text string")
+    got = [bpe.encode_docs(df, PATH, public_tokenizers.PATTERN), license_scan.scan_licenses(df), media.media_columns(df), media.media_columns(df, arrays=False)]
+    got.append(html_diff.extract_pages(df.selectExpr("doc_id as page_id", "'http://a/b' as url", "text as html")).withColumnRenamed("page_id", "doc_id"))
+    got.append(toxicity.score(df, toxicity.OrdinalModel({}, np.array([np.inf]))))
+    for x in got:
+        assert {r.doc_id for r in x.collect()} == set(ids)
 
 
 def test_html_extraction(spark):
