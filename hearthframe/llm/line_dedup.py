@@ -18,6 +18,8 @@ from .common import BROADCAST_ROWS, checkpoint, components, id_key, small_side,
 
 #: Times that keys are refined by the rests of their lines.
 REFINE = 2
+#: Longs of bits, a power of two, by which lines are told apart before their distance is computed.
+PARITY = 4
 SALTS = 16
 
 
@@ -95,24 +97,32 @@ def signed(rows: DataFrame, text: str, tau: int, shortest: int, salt: str | None
 
 
 def bigram_parity(text: Column) -> Column:
-    """64 bits: whether pairs of neighbouring characters, hashed to 64 numbers, are odd in number. An edit flips 4 at most."""
+    """PARITY longs as a struct: whether pairs of neighbouring characters, hashed to so many bits, are odd in number.
+
+    An edit flips 4 bits at most.
+    """
     # the last dot takes a whole character, where a match of no width would also stop within one beyond U+FFFF
     grams = F.regexp_extract_all(text, F.lit("(?s)(?=(..))."), F.lit(1))
-    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
-    return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(bit(g)))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(63).cast("int"))
+
+    def part(hashes: Column, k: int) -> Column:
+        return F.aggregate(F.filter(hashes, lambda h: h.bitwiseAND(PARITY - 1) == k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+    hashed = F.array(F.transform(grams, lambda g: F.xxhash64(g)))  # an array of one, so that the hashes are made once
+    return F.get(F.transform(hashed, lambda h: F.struct(*[part(h, k).alias(f"b{k}") for k in range(PARITY)])), F.lit(0))
 
 
 def _pairs(rows: DataFrame, tau: int) -> DataFrame:
     """Pairs of different lines under a key of which one is indexed; rows: (key, probe, owner, h1, h2, bits, line).
 
-    Bounds by bigram parities and lengths, and a banded distance, are conditions of the join itself, so that a group of lines that share a
-    passage but are not alike puts out no pairs; bounded_edit_distance() then verifies what is left.
+    Bounds by bigram parities and lengths are conditions of the join itself, so that a group of lines that share a
+    passage but are not alike puts out few pairs; bounded_edit_distance() decides on them.
     """
     a = rows.where("probe = 0").select("key", F.struct("owner", "h1", "h2").alias("a"), F.col("bits").alias("bits_a"), F.col("line").alias("line_a"))
     b = rows.select("key", "probe", F.struct("owner", "h1", "h2").alias("b"), F.col("bits").alias("bits_b"), F.col("line").alias("line_b"))
+    flips = sum((F.bit_count(F.col(f"bits_a.b{k}").bitwiseXOR(F.col(f"bits_b.b{k}"))) for k in range(PARITY)), F.lit(0))
     # one condition, as the optimizer may reorder several; the cheapest come first
-    near = F.expr("a != b and (probe = 1 or a < b)") & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau)
-    near = near & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau) & (F.levenshtein("line_a", "line_b", tau) >= 0)
+    near = F.expr("a != b and (probe = 1 or a < b)") & (flips <= 4 * tau) & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
     met = a.join(b, "key").where(near)
     low = F.least("a", "b")
     return met.select(
@@ -127,6 +137,14 @@ def _live(rows: DataFrame) -> DataFrame:
     return rows.join(small_side(keys, keys.count()), "key", "left_semi")
 
 
+def _single(rows: DataFrame) -> DataFrame:
+    """rows without the keys that hold the same lines, indexed and probing, as a lesser key, and so pair the same."""
+    members = rows.select("key", "probe", "h1", "h2").distinct()
+    sums = [F.bit_xor(F.xxhash64(F.lit(seed), "h1", "h2", "probe")).alias(f"x{seed}") for seed in (1, 2)]
+    keys = checkpoint(members.groupBy("key").agg(*sums).groupBy("x1", "x2").agg(F.min("key").alias("key")).select("key"))
+    return rows.join(small_side(keys, keys.count()), "key", "left_semi")
+
+
 def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """(u, v): the pairs of different lines within tau edits, u < v, each a struct (owner, h1, h2).
 
@@ -136,10 +154,10 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
         raise ValueError("min_chars must be at least 4 * (tau + 1)")
     rest = F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)")).alias("rest")
     rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
-    rows = rows.withColumns({"old": F.col("line"), "bits": bigram_parity(F.col("line"))})
+    rows = _single(checkpoint(rows)).withColumns({"old": F.col("line"), "bits": bigram_parity(F.col("line"))})
     for _ in range(REFINE):
         rows = checkpoint(rows.select("owner", "h1", "h2", "bits", "line", "key", rest).distinct())
-        rows = _live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
+        rows = _single(checkpoint(_live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))))
     pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "bits", "line").distinct(), tau)
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
