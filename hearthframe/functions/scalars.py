@@ -28,7 +28,7 @@ def price_band(x) -> Column:
 
 
 def sqft_band(x) -> Column:
-    return bucket(x, [(900, "<900"), (1300, "900-1300"), (1800, "1300-1800"), (2500, "1800-2500")], "2500+")
+    return bucket(x, [(900, "<900"), (1300, "900-1299"), (1800, "1300-1799"), (2500, "1800-2499")], "2500+")
 
 
 def comp_count_bucket(x) -> Column:
@@ -76,19 +76,71 @@ def address_key(x) -> Column:
     return F.regexp_replace(F.lower(col(x)), "[^a-z0-9]+", "")
 
 
+def address_words(x) -> Column:
+    """Lower case, commas as blanks, runs of white space as one blank; for containment tests."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(col(x), F.lit(""))), r"[,\s]+", " "))
+
+
 def property_id(linc, address, postal) -> Column:
-    return F.when(F.coalesce(col(linc), F.lit("")) != "", F.concat(F.lit("linc:"), address_key(linc))).otherwise(
-        F.concat(F.lit("addr:"), address_key(F.coalesce(col(address), F.lit(""))), F.lit("|"), address_key(F.coalesce(col(postal), F.lit(""))))
-    )
+    """The title number if it has a letter or digit, else address and postal code; null if nothing is left of either."""
+    key = lambda x: address_key(F.coalesce(col(x), F.lit("")))
+    place = F.concat(F.lit("addr:"), key(address), F.lit("|"), key(postal))
+    return F.when(key(linc) != "", F.concat(F.lit("linc:"), key(linc))).when(place != "addr:|", place)
 
 
-# The fields of a record fingerprint, in the order of its JSON keys.
-FINGERPRINT_FIELDS = ("address", "linc_number", "list_price", "mls_number", "normalized_property_id", "postal_code", "sold_date", "sold_price")
+def split_area(x) -> tuple[Column, Column]:
+    """(area, address): a first word of digits and at most one letter is the area."""
+    text = F.trim(col(x))
+    area = F.nullif(F.regexp_extract(text, r"^(\d+[A-Z]?)\s+\S", 1), F.lit(""))
+    return area, F.when(area.isNull(), F.nullif(text, F.lit(""))).otherwise(F.regexp_replace(text, r"^\S+\s+", ""))
 
 
-def fingerprint(fields: dict[str, Column]) -> Column:
-    """sha256 of compact JSON with sorted keys, nulls as empty strings; built by hand as to_json drops nulls."""
+def int_digits(x) -> Column:
+    """All digits of x as one number, or null."""
+    return F.regexp_replace(col(x), r"\D", "").try_cast("long")
+
+
+def square_metres(square_feet) -> Column:
+    return rdp(col(square_feet).cast("decimal(18,6)") * F.lit("0.092903").cast("decimal(10,6)"), 2)
+
+
+def surrogate_mls(*parts) -> Column:
+    """The first ten hexadecimal digits of the md5 of the parts, for listings without a number."""
+    return F.substring(F.md5(F.concat(*[F.coalesce(col(x).cast("string"), F.lit("")) for x in parts])), 1, 10)
+
+
+def json_text(x: Column) -> Column:
+    """x as a JSON string in ASCII: quotes, backslashes and controls escaped, all beyond ASCII as escapes of UTF-16 units."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = F.create_map(*[F.lit(v) for kv in {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}.items() for v in kv])
+
+    def escaped(c: Column) -> Column:
+        n, over = F.ascii(c), F.ascii(c) - F.lit(0x10000)
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(over, 10)), unit(F.lit(0xDC00) + over.bitwiseAND(0x3FF)))
+        return F.coalesce(F.try_element_at(short, c), F.when(n > 0xFFFF, pair).when((n < 32) | (n > 126), unit(n)).otherwise(c))
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(x.rlike(r'^[ !#-\[\]-~]*\z'), x).otherwise(whole), F.lit('"'))
+
+
+def json_sha256(fields: dict[str, Column]) -> Column:
+    """sha256 of compact JSON with sorted keys; nulls are empty strings, text is stripped."""
     parts = []
     for i, name in enumerate(sorted(fields)):
-        parts += [F.lit(("," if i else "{") + f'"{name}":"'), F.coalesce(fields[name].cast("string"), F.lit("")), F.lit('"')]
+        text = F.regexp_replace(F.coalesce(fields[name].cast("string"), F.lit("")), r"^\s+|\s+$", "")
+        parts += [F.lit(("," if i else "{") + f'"{name}":'), json_text(text)]
     return F.sha2(F.concat(*parts, F.lit("}")), 256)
+
+
+# The fields of a record fingerprint.
+FINGERPRINT_FIELDS = ("mls_number", "linc_number", "normalized_property_id", "sold_date", "sold_price", "list_price", "address", "postal_code")
+
+
+def fingerprint(fields: dict[str, Column]) -> Column:
+    """A record's fingerprint; fields that are not given are null."""
+    return json_sha256({n: fields.get(n, F.lit(None).cast("string")) for n in FINGERPRINT_FIELDS})
+
+
+def batch_fingerprint(single_line_sha256, client_full_sha256, parser_version, contract_version) -> Column:
+    names = ("single_line_sha256", "client_full_sha256", "parser_version", "contract_version")
+    return json_sha256(dict(zip(names, map(col, (single_line_sha256, client_full_sha256, parser_version, contract_version)), strict=True)))

@@ -1,8 +1,9 @@
 """Comparable sales: tiered range joins, weighted similarity, top-k per subject, weighted quantiles, confidence.
 
-All subjects are searched by one plan. A tier's join is on property type, geography and a bin of dates as wide as the
-lookback (a candidate stands in its own bin and the next), so the range condition never makes a group longer than two
-lookbacks; a tier is run only for subjects that the narrower tiers have left short.
+All subjects are searched by one plan. How many candidates a tier has is told by sums over days, without pairs; then
+each subject is joined in the tier that serves it alone. A tier's join is on property type, geography and a bin of
+dates as wide as the lookback (a candidate stands in its own bin and the next), so the range condition never makes a
+group longer than two lookbacks, and ranks are taken where the join has put the pairs.
 """
 
 from __future__ import annotations
@@ -88,21 +89,72 @@ def coverage(prefix: str = "c_") -> Column:
     return rdp(sum((k.cast("int") for k in known), F.lit(0)) / F.lit(6.0), 4)
 
 
-def tier_pairs(subjects: DataFrame, candidates: DataFrame, geography: str, days: int, lookback: int | None = None) -> DataFrame:
-    """Eligible pairs of one tier, scored; subjects are s_*, candidates c_*."""
-    bin_of = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / F.lit(days))
-    s = subjects.where(F.col(f"s_{geography}").isNotNull()).withColumn("_bin", bin_of("s_valuation_date"))
-    c = candidates.where((F.col("c_data_quality_status") == "approved") & F.col(f"c_{geography}").isNotNull() & F.col("c_sold_date").isNotNull())
-    c = c.withColumn("_bin", F.explode(F.array(bin_of("c_sold_date"), bin_of("c_sold_date") + 1)))
-    within = (F.col("c_sold_date") <= F.col("s_valuation_date")) & (F.col("c_sold_date") >= F.date_sub("s_valuation_date", days))
-    on = (s._bin == c._bin) & (F.col("s_property_type") == F.col("c_property_type")) & (F.col(f"s_{geography}") == F.col(f"c_{geography}")) & within
-    met = s.join(c, on).drop(s._bin).drop(c._bin)
-    ok = met.where((F.col("c_mls_number") != F.col("s_mls_number")) & (F.col("c_sold_price") > 0) & (F.col("c_living_area_sqft") > 0))
+def differences() -> dict[str, Column]:
+    """How candidate c_* differs from subject s_*; null where either side is."""
     size = (F.col("c_living_area_sqft") - F.col("s_living_area_sqft")) / F.col("s_living_area_sqft").cast("double") * 100
-    return ok.select(
-        "s_mls_number", "c_mls_number", "c_sold_date", "c_sold_price", "c_living_area_sqft", "s_living_area_sqft", similarity().alias("similarity"), coverage().alias("data_coverage"),
-        F.datediff("s_valuation_date", "c_sold_date").alias("age_days"), rdp(size, 1).alias("size_diff_pct"), F.coalesce(F.col("s_neighbourhood") == F.col("c_neighbourhood"), F.lit(False)).alias("same_neighbourhood"),
-    )
+    apart = baths("c_full_bathrooms", "c_half_bathrooms") - baths("s_full_bathrooms", "s_half_bathrooms")
+    return {
+        "size_diff_pct": rdp(size, 1),
+        "same_neighbourhood": F.coalesce((F.col("s_neighbourhood") != "") & (F.col("s_neighbourhood") == F.col("c_neighbourhood")), F.lit(False)),
+        "age_days": F.datediff("s_valuation_date", "c_sold_date"),
+        "bedrooms_diff": F.col("c_bedrooms_total") - F.col("s_bedrooms_total"),
+        "bathrooms_diff": apart.cast("decimal(10,1)"),
+        "year_built_diff": F.col("c_year_built") - F.col("s_year_built"),
+    }
+
+
+def reasons(detail: str = "detail") -> Column:
+    """array<string>: what makes a comparable one, for people."""
+    d = lambda n: F.col(f"{detail}.{n}")
+    place = F.when(d("same_neighbourhood"), "same neighbourhood").when(d("same_area"), "same area code (different/unknown neighbourhood)")
+    signed = lambda x, fmt: F.format_string(fmt, x)
+    said = [place, F.concat(F.lit("living area "), signed(d("size_diff_pct").cast("double"), "%+.1f"), F.lit("% vs subject")), F.concat(F.lit("sold "), d("age_days").cast("string"), F.lit(" days before valuation date"))]
+    said += [F.when(d("bedrooms_diff").isNotNull(), F.concat(F.lit("bedrooms "), signed(d("bedrooms_diff"), "%+d"))), F.when(d("bathrooms_diff").isNotNull(), F.concat(F.lit("bathrooms "), signed(d("bathrooms_diff").cast("double"), "%+.1f")))]
+    return F.array_compact(F.array(*said))
+
+
+def comparable_warnings(detail: str = "detail", coverage_: str = "data_coverage") -> Column:
+    low = F.when(F.col(coverage_) < 0.5, "low_data_coverage")
+    return F.array_compact(F.array(low, F.when(F.abs(F.col(f"{detail}.size_diff_pct")) >= 30, "large_size_difference"), F.when(F.col(f"{detail}.age_days") > 365, "older_than_one_year")))
+
+
+def day_of(date) -> Column:
+    return F.datediff(date, F.lit("1970-01-01").cast("date"))
+
+
+def usable_candidates(candidates: DataFrame) -> DataFrame:
+    """Approved candidates with number, date, price and size; of a number that repeats the latest sale."""
+    ok = candidates.where("c_data_quality_status = 'approved' and coalesce(c_mls_number, '') != '' and c_sold_date is not null and c_sold_price > 0 and c_living_area_sqft > 0")
+    latest = F.row_number().over(Window.partitionBy("c_mls_number").orderBy(F.desc("c_sold_date")))
+    return ok.withColumn("_rn", latest).where("_rn = 1").drop("_rn")
+
+
+def tier_count(subjects: DataFrame, candidates: DataFrame, geography: str, days: int) -> DataFrame:
+    """(s_property_type, s_<geography>, s_valuation_date, n): usable candidates of the tier, the subject itself included.
+
+    Sums over one row per type, place and day: n is the running count at the valuation date less that before the lookback.
+    """
+    by = [F.col("c_property_type").alias("kind"), F.col(f"c_{geography}").alias("place")]
+    sold = candidates.where(F.col(f"c_{geography}") != "").groupBy(*by, day_of("c_sold_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    asked = subjects.where(F.col(f"s_{geography}") != "").select(F.col("s_property_type").alias("kind"), F.col(f"s_{geography}").alias("place"), day_of("s_valuation_date").alias("day")).distinct()
+    ends = asked.select("kind", "place", F.explode(F.array(F.col("day"), F.col("day") - days - 1)).alias("day"), F.lit(0).cast("long").alias("n"))
+    daily = sold.unionByName(ends).groupBy("kind", "place", "day").agg(F.sum("n").alias("n"))
+    running = daily.select("kind", "place", "day", F.sum("n").over(Window.partitionBy("kind", "place").orderBy("day")).alias("n"))
+    at = asked.join(running.withColumnRenamed("n", "_hi"), ["kind", "place", "day"])
+    at = at.withColumn("_low", F.col("day") - days - 1).join(running.select("kind", "place", F.col("day").alias("_low"), F.col("n").alias("_lo")), ["kind", "place", "_low"])
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))
+    return at.select(F.col("kind").alias("s_property_type"), F.col("place").alias(f"s_{geography}"), date.alias("s_valuation_date"), (F.col("_hi") - F.col("_lo")).alias("n"))
+
+
+def tier_pairs(subjects: DataFrame, candidates: DataFrame, geography: str, days: int) -> DataFrame:
+    """Eligible pairs of one tier, scored; subjects are s_*, candidates, of usable_candidates(), c_*."""
+    bin_of = lambda d: F.floor(day_of(d) / F.lit(days))
+    s = subjects.where(F.col(f"s_{geography}") != "").withColumn("_bin", bin_of("s_valuation_date"))
+    c = candidates.where(F.col(f"c_{geography}") != "").withColumn("_c_bin", F.explode(F.array(bin_of("c_sold_date"), bin_of("c_sold_date") + 1)))
+    within = (F.col("c_sold_date") <= F.col("s_valuation_date")) & (F.col("c_sold_date") >= F.date_sub("s_valuation_date", days))
+    on = (F.col("_bin") == F.col("_c_bin")) & (F.col("s_property_type") == F.col("c_property_type")) & (F.col(f"s_{geography}") == F.col(f"c_{geography}"))
+    met = s.join(c, on & within & ~F.col("c_mls_number").eqNullSafe(F.col("s_mls_number")))
+    return met.withColumn("similarity", similarity())
 
 
 def as_subjects(sales: DataFrame) -> DataFrame:
@@ -115,28 +167,51 @@ def as_candidates(sales: DataFrame) -> DataFrame:
     return sales.select(*[F.col(c).alias(f"c_{c}") for c in sales.columns if not c.startswith("_")])
 
 
+def choose_tiers(subjects: DataFrame, candidates: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
+    """subjects with tier_index, tier, tier_widened and candidate_count: the first applicable tier with min_usable candidates serves, else the last applicable one."""
+    own = candidates.select(F.col("c_mls_number").alias("s_mls_number"), F.col("c_sold_date").alias("_date"), F.col("c_property_type").alias("_type"), *[F.col(f"c_{g}").alias(f"_{g}") for g in ("neighbourhood", "area_code")])
+    x = subjects.join(own, "s_mls_number", "left")
+    for i, (_, geography, days) in enumerate(TIERS):
+        keys = ["s_property_type", f"s_{geography}", "s_valuation_date"]
+        x = x.join(tier_count(subjects, candidates, geography, days).withColumnRenamed("n", f"_n{i}"), keys, "left")
+        within = (F.col("_date") <= F.col("s_valuation_date")) & (F.col("_date") >= F.date_sub("s_valuation_date", days))
+        self_ = within & (F.col("_type") == F.col("s_property_type")) & (F.col(f"_{geography}") == F.col(f"s_{geography}"))
+        x = x.withColumn(f"_n{i}", F.coalesce(f"_n{i}", F.lit(0)) - F.coalesce(self_, F.lit(False)).cast("int"))
+    applies = [F.coalesce(F.col(f"s_{geography}") != "", F.lit(False)) for _, geography, _ in TIERS]
+    serves, last, first = F.lit(None), F.lit(None), F.lit(None)
+    for i in reversed(range(len(TIERS))):
+        serves = F.when(applies[i] & (F.col(f"_n{i}") >= min_usable), i).otherwise(serves)
+        first = F.when(applies[i], i).otherwise(first)
+    for i in range(len(TIERS)):
+        last = F.when(applies[i], i).otherwise(last)
+    x = x.withColumns({"tier_index": F.coalesce(serves, last).cast("int"), "_first": first})
+    count = F.get(F.array(*[F.col(f"_n{i}") for i in range(len(TIERS))]), F.col("tier_index"))
+    name = F.get(F.array(*[F.lit(t[0]) for t in TIERS]), F.col("tier_index"))
+    return x.withColumns({"tier": name, "tier_widened": F.col("tier_index") > F.col("_first"), "candidate_count": count.cast("long")}).select(*subjects.columns, "tier_index", "tier", "tier_widened", "candidate_count")
+
+
 def find_comparables(subjects: DataFrame, candidates: DataFrame, min_usable: int = MIN_USABLE, max_returned: int = MAX_RETURNED) -> tuple[DataFrame, DataFrame]:
     """(searches, comps): a row per subject with its tier, whether it was widened and its candidate count; and its ranked comparables.
 
-    The first applicable tier with min_usable candidates serves, else the last tried. Rank: similarity, then later sale, then number.
+    Rank: similarity, then later sale, then number. A subject's pairs stand in one partition of its tier's join, so they
+    are ranked there, and only the max_returned best are looked at in detail. Both tables are persisted, as each tier reads them.
     """
-    order = Window.partitionBy("s_mls_number").orderBy(F.desc("similarity"), F.desc("c_sold_date"), "c_mls_number")
-    open_, comps, counts = subjects, None, None
-    for i, (name, geography, days) in enumerate(TIERS):
-        pairs = tier_pairs(open_, candidates, geography, days)
-        n = pairs.groupBy("s_mls_number").agg(F.count(F.lit(1)).alias("n")).withColumn("tier_index", F.lit(i))
-        top = pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= max_returned).withColumn("tier_index", F.lit(i))
+    candidates = usable_candidates(candidates).persist()
+    chosen = choose_tiers(subjects, candidates, min_usable).persist()
+    comps = None
+    for i, (_, geography, days) in enumerate(TIERS):
+        pairs = tier_pairs(chosen.where(F.col("tier_index") == i), candidates, geography, days)
+        order = Window.partitionBy("_bin", "s_property_type", f"s_{geography}", "s_mls_number").orderBy(F.desc("similarity"), F.desc("c_sold_date"), "c_mls_number")
+        top = pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= max_returned).drop("_bin", "_c_bin")
         comps = top if comps is None else comps.unionByName(top)
-        counts = n if counts is None else counts.unionByName(n)
-        open_ = open_.join(n.where(F.col("n") >= min_usable), "s_mls_number", "left_anti")
-    served = counts.groupBy("s_mls_number").agg(F.min(F.when(F.col("n") >= min_usable, F.col("tier_index"))).alias("won"))
-    last = F.when(F.col("s_area_code").isNotNull(), 2).otherwise(0)
-    first = F.when(F.col("s_neighbourhood").isNotNull(), 0).otherwise(1)
-    chosen = subjects.join(served, "s_mls_number", "left").select("s_mls_number", F.coalesce("won", last).alias("tier_index"), first.alias("_first"))
-    searches = chosen.join(counts, ["s_mls_number", "tier_index"], "left").select(
-        "s_mls_number", "tier_index", F.element_at(F.array(*[F.lit(t[0]) for t in TIERS]), F.col("tier_index") + 1).alias("tier"), (F.col("tier_index") > F.col("_first")).alias("tier_widened"), F.coalesce("n", F.lit(0)).cast("long").alias("candidate_count")
-    )
-    return searches, comps.join(searches.select("s_mls_number", "tier_index", "candidate_count", "tier", "tier_widened"), ["s_mls_number", "tier_index"])
+    scores = subscores()
+    components = F.struct(*[rdp(v, 4).alias(n) for n, v in scores.items()])
+    weighted = F.struct(*[rdp(F.lit(float(WEIGHTS[n])) * v, 2).alias(n) for n, v in scores.items()])
+    same_area = F.coalesce((F.col("c_area_code") != "") & (F.col("c_area_code") == F.col("s_area_code")), F.lit(False))
+    detail = F.struct(*[v.alias(n) for n, v in differences().items()], same_area.alias("same_area"))
+    comps = comps.withColumns({"data_coverage": coverage(), "detail": detail, "components": components, "weighted": weighted})
+    comps = comps.select("s_mls_number", "c_mls_number", "c_sold_date", "c_sold_price", "c_living_area_sqft", "s_living_area_sqft", "similarity", "data_coverage", "components", "weighted", "detail", "rk", "detail.age_days", "detail.size_diff_pct", "tier_index", "tier", "tier_widened", "candidate_count")
+    return chosen.select("s_mls_number", "tier_index", "tier", "tier_widened", "candidate_count"), comps
 
 
 def weighted_quantile(value: str, numerator: int, denominator: int, by: Window) -> Column:
@@ -168,14 +243,32 @@ def value_subjects(comps: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
     out = x.groupBy("s_mls_number").agg(
         F.first("tier").alias("tier"), F.first("tier_widened").alias("tier_widened"), F.first("candidate_count").alias("candidate_count"), F.count(F.lit(1)).alias("n_comps"),
         nearest_500(q("sn", 1, 2)).cast("long").alias("indicated_value"), nearest_500(q("sn", 1, 4)).cast("long").alias("range_low"), nearest_500(q("sn", 3, 4)).cast("long").alias("range_high"),
-        rdp(q("direct", 1, 2), 2).alias("direct_median"), rdp(q("ppsf", 1, 2), 2).alias("median_ppsf"), rdp(F.first("_med_sim"), 3).alias("median_similarity"), F.sum("data_coverage").alias("_cov"),
+        rdp(q("direct", 1, 2), 2).alias("direct_median"), rdp(q("ppsf", 1, 2), 2).alias("median_ppsf"), F.first("_med_sim").alias("_sim"), F.sum("data_coverage").alias("_cov"),
         (F.first("_n_ok") < F.count(F.lit(1))).alias("extreme_ppsf_excluded"), F.min("c_sold_date").alias("first_sold"), F.max("c_sold_date").alias("last_sold"),
         F.max(F.when(F.col("_rd") == F.floor(F.col("_n") / 2) + 1, F.abs("size_diff_pct") > 25)).alias("size_mismatch"),
     )
-    out = out.withColumns({"mean_coverage": rdp(F.col("_cov").cast("double") / F.col("n_comps"), 4), "price_spread": F.when(F.col("indicated_value") > 0, rdp((F.col("range_high") - F.col("range_low")) / F.col("indicated_value").cast("double"), 4)).otherwise(F.lit(0).cast("decimal(18,4)"))})
+    out = out.withColumns({"median_similarity": rdp("_sim", 2), "mean_coverage": rdp(F.col("_cov").cast("double") / F.col("n_comps"), 4), "price_spread": F.when(F.col("indicated_value") > 0, rdp((F.col("range_high") - F.col("range_low")) / F.col("indicated_value").cast("double"), 4)).otherwise(F.lit(0).cast("decimal(18,4)"))})
 
     def at_least(n: int, sim: int, cov: float, spread: float) -> Column:
-        return (F.col("n_comps") >= n) & (F.col("median_similarity") >= sim) & (F.col("mean_coverage") >= F.lit(str(cov)).cast("decimal(4,2)")) & (F.col("price_spread") <= F.lit(str(spread)).cast("decimal(4,2)"))
+        return (F.col("n_comps") >= n) & (F.col("_sim") >= sim) & (F.col("_cov") >= F.lit(str(cov)).cast("decimal(4,2)") * F.col("n_comps")) & (F.col("price_spread") <= F.lit(str(spread)).cast("decimal(4,2)"))
 
     confidence = F.when(at_least(7, 75, 0.75, 0.20) & ~F.col("tier_widened"), "high").when(at_least(4, 60, 0.5, 0.35), "medium").otherwise("low")
-    return out.withColumn("confidence", confidence).drop("_cov")
+    return out.withColumn("confidence", confidence).drop("_cov", "_sim")
+
+
+def search_results(searches: DataFrame, comps: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
+    """A row per subject, valued or not: status, confidence with reasons, warnings, and the price indicators.
+
+    A subject with fewer than min_usable candidates is insufficient_data, without an estimate.
+    """
+    valued = value_subjects(comps, min_usable).drop("tier", "tier_widened", "candidate_count")
+    x = searches.join(valued, "s_mls_number", "left").withColumn("status", F.when(F.col("candidate_count") < min_usable, "insufficient_data").otherwise("ok"))
+    short = F.col("status") == "insufficient_data"
+    few = F.concat(F.lit("only "), F.col("candidate_count").cast("string"), F.lit(f" usable comparables (minimum {min_usable})"))
+    number = lambda c, n: rdp(c, n).cast("string")
+    why = [F.concat(F.col("n_comps").cast("string"), F.lit(" comparables")), F.concat(F.lit("median similarity "), number("median_similarity", 1)), F.concat(F.lit("mean coverage "), number("mean_coverage", 2)), F.concat(F.lit("price spread "), number("price_spread", 2))]
+    why.append(F.when(F.col("tier_widened"), "geography widened beyond neighbourhood").otherwise("no geographic widening"))
+    said = [F.when(F.col("tier_widened"), "geographic_or_temporal_widening"), F.when(short, "insufficient_data"), F.when(F.col("extreme_ppsf_excluded"), "extreme_ppsf_excluded")]
+    return x.withColumns(
+        {"confidence": F.when(short, "insufficient").otherwise(F.col("confidence")), "confidence_reasons": F.when(short, F.array(few)).otherwise(F.array(*why)), "warnings": F.array_compact(F.array(*said))}
+    )

@@ -2,33 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import price_band, rdp, sqft_band
 
 # Fixed values.
 SEASON_BOOST = {"Spring": 1.1, "Summer": 1.05, "Fall": 1.0, "Winter": 0.95}
-BASEMENT = {"Crawl": -45000, "None": -45000, "Full (Unfinished)": -15000, "Full (Finished)": 25000, "Walkout": 0}
+BASEMENT = {"None": -45000, "Crawl Space": -45000, "Full (Unfinished)": -15000, "Full (Finished)": 25000, "Walkout": 0}
+HOT_AREAS = (
+    "Bridgwater", "Prairie Pointe", "Whyte Ridge", "East Transcona", "River Heights", "St. Vital", "Tuxedo", "North Kildonan", "Osborne Village", "Fort Richmond",
+    "Bridgwater Trails", "Bridgwater Lakes", "Bridgwater Forest", "Bridgwater Centre",
+)
+DEFAULT_PREMIUM = 5.0
+PREMIUMS = {
+    "Bridgwater Trails": 8.0, "Bridgwater Lakes": 7.5, "Bridgwater Forest": 7.5, "Bridgwater Centre": 7.5,
+    "Tuxedo": 9.0, "Old Tuxedo": 9.0, "Crescentwood": 8.0, "Crescent Park": 8.0,
+    "Osborne Village": 8.5, "River-Osborne": 8.0, "West Wolseley": 7.5,
+    "Waverley Heights": 7.0, "Waverley West B": 7.0, "Fort Richmond": 7.0, "Linden Woods": 8.0,
+    "River Heights": 6.5, "North River Heights": 6.5, "Sage Creek": 6.5,
+    "Richmond West": 6.5, "Grant Park": 6.0, "Jameswood": 6.0,
+    "Kensington": 6.0, "King Edward": 6.0, "University": 6.0,
+    "Central River Heights": 6.5, "Exchange District": 6.0, "Prairie Pointe": 6.0,
+    "Charleswood": 5.5, "St. Vital": 5.5, "St. Norbert": 5.5,
+    "Amber Trails": 5.5, "Garden City": 5.5, "Maples": 5.5,
+    "Westwood": 5.5, "Elm Park": 5.5,
+}
+#: Columns whose nulls are a group of their own in the benchmark.
+CATEGORIES = ("neighborhood", "house_type", "style", "garage_type", "season", "region", "basement_type")
+
+
+def literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(v) for kv in values.items() for v in kv])
 
 
 def training_features(rows: DataFrame) -> DataFrame:
-    """The training frame: filters, caps at the 99th percentile, neighbourhood statistics by window, composite logic."""
-    x = rows.where("bathrooms > 0 and bedrooms > 0 and sqft >= 500 and list_price > 0 and sold_price > 0 and dom_days >= 0 and neighborhood is not null and sold_date is not null")
+    """The training frame: filters, caps at the 99th percentile, statistics by neighbourhood, composite logic.
+
+    A row without a neighbourhood counts for the caps, the city's figures and the last date, and leaves at the end, as every
+    row with a null among the features does.
+    """
+    x = rows.where("bathrooms > 0 and bedrooms > 0 and sqft >= 500 and list_price > 0 and sold_price > 0 and dom_days >= 0 and sold_date is not null")
     d = lambda c: F.col(c).cast("double")
-    x = x.withColumns({"age": F.greatest(F.lit(0), F.year("sold_date") - F.col("built_year")), "price_diff": F.col("sold_price") - F.col("list_price"), "over_asking_pct": d("sold_price") / d("list_price") - 1, "price_per_sqft": d("sold_price") / F.col("sqft")})
-    whole = x.agg(F.percentile(d("list_price"), 0.99).alias("cap"), F.max("sold_date").alias("last"))
-    hood = x.groupBy("neighborhood").agg(F.median("price_per_sqft").alias("hood_median_ppsf"), F.count(F.lit(1)).alias("comparable_count"), F.sum(F.col("price_per_sqft").cast("decimal(18,6)")).alias("_sum"))
-    hood = hood.withColumn("hood_mean", F.col("_sum").cast("double") / F.col("comparable_count"))
-    top = x.agg(F.max("price_per_sqft").alias("max_ppsf"))
-    x = x.join(F.broadcast(hood), "neighborhood").crossJoin(whole).crossJoin(top)  # one-row aggregates; a row per neighbourhood
+    x = x.withColumns({"age": F.greatest(F.lit(0), F.year("sold_date") - F.col("built_year")), "price_diff": F.col("sold_price") - F.col("list_price"), "price_per_sqft": d("sold_price") / F.col("sqft")})
+    x = x.withColumns({"age": F.when(F.col("built_year").isNotNull(), F.col("age")), "over_asking_pct": d("price_diff") / d("list_price")})
+    whole = x.agg(F.percentile(d("list_price"), 0.99).alias("cap_list"), F.percentile(d("sold_price"), 0.99).alias("cap_sold"), F.max("sold_date").alias("last"), F.max("price_per_sqft").alias("max_ppsf"), F.median("price_per_sqft").alias("city_ppsf"))
+    hood = x.where("neighborhood is not null").groupBy("neighborhood").agg(F.median("price_per_sqft").alias("hood_ppsf"), F.count(F.lit(1)).alias("comp_count_in_neighborhood"), F.sum(F.col("price_per_sqft").cast("decimal(18,6)")).alias("_sum"))
+    x = x.join(hood, "neighborhood").crossJoin(F.broadcast(whole))  # one row of the whole; rows without a neighbourhood leave
     one = lambda c: c.cast("int")
-    x = x.withColumns({"capped_list": F.least(d("list_price"), "cap"), "recent": one(F.col("sold_date") >= F.date_sub("last", 90)), "is_multi_offer_by_dom": one(F.col("dom_days") <= 3), "is_not_multi_offer_by_dom": one(F.col("dom_days") > 11), "hotness": 1 - F.col("hood_mean") / F.col("max_ppsf")})
-    x = x.withColumn("is_underpriced", one((F.col("capped_list") / F.col("sqft") < F.col("hood_median_ppsf")) & (F.col("dom_days") <= 3)))
-    x = x.withColumn("likely_multi_offer", F.greatest("is_multi_offer_by_dom", "is_underpriced"))
-    boost = F.create_map(*[F.lit(v) for kv in SEASON_BOOST.items() for v in kv])
+    x = x.withColumns({"capped_list": F.least(d("list_price"), "cap_list"), "capped_sold": F.least(d("sold_price"), "cap_sold"), "recency_weight": one(F.col("sold_date") >= F.date_sub("last", 90)), "is_multi_offer_by_dom": one(F.col("dom_days") <= 3), "is_not_multi_offer_by_dom": one(F.col("dom_days") > 11)})
+    x = x.withColumn("is_underpriced_for_bidding", one((F.col("capped_list") < F.col("hood_ppsf") * F.col("sqft") * F.lit(0.95)) & (F.col("is_multi_offer_by_dom") == 1)))
+    x = x.withColumns({"likely_multi_offer": F.greatest("is_multi_offer_by_dom", "is_underpriced_for_bidding"), "hotness": 1 - F.col("_sum").cast("double") / F.col("comp_count_in_neighborhood") / F.col("max_ppsf")})
     logic = F.col("hotness") * 0.4 + F.col("likely_multi_offer") * 0.3 + (1 - F.col("age") / 100.0) * 0.3
-    return x.select("mls_number", "age", "price_diff", rdp("over_asking_pct", 4).alias("over_asking_pct"), rdp("price_per_sqft", 2).alias("price_per_sqft"), rdp("hood_median_ppsf", 2).alias("hood_median_ppsf"), "comparable_count", "recent", "is_multi_offer_by_dom", "is_not_multi_offer_by_dom", "is_underpriced", "likely_multi_offer", rdp(logic, 3).alias("realtor_logic"), rdp(F.coalesce(F.try_element_at(boost, "season"), F.lit(1.0)), 2).alias("season_boost"))
+    plain = ["mls_number", "bedrooms", "bathrooms", "sqft", "age", "price_diff", "recency_weight", "likely_multi_offer", "is_multi_offer_by_dom", "is_not_multi_offer_by_dom", "is_underpriced_for_bidding", "comp_count_in_neighborhood", "house_type", "garage_type", "season", "neighborhood", "style"]
+    made = {"list_price": ("capped_list", 2), "over_asking_pct": ("over_asking_pct", 4), "price_per_sqft": ("price_per_sqft", 2), "neighborhood_hotness": ("hotness", 3), "neighborhood_ppsf_premium": (F.col("hood_ppsf") / F.col("city_ppsf"), 3), "sold_price": ("capped_sold", 2)}
+    boost = F.coalesce(F.try_element_at(literal_map(SEASON_BOOST), "season"), F.lit(1.0))
+    out = x.select(*plain, *[rdp(c, n).alias(name) for name, (c, n) in made.items()], rdp(logic, 3).alias("realtor_logic"), rdp(boost, 2).alias("season_boost"), one(F.col("neighborhood").isin(*HOT_AREAS)).alias("is_hot_area"))
+    return out.dropna(subset=[c for c in out.columns if c != "mls_number"])
+
+
+def benchmark_rows(rows: DataFrame) -> DataFrame:
+    """Rows that the benchmark may use: positive prices and size and a date; age, month of sale, a null lot size where there is none, Unknown for null categories."""
+    x = rows.where("sold_price > 0 and list_price > 0 and sqft > 0 and sold_date is not null")
+    x = x.withColumns({"age": F.when(F.col("built_year").isNotNull(), F.greatest(F.lit(0), F.year("sold_date") - F.col("built_year"))), "sold_month": F.month("sold_date")})
+    if "lot_size" not in rows.columns:
+        x = x.withColumn("lot_size", F.lit(None).cast("double"))
+    return x.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in CATEGORIES if c in rows.columns})
 
 
 def chronological_split(rows: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -47,12 +86,12 @@ def chronological_split(rows: DataFrame, train: float = 0.70, val: float = 0.15)
 
 
 def baselines(split: DataFrame) -> DataFrame:
-    """Test rows with the predictions of both baselines, learnt on the training rows alone."""
+    """Test rows with the predictions of both baselines, learnt on the training rows alone; of benchmark_rows(), so that no neighbourhood is null."""
     train = split.where("split = 'train'").withColumn("ppsf", F.col("sold_price").cast("double") / F.col("sqft"))
     whole = train.agg(F.median(F.col("sold_price").cast("double")).alias("all_price"), F.median("ppsf").alias("all_ppsf"))
     hood = train.groupBy("neighborhood").agg(F.median("ppsf").alias("hood_ppsf"))
-    test = split.where("split = 'test'").join(F.broadcast(hood), "neighborhood", "left").crossJoin(whole)
-    return test.select("mls_number", "neighborhood", "house_type", "sqft", F.col("sold_price").cast("double").alias("actual"), F.col("all_price").alias("global_median"), (F.coalesce("hood_ppsf", "all_ppsf") * F.col("sqft")).alias("comparable_ppsf"))
+    test = split.where("split = 'test'").join(hood, "neighborhood", "left").crossJoin(F.broadcast(whole))  # one row of the whole
+    return test.select("mls_number", "neighborhood", "house_type", "sqft", F.col("sold_price").cast("double").alias("actual"), F.col("all_price").alias("baseline_global_median"), (F.coalesce("hood_ppsf", "all_ppsf") * F.col("sqft")).alias("baseline_comparable_ppsf"))
 
 
 def regression_metrics(rows: DataFrame, *by: str) -> DataFrame:
@@ -68,13 +107,13 @@ def regression_metrics(rows: DataFrame, *by: str) -> DataFrame:
 def benchmark(split: DataFrame) -> DataFrame:
     """Both baselines' metrics on the test rows."""
     p = baselines(split)
-    long = p.select("actual", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in ("global_median", "comparable_ppsf")])).alias("m")).select("actual", "m.*")
+    long = p.select("actual", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in ("baseline_global_median", "baseline_comparable_ppsf")])).alias("m")).select("actual", "m.*")
     return regression_metrics(long, "model")
 
 
 def segment_errors(split: DataFrame) -> DataFrame:
     """The comparable baseline's error by four dimensions in one pass."""
-    p = baselines(split).withColumn("predicted", F.col("comparable_ppsf"))
+    p = baselines(split).withColumn("predicted", F.col("baseline_comparable_ppsf"))
     keys = {"neighborhood": F.col("neighborhood"), "house_type": F.col("house_type"), "price_band": price_band("actual"), "sqft_band": sqft_band("sqft")}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.coalesce(v, F.lit("Unknown")).alias("key")) for k, v in keys.items()]))
     out = regression_metrics(p.select("actual", "predicted", each.alias("g")).select("actual", "predicted", "g.*"), "dimension", "key")
@@ -90,12 +129,22 @@ def multi_offer_premium(rows: DataFrame) -> DataFrame:
     return out.select("neighborhood", rdp("a", 2).alias("multi_price"), rdp("b", 2).alias("ontime_price"), rdp((F.col("a") / F.col("b") - 1) * 100, 1).alias("premium_pct"))
 
 
+def suggested_premium(neighborhood, multi_offer: Column) -> Column:
+    """The premium in per cent suggested for a neighbourhood: 0 unless several offers are likely, 5 for unknown ones."""
+    return F.when(~F.coalesce(multi_offer, F.lit(False)), 0.0).otherwise(F.coalesce(F.try_element_at(literal_map(PREMIUMS), F.coalesce(neighborhood, F.lit(""))), F.lit(DEFAULT_PREMIUM)))
+
+
+def basement_adjustment(basement) -> Column:
+    """Dollars for a basement type; 0 for unknown ones and null."""
+    return F.coalesce(F.try_element_at(literal_map(BASEMENT), F.coalesce(basement, F.lit(""))), F.lit(0))
+
+
 def offer_price(rows: DataFrame, premium: DataFrame) -> DataFrame:
     """Offer from a predicted price (here the list price): premium if several offers are likely, basement adjustment, buffer."""
-    adjust = F.create_map(*[F.lit(v) for kv in BASEMENT.items() for v in kv])
-    x = rows.join(F.broadcast(premium.select("neighborhood", "premium_pct")), "neighborhood", "left")
-    p = F.when(F.col("dom_days") <= 3, F.least(F.greatest(F.coalesce("premium_pct", F.lit("5.0").cast("decimal(18,1)")), F.lit(0).cast("decimal(18,1)")), F.lit(30).cast("decimal(18,1)"))).otherwise(F.lit(0).cast("decimal(18,1)"))
-    offer = F.col("list_price").cast("double") * (1 + p.cast("double") / 100) + F.coalesce(F.try_element_at(adjust, F.coalesce("basement_type", F.lit("None"))), F.lit(0))
+    x = rows.join(premium.select("neighborhood", "premium_pct"), "neighborhood", "left")
+    dec = lambda v: F.lit(v).cast("decimal(18,1)")
+    p = F.when(F.col("dom_days") <= 3, F.least(F.greatest(F.coalesce("premium_pct", dec(5)), dec(0)), dec(30))).otherwise(dec(0))
+    offer = F.col("list_price").cast("double") * (1 + p.cast("double") / 100) + basement_adjustment(F.col("basement_type"))
     x = x.select("mls_number", p.alias("premium_used"), offer.alias("_offer"))
     return x.select("mls_number", "premium_used", rdp("_offer", 2).alias("offer"), rdp(F.greatest(F.lit(5000.0), F.least(F.abs(F.col("_offer") * 0.02), F.lit(10000.0))), 2).alias("buffer"))
 
@@ -115,12 +164,38 @@ def keep_last(rows: DataFrame, *keys: str, order: str = "_ord") -> DataFrame:
 
 
 def dedupe_valid_mls(rows: DataFrame) -> DataFrame:
-    """The last row of each nine-digit number, and every row whose number is none."""
-    valid = F.coalesce(F.col("mls_number").rlike(r"^\d{9}$"), F.lit(False))
-    return keep_last(rows.where(valid), "mls_number").unionByName(rows.where(~valid))
+    """The last row of each number that has nine digits, as digits alone, and every row whose number has not."""
+    digits = F.regexp_replace("mls_number", r"\D", "")
+    valid = F.coalesce(F.length(digits) == 9, F.lit(False))
+    return keep_last(rows.where(valid).withColumn("mls_number", digits), "mls_number").unionByName(rows.where(~valid))
+
+
+def insert_new(rows: DataFrame, target: DataFrame, order: str = "_ord") -> DataFrame:
+    """rows to insert where (address, listing_date) is unique and a conflict does nothing: the first of each key that is not in target; a null makes a key unlike any other."""
+    known = rows.where("address is not null and listing_date is not null")
+    fresh = known.join(target.select("address", "listing_date"), ["address", "listing_date"], "left_anti")
+    first = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy("address", "listing_date").orderBy(order))).where("_rn = 1").drop("_rn")
+    return first.unionByName(rows.where("address is null or listing_date is null"))
+
+
+def keep_last_listing(rows: DataFrame, order: str = "_ord") -> DataFrame:
+    """Rows with a positive list price, the last of each (mls_number, address)."""
+    return keep_last(rows, "mls_number", "address", order=order).where("list_price > 0")
+
+
+def best_model(metrics: DataFrame) -> DataFrame:
+    """The models by mean absolute error, the best first, with their rank."""
+    return metrics.withColumn("rank", F.row_number().over(Window.orderBy("mae", "model")))  # a row per model
+
+
+def modal(rows: DataFrame, key: str, value: str, order: str = "_ord") -> DataFrame:
+    """(key, value, n): the commonest value of each key that is not null; of equally common ones the first seen."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+    best = F.max_by(F.struct(value, "n"), F.struct(F.col("n"), -F.col("_first")))
+    return counts.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
-def insert_new(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """rows whose (address, listing_date) is not in target, null-safe, one of each."""
-    same = rows.address.eqNullSafe(target.address) & rows.listing_date.eqNullSafe(target.listing_date)
-    return keep_last(rows.join(target, same, "left_anti"), "address", "listing_date")
+def aligned(left: DataFrame, right: DataFrame, key: str = "page", order: str = "_ord") -> DataFrame:
+    """The i-th row of left beside the i-th of right within each key; the shorter side ends the pairs."""
+    nth = lambda x: x.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return nth(left).drop(order).join(nth(right).drop(order), [key, "_i"]).withColumnRenamed("_i", "position")

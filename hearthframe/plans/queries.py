@@ -76,10 +76,10 @@ u5 AS (SELECT *, ok OR n_ok < 3 AS used, CASE WHEN ok OR n_ok < 3 THEN similarit
 u6 AS (SELECT *, sum(w) OVER (PARTITION BY s_mls_number) AS total, {", ".join(f"CASE WHEN used THEN sum(w) OVER (PARTITION BY s_mls_number ORDER BY {v}, c_mls_number ROWS UNBOUNDED PRECEDING) END AS {v}_cum" for v in ("sn", "direct", "ppsf"))} FROM u5),
 v0 AS (SELECT s_mls_number AS mls_number, any_value(tier) AS tier, any_value(tier_widened) AS tier_widened, any_value(candidate_count) AS candidate_count, count(*) AS n_comps,
  {", ".join(f"CAST(floor(min(CASE WHEN sn_cum * {b} >= total * {a} THEN sn END) / 500.0::DOUBLE + 0.5::DOUBLE) * 500 AS BIGINT) AS {n}" for n, a, b in (("indicated_value", 1, 2), ("range_low", 1, 4), ("range_high", 3, 4)))},
- {rdp("min(CASE WHEN direct_cum * 2 >= total THEN direct END)", 2)} AS direct_median, {rdp("min(CASE WHEN ppsf_cum * 2 >= total THEN ppsf END)", 2)} AS median_ppsf, {rdp("any_value(med_sim)", 3)} AS median_similarity, any_value(n_ok) < count(*) AS extreme_ppsf_excluded,
+ {rdp("min(CASE WHEN direct_cum * 2 >= total THEN direct END)", 2)} AS direct_median, {rdp("min(CASE WHEN ppsf_cum * 2 >= total THEN ppsf END)", 2)} AS median_ppsf, {rdp("any_value(med_sim)", 2)} AS median_similarity, any_value(med_sim) AS sim_raw, sum(data_coverage) AS cov, any_value(n_ok) < count(*) AS extreme_ppsf_excluded,
  min(c_sold_date) AS first_sold, max(c_sold_date) AS last_sold, max(CASE WHEN rd = floor(n / 2) + 1 THEN abs(size_diff_pct) > 25 END) AS size_mismatch, {rdp("CAST(sum(data_coverage) AS DOUBLE) / count(*)", 4)} AS mean_coverage FROM u6 GROUP BY s_mls_number),
 v1 AS (SELECT *, CASE WHEN indicated_value > 0 THEN {rdp("(range_high - range_low) / CAST(indicated_value AS DOUBLE)", 4)} ELSE 0 END AS price_spread FROM v0),
-valued AS (SELECT *, CASE WHEN n_comps >= 7 AND median_similarity >= 75 AND mean_coverage >= 0.75 AND price_spread <= 0.20 AND NOT tier_widened THEN 'high' WHEN n_comps >= 4 AND median_similarity >= 60 AND mean_coverage >= 0.50 AND price_spread <= 0.35 THEN 'medium' ELSE 'low' END AS confidence FROM v1)"""
+valued AS (SELECT *, CASE WHEN n_comps >= 7 AND sim_raw >= 75 AND cov >= 0.75 * n_comps AND price_spread <= 0.20 AND NOT tier_widened THEN 'high' WHEN n_comps >= 4 AND sim_raw >= 60 AND cov >= 0.50 * n_comps AND price_spread <= 0.35 THEN 'medium' ELSE 'low' END AS confidence FROM v1)"""
 )
 CASES = (
     VALUED
@@ -207,29 +207,47 @@ def srt_02(spark, d):
 
 # -- ingestion and storage ------------------------------------------------------------------------------------------
 _K = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
+_W = "trim(regexp_replace(lower(coalesce({}, '')), '[,\\s]+', ' ', 'g'))"
+_of = lambda x: ", ".join(f"{v} AS {n}" for n, v in x.items())
+_say = lambda c: f"'single=' || CAST(s.{c} AS VARCHAR) || ' full=' || CAST(f.{c} AS VARCHAR)"
+_when = lambda test, said: f"CASE WHEN {test} THEN {said} END"
+_list = lambda xs: f"list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL)"
+_MAYBE = lambda c: f"coalesce(nullif(f.{c}, ''), s.{c}) AS {c}"
+_BLOCKS = "['DUPLICATE_MLS','SOLD_DATE_CONFLICT','SOLD_PRICE_CONFLICT','MISSING_REQUIRED_FIELD','INVALID_PRICE','INVALID_DATE','FUTURE_SOLD_DATE']"
 RECON = (
     SALES
-    + f""", single AS (SELECT * FROM sales WHERE _ord % 50 <> 1), fulls AS (SELECT mls_number, CASE WHEN _ord % 50 = 4 THEN sold_date + 1 ELSE sold_date END AS sold_date, CAST(CASE WHEN _ord % 50 = 3 THEN sold_price + 1 ELSE sold_price END AS DECIMAL(12,2)) AS sold_price, list_price, address, linc_number, property_type, living_area_sqft, year_built, bedrooms_total, _ord FROM sales WHERE _ord % 50 <> 2),
-rec AS (SELECT coalesce(s.mls_number, f.mls_number) AS mls_number, coalesce(f.sold_date, s.sold_date) AS sold_date, coalesce(f.sold_price, s.sold_price) AS sold_price, coalesce(f.list_price, s.list_price) AS list_price, coalesce(f.address, s.address) AS address, s.area_code, f.linc_number, f.property_type, f.living_area_sqft, f.year_built, f.bedrooms_total, s.mls_number IS NOT NULL AS has_s, f.mls_number IS NOT NULL AS has_f,
- list_filter([CASE WHEN f.mls_number IS NULL THEN 'MISSING_CLIENT_FULL' END, CASE WHEN s.mls_number IS NULL THEN 'MISSING_SINGLE_LINE' END, CASE WHEN s._ord % 50 = 5 THEN 'DUPLICATE_MLS' END, CASE WHEN s.sold_date <> f.sold_date THEN 'SOLD_DATE_CONFLICT' END, CASE WHEN s.sold_price <> f.sold_price THEN 'SOLD_PRICE_CONFLICT' END], lambda x: x IS NOT NULL) AS issues0 FROM single s FULL JOIN fulls f ON s.mls_number = f.mls_number),
-val AS (SELECT *, list_concat(issues0, list_filter([CASE WHEN sold_price IS NULL OR sold_date IS NULL OR property_type IS NULL OR (coalesce(address, '') = '' AND coalesce(linc_number, '') = '') THEN 'MISSING_REQUIRED_FIELD' END, CASE WHEN sold_date > DATE '2001-06-30' THEN 'FUTURE_SOLD_DATE' END, CASE WHEN sold_price < 1 OR sold_price > 50000000 OR list_price < 1 OR list_price > 50000000 THEN 'INVALID_PRICE' END, CASE WHEN living_area_sqft < 100 OR living_area_sqft > 30000 OR year_built < 1850 OR year_built > 2100 OR bedrooms_total > 20 THEN 'OUT_OF_RANGE' END], lambda x: x IS NOT NULL)) AS issues FROM rec),
-acc AS (SELECT *, CASE WHEN list_has_any(issues, ['DUPLICATE_MLS','SOLD_DATE_CONFLICT','SOLD_PRICE_CONFLICT','MISSING_REQUIRED_FIELD','INVALID_PRICE','INVALID_DATE','FUTURE_SOLD_DATE']) THEN 'rejected' ELSE 'accepted' END AS status FROM val)"""
+    + f""", single AS (SELECT * FROM (SELECT {_of(T.SINGLE_LINE)} FROM sales WHERE _ord % 50 <> 1) WHERE mls_number IS NOT NULL), fulls AS (SELECT {_of(T.CLIENT_FULL)} FROM sales WHERE _ord % 50 <> 2),
+rec AS (SELECT coalesce(s.mls_number, f.mls_number) AS mls_number, coalesce(f.sold_date, s.sold_date) AS sold_date, coalesce(f.sold_price, s.sold_price) AS sold_price, coalesce(f.list_price, s.list_price) AS list_price, {", ".join(map(_MAYBE, ("address", "area_code", "property_type", "style")))}, coalesce(f.dom, s.dom) AS dom, f.linc_number,
+ coalesce(f.year_built, s.year_built) AS year_built, coalesce(f.living_area_sqft, s.living_area_sqft) AS living_area_sqft, f.bedrooms_total, s.mls_number IS NOT NULL AS has_s, f.mls_number IS NOT NULL AS has_f,
+ {_list([
+     _when("f.mls_number IS NULL", "'MISSING_CLIENT_FULL_RECORD||'"), _when("s.mls_number IS NULL", "'MISSING_SINGLE_LINE_RECORD||'"), _when("s._ord % 50 = 5", "'DUPLICATE_MLS||MLS appears more than once in a source report'"),
+     _when("s.sold_date <> f.sold_date", "'SOLD_DATE_CONFLICT|sold_date|' || " + _say("sold_date")), _when("s.sold_price <> f.sold_price", "'SOLD_PRICE_CONFLICT|sold_price|' || " + _say("sold_price")), _when("s.list_price <> f.list_price", "'LIST_PRICE_CONFLICT|list_price|' || " + _say("list_price")),
+     _when(f"s.address <> '' AND f.address <> '' AND NOT contains({_W.format('s.address')}, {_W.format('f.address')}) AND NOT contains({_W.format('f.address')}, {_W.format('s.address')})", "'ADDRESS_CONFLICT|address|single=' || chr(39) || s.address || chr(39) || ' full=' || chr(39) || f.address || chr(39)"),
+ ])} AS issues0 FROM single s FULL JOIN fulls f ON s.mls_number = f.mls_number),
+val AS (SELECT *, list_concat(issues0, {_list([
+     *[_when(f"coalesce(CAST({c} AS VARCHAR), '') = ''", f"'MISSING_REQUIRED_FIELD|{c}|'") for c in ("sold_price", "sold_date", "property_type")], _when("coalesce(address, '') = '' AND coalesce(linc_number, '') = ''", "'MISSING_REQUIRED_FIELD|address_or_linc|'"),
+     _when("sold_date > DATE '2001-06-30'", "'FUTURE_SOLD_DATE|sold_date|' || CAST(sold_date AS VARCHAR)"), *[_when(f"{c} < 1 OR {c} > 50000000", f"'INVALID_PRICE|{c}|' || CAST({c} AS VARCHAR)") for c in ("sold_price", "list_price")],
+     _when("living_area_sqft < 100 OR living_area_sqft > 30000", "'OUT_OF_RANGE|living_area_sqft|' || CAST(living_area_sqft AS VARCHAR)"), _when("year_built < 1850 OR year_built > 2100", "'OUT_OF_RANGE|year_built|' || CAST(year_built AS VARCHAR)"), _when("bedrooms_total > 20", "'OUT_OF_RANGE|bedrooms_total|'"),
+ ])}) AS told FROM rec),
+acc AS (SELECT * EXCLUDE (issues), issues, CASE WHEN list_has_any(issues, {_BLOCKS}) THEN 'rejected' ELSE 'accepted' END AS status FROM (SELECT *, list_transform(told, lambda x: string_split(x, '|')[1]) AS issues FROM val))"""
 )
+_TOLD = F.array_join(F.transform("issues", lambda i: F.concat_ws("|", i["code"], i["field"], i["detail"])), ";")
+_REC = "mls_number sold_date sold_price list_price address area_code linc_number property_type style dom year_built living_area_sqft bedrooms_total"
 
 
 def _validated(spark, d):
     return ingestion.validate(ingestion.reconcile(*T.two_reports(spark, d)), "2001-06-30")
 
 
-@query("jn_03_reconcile", f"WITH {RECON} SELECT mls_number, sold_date, sold_price, list_price, address, linc_number, array_to_string(issues0, '|') AS issue_codes, CAST(year(sold_date) AS INTEGER) AS sale_year, CAST(month(sold_date) AS INTEGER) AS sale_month, CAST(substr(mls_number, 1, 4) AS INTEGER) AS mls_year_hint FROM rec")
+@query("jn_03_reconcile", f"WITH {RECON} SELECT {_REC.replace(' ', ', ')}, array_to_string(issues0, ';') AS issues, CAST(year(sold_date) AS INTEGER) AS sale_year, CAST(month(sold_date) AS INTEGER) AS sale_month, CAST(substr(mls_number, 1, 4) AS INTEGER) AS mls_year_hint FROM rec")
 def jn_03(spark, d):
     x = ingestion.reconcile(*T.two_reports(spark, d))
-    return x.select("mls_number", "sold_date", "sold_price", "list_price", "address", "linc_number", F.array_join("issues", "|").alias("issue_codes"), "sale_year", "sale_month", "mls_year_hint")
+    return x.select(*_REC.split(), _TOLD.alias("issues"), "sale_year", "sale_month", "mls_year_hint")
 
 
-@query("flt_07_validate", f"WITH {RECON} SELECT mls_number, array_to_string(issues, '|') AS issue_codes, status FROM acc")
+@query("flt_07_validate", f"WITH {RECON} SELECT mls_number, array_to_string(told, ';') AS issues, status FROM acc")
 def flt_07(spark, d):
-    return _validated(spark, d).select("mls_number", F.array_join("issues", "|").alias("issue_codes"), "status")
+    return _validated(spark, d).select("mls_number", _TOLD.alias("issues"), "status")
 
 
 @query("agg_17_batch_summary", f"""WITH {RECON}, t AS (SELECT CAST(sum((has_s AND has_f)::INT) AS BIGINT) AS matched, CAST(sum((NOT has_f)::INT) AS BIGINT) AS single_only, CAST(sum((NOT has_s)::INT) AS BIGINT) AS full_only, CAST(sum((status = 'accepted')::INT) AS BIGINT) AS accepted, CAST(sum((status = 'rejected')::INT) AS BIGINT) AS rejected, CAST(sum(list_contains(issues, 'DUPLICATE_MLS')::INT) AS BIGINT) AS duplicates,
@@ -239,32 +257,48 @@ def agg_17(spark, d):
     return ingestion.batch_summary(_validated(spark, d))
 
 
-@query("prj_06_issue_rows", f"WITH {RECON} SELECT mls_number, reason_code, CASE WHEN reason_code IN ('DUPLICATE_MLS','SOLD_DATE_CONFLICT','SOLD_PRICE_CONFLICT') THEN 'conflict' WHEN reason_code IN ('MISSING_REQUIRED_FIELD','INVALID_PRICE','INVALID_DATE','FUTURE_SOLD_DATE') THEN 'rejected' ELSE 'warning' END AS severity FROM (SELECT mls_number, unnest(issues) AS reason_code FROM acc)")
+@query("prj_06_issue_rows", f"WITH {RECON} SELECT mls_number, x[1] AS reason_code, x[2] AS field_name, x[3] AS message, CASE WHEN x[1] IN ('DUPLICATE_MLS','SOLD_DATE_CONFLICT','SOLD_PRICE_CONFLICT') THEN 'conflict' WHEN x[1] IN ('MISSING_REQUIRED_FIELD','INVALID_PRICE','INVALID_DATE','FUTURE_SOLD_DATE') THEN 'rejected' ELSE 'warning' END AS severity FROM (SELECT mls_number, string_split(unnest(told), '|') AS x FROM acc)")
 def prj_06(spark, d):
     return ingestion.issue_rows(_validated(spark, d))
 
 
-def _fp(extra: str = "sold_price") -> str:
-    pid = "CASE WHEN coalesce(linc_number, '') <> '' THEN 'linc:' || " + _K.format("linc_number") + " ELSE 'addr:' || " + _K.format("coalesce(address, '')") + " || '|' END"
-    parts = {"address": "address", "linc_number": "linc_number", "list_price": "CAST(list_price AS VARCHAR)", "mls_number": "mls_number", "normalized_property_id": pid, "postal_code": "NULL", "sold_date": "CAST(sold_date AS VARCHAR)", "sold_price": f"CAST({extra} AS VARCHAR)"}
-    return "sha256('{' || " + " || ',' || ".join(f"'\"{k}\":\"' || coalesce({v}, '') || '\"'" for k, v in parts.items()) + " || '}')"
+_ESC = r"""'"' || array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN unicode(c) > 126 THEN printf('\u%04x', unicode(c)) ELSE c END), '') || '"'"""
 
 
-@query("hsh_01_record_fingerprint", f"WITH {SALES} SELECT mls_number, {_fp()} AS record_fingerprint FROM sales")
+def _json_sha(parts: dict[str, str]) -> str:
+    return "sha256('{' || " + " || ',' || ".join(f"'\"{k}\":' || " + _ESC.format(f"trim(coalesce({v}, ''))") for k, v in sorted(parts.items())) + " || '}')"
+
+
+def _fp(price: str = "sold_price", address: str = "address") -> str:
+    key = lambda x: _K.format(f"coalesce({x}, '')")
+    pid = f"CASE WHEN {key('linc_number')} <> '' THEN 'linc:' || {key('linc_number')} WHEN {key(address)} <> '' THEN 'addr:' || {key(address)} || '|' END"
+    return _json_sha({"address": address, "linc_number": "linc_number", "list_price": "CAST(list_price AS VARCHAR)", "mls_number": "mls_number", "normalized_property_id": pid, "postal_code": "NULL", "sold_date": "CAST(sold_date AS VARCHAR)", "sold_price": f"CAST({price} AS VARCHAR)"})
+
+
+_ODD = {"linc_number": "CASE WHEN _ord % 37 = 0 THEN '---' ELSE linc_number END", "address": "CASE _ord % 41 WHEN 0 THEN concat(address, ' \"Café\" ') WHEN 1 THEN '' WHEN 2 THEN concat('  漢 ', address) ELSE address END"}
+
+
+@query("hsh_01_record_fingerprint", f"WITH {SALES}, x AS (SELECT * REPLACE ({_of(_ODD)}) FROM sales) SELECT mls_number, {_fp()} AS record_fingerprint FROM x")
 def hsh_01(spark, d):
-    return T.fingerprinted(T.sales(spark, d)).select("mls_number", "record_fingerprint")
+    view = T.sales(spark, d)
+    odd = view.selectExpr(*[f"{_ODD.get(c, c)} AS {c}" for c in view.columns])
+    return T.fingerprinted(odd).select("mls_number", "record_fingerprint")
 
 
 def _promotion(spark, d):
     canonical = T.fingerprinted(T.sales(spark, d).where("_ord % 4 < 2 and _ord % 3 = 0"))
-    return ingestion.promotion(T.staged(spark, d), canonical), canonical
+    staged = T.staged(spark, d)
+    batches = staged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).select("batch_id", F.when(F.col("batch_id") == 5, "review_required").otherwise("staged").alias("status"), (F.col("n") + (F.col("batch_id") == 4).cast("int")).alias("accepted_count"))
+    issues = spark.range(1).select(F.explode(F.expr("array(named_struct('batch_id', 6, 'severity', 'conflict', 'resolved', false), named_struct('batch_id', 7, 'severity', 'rejection', 'resolved', false), named_struct('batch_id', 2, 'severity', 'conflict', 'resolved', true), named_struct('batch_id', 3, 'severity', 'warning', 'resolved', false))")).alias("i")).select("i.*")
+    plan = ingestion.promotion(staged, canonical)
+    return plan, canonical, batches, ingestion.promotion_gate(plan, batches, issues)
 
 
 PROMO = (
     SALES
-    + f""", st AS (SELECT *, CAST(_ord % 4 AS INTEGER) AS batch_id, CAST(CASE WHEN _ord % 97 = 0 THEN sold_price + 1000 ELSE sold_price END AS DECIMAL(12,2)) AS price FROM sales),
+    + f""", st AS (SELECT *, CAST(CASE WHEN _ord % 4 < 2 THEN _ord % 4 ELSE 2 + _ord % 6 END AS INTEGER) AS batch_id, CAST(CASE WHEN _ord % 97 = 0 THEN sold_price + 1000 ELSE sold_price END AS DECIMAL(12,2)) AS price FROM sales),
 plan AS (SELECT *, CASE WHEN NOT (_ord % 4 < 2 AND _ord % 3 = 0) THEN 'insert' WHEN {_fp("price")} = {_fp()} THEN 'skip' ELSE 'conflict' END AS action FROM st),
-gate AS (SELECT batch_id, {", ".join(f"CAST(sum((action = '{a}')::INT) AS BIGINT) AS n_{a}" for a in ("insert", "skip", "conflict"))}, count(*) AS staged, sum((action = 'conflict')::INT) = 0 AS promotable FROM plan GROUP BY batch_id)"""
+gate AS (SELECT *, blocked_by IS NULL AS promotable FROM (SELECT batch_id, {", ".join(f"CAST(sum((action = '{a}')::INT) AS BIGINT) AS n_{a}" for a in ("insert", "skip", "conflict"))}, count(*) AS staged, CASE batch_id WHEN 5 THEN 'status' WHEN 6 THEN 'unresolved conflicts' WHEN 7 THEN 'unresolved rejections' WHEN 4 THEN 'accepted_count' ELSE CASE WHEN sum((action = 'conflict')::INT) > 0 THEN 'canonical conflict' END END AS blocked_by FROM plan GROUP BY batch_id))"""
 )
 
 
@@ -275,12 +309,21 @@ def jn_05(spark, d):
 
 @query("cst_05_promotion_gate", f"WITH {PROMO} SELECT * FROM gate")
 def cst_05(spark, d):
-    return ingestion.promotion_gate(_promotion(spark, d)[0])
+    return _promotion(spark, d)[3]
 
 
 @query("q_08_promote", f"WITH {PROMO} SELECT mls_number, sold_price FROM sales WHERE _ord % 4 < 2 AND _ord % 3 = 0 UNION ALL SELECT mls_number, price FROM plan JOIN gate USING (batch_id) WHERE promotable AND action = 'insert'")
 def q_08(spark, d):
-    return ingestion.promote(*_promotion(spark, d)).select("mls_number", "sold_price")
+    plan, canonical, _, gate = _promotion(spark, d)
+    return ingestion.promote(plan, canonical, gate).select("mls_number", "sold_price")
+
+
+@query("snk_06_status_after_promotion", f"WITH {PROMO} SELECT batch_id, CASE WHEN promotable THEN 'approved' WHEN batch_id = 5 THEN 'review_required' ELSE 'staged' END AS status, CAST(NULL AS VARCHAR) AS mls_number, CAST(NULL AS VARCHAR) AS reason_code FROM gate UNION ALL SELECT batch_id, NULL, mls_number, 'CANONICAL_FINGERPRINT_CONFLICT' FROM plan JOIN gate USING (batch_id) WHERE blocked_by = 'canonical conflict' AND action = 'conflict'")
+def snk_06(spark, d):
+    plan, _, batches, gate = _promotion(spark, d)
+    after, told = ingestion.promotion_outcome(plan, batches, gate)
+    none = F.lit(None).cast("string")
+    return after.select("batch_id", "status", none.alias("mls_number"), none.alias("reason_code")).unionByName(told.select("batch_id", none.alias("status"), "mls_number", "reason_code"))
 
 
 @query("cst_02_violations", f"WITH {SALES} SELECT 'unique_mls_number' AS rule, count(*) AS n FROM (SELECT mls_number FROM (SELECT * FROM sales UNION ALL SELECT * FROM sales WHERE _ord % 50 = 5) GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0")
@@ -290,32 +333,42 @@ def cst_02(spark, d):
 
 
 # -- features, splits, market ---------------------------------------------------------------------------------------
-@query("q_09_training_features", f"""WITH {HOUSING}, x AS (SELECT *, CAST(greatest(0, year(sold_date) - built_year) AS INTEGER) AS age, sold_price - list_price AS price_diff, CAST(sold_price AS DOUBLE) / CAST(list_price AS DOUBLE) - 1 AS over, CAST(sold_price AS DOUBLE) / sqft AS ppsf FROM housing WHERE bathrooms > 0 AND bedrooms > 0 AND sqft >= 500 AND list_price > 0 AND sold_price > 0 AND neighborhood IS NOT NULL),
-h AS (SELECT neighborhood, median(ppsf) AS med, count(*) AS cc, CAST(sum(CAST(ppsf AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS mean FROM x GROUP BY 1), g AS (SELECT quantile_cont(CAST(list_price AS DOUBLE), 0.99) AS cap, max(sold_date) AS last, max(ppsf) AS top FROM x),
-y AS (SELECT *, CAST(dom_days <= 3 AS INTEGER) AS mo, CAST(dom_days > 11 AS INTEGER) AS nmo, CAST(least(CAST(list_price AS DOUBLE), cap) / sqft < med AND dom_days <= 3 AS INTEGER) AS up, 1 - mean / top AS hot FROM x JOIN h USING (neighborhood), g)
-SELECT mls_number, age, price_diff, {rdp("over", 4)} AS over_asking_pct, {rdp("ppsf", 2)} AS price_per_sqft, {rdp("med", 2)} AS hood_median_ppsf, cc AS comparable_count, CAST(sold_date >= last - 90 AS INTEGER) AS recent, mo AS is_multi_offer_by_dom, nmo AS is_not_multi_offer_by_dom, up AS is_underpriced, greatest(mo, up) AS likely_multi_offer,
- {rdp("hot * 0.4::DOUBLE + greatest(mo, up) * 0.3::DOUBLE + (1 - age / 100.0::DOUBLE) * 0.3::DOUBLE", 3)} AS realtor_logic, {rdp("CASE season WHEN 'Spring' THEN 1.1::DOUBLE WHEN 'Summer' THEN 1.05::DOUBLE WHEN 'Winter' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END", 2)} AS season_boost FROM y""")
+_GARAGE = "CASE WHEN _ord % 7 <> 0 THEN 'Double' END"
+
+
+@query("q_09_training_features", f"""WITH {HOUSING}, x AS (SELECT * REPLACE ({_GARAGE} AS garage_type), CASE WHEN built_year IS NOT NULL THEN CAST(greatest(0, year(sold_date) - built_year) AS INTEGER) END AS age, sold_price - list_price AS price_diff, CAST(sold_price - list_price AS DOUBLE) / CAST(list_price AS DOUBLE) AS over, CAST(sold_price AS DOUBLE) / sqft AS ppsf FROM housing WHERE bathrooms > 0 AND bedrooms > 0 AND sqft >= 500 AND list_price > 0 AND sold_price > 0 AND dom_days >= 0 AND sold_date IS NOT NULL),
+h AS (SELECT neighborhood, median(ppsf) AS med, count(*) AS cc, CAST(sum(CAST(ppsf AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS mean FROM x WHERE neighborhood IS NOT NULL GROUP BY 1), g AS (SELECT quantile_cont(CAST(list_price AS DOUBLE), 0.99) AS cl, quantile_cont(CAST(sold_price AS DOUBLE), 0.99) AS cs, max(sold_date) AS last, max(ppsf) AS top, median(ppsf) AS city FROM x),
+y AS (SELECT *, least(CAST(list_price AS DOUBLE), cl) AS lp, CAST(dom_days <= 3 AS INTEGER) AS mo, CAST(dom_days > 11 AS INTEGER) AS nmo, CAST(least(CAST(list_price AS DOUBLE), cl) < med * sqft * 0.95::DOUBLE AND dom_days <= 3 AS INTEGER) AS up, 1 - mean / top AS hot FROM x JOIN h USING (neighborhood), g)
+SELECT mls_number, bedrooms, bathrooms, sqft, age, price_diff, CAST(sold_date >= last - 90 AS INTEGER) AS recency_weight, greatest(mo, up) AS likely_multi_offer, mo AS is_multi_offer_by_dom, nmo AS is_not_multi_offer_by_dom, up AS is_underpriced_for_bidding, cc AS comp_count_in_neighborhood, house_type, garage_type, season, neighborhood, style,
+ {rdp("lp", 2)} AS list_price, {rdp("over", 4)} AS over_asking_pct, {rdp("ppsf", 2)} AS price_per_sqft, {rdp("hot", 3)} AS neighborhood_hotness, {rdp("med / city", 3)} AS neighborhood_ppsf_premium, {rdp("least(CAST(sold_price AS DOUBLE), cs)", 2)} AS sold_price,
+ {rdp("hot * 0.4::DOUBLE + greatest(mo, up) * 0.3::DOUBLE + (1 - age / 100.0::DOUBLE) * 0.3::DOUBLE", 3)} AS realtor_logic, {rdp("CASE season WHEN 'Spring' THEN 1.1::DOUBLE WHEN 'Summer' THEN 1.05::DOUBLE WHEN 'Winter' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END", 2)} AS season_boost, 0 AS is_hot_area
+ FROM y WHERE age IS NOT NULL AND garage_type IS NOT NULL AND style IS NOT NULL AND house_type IS NOT NULL""")
 def q_09(spark, d):
-    return market.training_features(T.housing(spark, d))
+    return market.training_features(T.housing(spark, d).withColumn("garage_type", F.expr(_GARAGE)))
+
+
+@query("prj_11_benchmark_rows", f"WITH {HOUSING} SELECT mls_number, CASE WHEN built_year IS NOT NULL THEN CAST(greatest(0, year(sold_date) - built_year) AS INTEGER) END AS age, CAST(month(sold_date) AS INTEGER) AS sold_month, CAST(NULL AS DOUBLE) AS lot_size, coalesce(neighborhood, 'Unknown') AS neighborhood, coalesce(style, 'Unknown') AS style, 'Unknown' AS garage_type, coalesce(basement_type, 'Unknown') AS basement_type FROM housing WHERE sold_price > 0 AND list_price > 0 AND sqft > 0")
+def prj_11(spark, d):
+    return market.benchmark_rows(T.housing(spark, d)).select("mls_number", "age", "sold_month", "lot_size", "neighborhood", "style", "garage_type", "basement_type")
 
 
 SPLIT = (
     HOUSING
-    + """, p0 AS (SELECT *, row_number() OVER (ORDER BY sold_date, mls_number) AS pos, count(*) OVER () AS n FROM housing WHERE sqft > 0),
+    + """, p0 AS (SELECT *, row_number() OVER (ORDER BY sold_date, mls_number) AS pos, count(*) OVER () AS n FROM (SELECT * REPLACE (coalesce(neighborhood, 'Unknown') AS neighborhood, coalesce(house_type, 'Unknown') AS house_type) FROM housing WHERE sqft > 0 AND sold_price > 0 AND list_price > 0)),
 p1 AS (SELECT *, CASE WHEN pos <= floor(n * 0.70::DOUBLE) THEN 0 WHEN pos <= floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 1 ELSE 2 END AS sp FROM p0),
 split AS (SELECT *, ['train','val','test'][sp + 1] AS split FROM (SELECT *, min(sp) OVER (PARTITION BY address) AS f FROM p1) WHERE sp = f)"""
 )
 BASE = (
     SPLIT
     + """, tr AS (SELECT *, CAST(sold_price AS DOUBLE) / sqft AS ppsf FROM split WHERE split = 'train'), w AS (SELECT median(CAST(sold_price AS DOUBLE)) AS ap, median(ppsf) AS aq FROM tr), hd AS (SELECT neighborhood, median(ppsf) AS hq FROM tr GROUP BY 1),
-b AS (SELECT t.mls_number, t.neighborhood, t.house_type, t.sqft, CAST(t.sold_price AS DOUBLE) AS actual, ap AS global_median, coalesce(hq, aq) * t.sqft AS comparable_ppsf FROM split t LEFT JOIN hd ON t.neighborhood = hd.neighborhood, w WHERE t.split = 'test')"""
+b AS (SELECT t.mls_number, t.neighborhood, t.house_type, t.sqft, CAST(t.sold_price AS DOUBLE) AS actual, ap AS baseline_global_median, coalesce(hq, aq) * t.sqft AS baseline_comparable_ppsf FROM split t LEFT JOIN hd ON t.neighborhood = hd.neighborhood, w WHERE t.split = 'test')"""
 )
 _D = lambda x: f"CAST(sum(CAST({x} AS DECIMAL(28,6))) AS DOUBLE)"
 _E = "abs(predicted - actual)"
 
 
 def _split(spark, d):
-    return market.chronological_split(T.housing(spark, d).where("sqft > 0"))
+    return market.chronological_split(market.benchmark_rows(T.housing(spark, d)))
 
 
 @query("q_10_chronological_split", f"WITH {SPLIT} SELECT mls_number, split FROM split")
@@ -323,21 +376,21 @@ def q_10(spark, d):
     return _split(spark, d).select("mls_number", "split")
 
 
-@query("agg_22_baselines", f"WITH {BASE} SELECT mls_number, {rdp('actual', 2)} AS actual, {rdp('global_median', 2)} AS global_median, {rdp('comparable_ppsf', 2)} AS comparable_ppsf FROM b")
+@query("agg_22_baselines", f"WITH {BASE} SELECT mls_number, {rdp('actual', 2)} AS actual, {rdp('baseline_global_median', 2)} AS baseline_global_median, {rdp('baseline_comparable_ppsf', 2)} AS baseline_comparable_ppsf FROM b")
 def agg_22(spark, d):
-    return market.baselines(_split(spark, d)).select("mls_number", *[S.rdp(c, 2).alias(c) for c in ("actual", "global_median", "comparable_ppsf")])
+    return market.baselines(_split(spark, d)).select("mls_number", *[S.rdp(c, 2).alias(c) for c in ("actual", "baseline_global_median", "baseline_comparable_ppsf")])
 
 
-@query("q_11_benchmark", f"WITH {BASE}, l AS (SELECT 'global_median' AS model, actual, global_median AS predicted FROM b UNION ALL SELECT 'comparable_ppsf', actual, comparable_ppsf FROM b) SELECT model, count(*) AS n, {rdp(_D(_E) + ' / count(*)', 2)} AS mae, {rdp(f'median({_E})', 2)} AS medae, {rdp(f'sqrt({_D(f'{_E} * {_E}')} / count(*))', 2)} AS rmse, {rdp(_D(_E + ' / actual') + ' / count(*) * 100', 2)} AS mape, {rdp(f'1 - {_D(f'{_E} * {_E}')} / ({_D('actual * actual')} - {_D('actual')} * {_D('actual')} / count(*))', 3)} AS r2 FROM l GROUP BY model")
+@query("q_11_benchmark", f"WITH {BASE}, l AS (SELECT 'baseline_global_median' AS model, actual, baseline_global_median AS predicted FROM b UNION ALL SELECT 'baseline_comparable_ppsf', actual, baseline_comparable_ppsf FROM b) SELECT model, count(*) AS n, {rdp(_D(_E) + ' / count(*)', 2)} AS mae, {rdp(f'median({_E})', 2)} AS medae, {rdp(f'sqrt({_D(f'{_E} * {_E}')} / count(*))', 2)} AS rmse, {rdp(_D(_E + ' / actual') + ' / count(*) * 100', 2)} AS mape, {rdp(f'1 - {_D(f'{_E} * {_E}')} / ({_D('actual * actual')} - {_D('actual')} * {_D('actual')} / count(*))', 3)} AS r2 FROM l GROUP BY model")
 def q_11(spark, d):
     return market.benchmark(_split(spark, d))
 
 
 _PB = _bucket("actual", [(300000, "<300k"), (450000, "300-450k"), (600000, "450-600k"), (900000, "600-900k")], "900k+")
-_SB = _bucket("sqft", [(900, "<900"), (1300, "900-1300"), (1800, "1300-1800"), (2500, "1800-2500")], "2500+")
+_SB = _bucket("sqft", [(900, "<900"), (1300, "900-1299"), (1800, "1300-1799"), (2500, "1800-2499")], "2500+")
 
 
-@query("agg_24_segment_errors", f"WITH {BASE}, l AS ({' UNION ALL '.join(f'''SELECT '{k}' AS dimension, coalesce({v}, 'Unknown') AS key, actual, comparable_ppsf AS predicted FROM b''' for k, v in (('neighborhood', 'neighborhood'), ('house_type', 'house_type'), ('price_band', _PB), ('sqft_band', _SB)))}) SELECT dimension, key, count(*) AS n, {rdp(_D(_E) + ' / count(*)', 2)} AS mae, {rdp(f'median({_E})', 2)} AS medae, {rdp(_D(_E + ' / actual') + ' / count(*) * 100', 2)} AS mape FROM l GROUP BY dimension, key")
+@query("agg_24_segment_errors", f"WITH {BASE}, l AS ({' UNION ALL '.join(f'''SELECT '{k}' AS dimension, coalesce({v}, 'Unknown') AS key, actual, baseline_comparable_ppsf AS predicted FROM b''' for k, v in (('neighborhood', 'neighborhood'), ('house_type', 'house_type'), ('price_band', _PB), ('sqft_band', _SB)))}) SELECT dimension, key, count(*) AS n, {rdp(_D(_E) + ' / count(*)', 2)} AS mae, {rdp(f'median({_E})', 2)} AS medae, {rdp(_D(_E + ' / actual') + ' / count(*) * 100', 2)} AS mape FROM l GROUP BY dimension, key")
 def agg_24(spark, d):
     return market.segment_errors(_split(spark, d))
 
@@ -351,9 +404,12 @@ def q_12(spark, d):
     return market.multi_offer_premium(T.housing(spark, d))
 
 
-@query("prj_14_offer_price", f"WITH {PREMIUM}, o AS (SELECT mls_number, CASE WHEN dom_days <= 3 THEN least(greatest(coalesce(premium_pct, 5.0), 0), 30) ELSE 0 END AS p, list_price, basement_type FROM housing LEFT JOIN premium USING (neighborhood)), q AS (SELECT mls_number, CAST(p AS DECIMAL(18,1)) AS premium_used, CAST(list_price AS DOUBLE) * (1 + CAST(p AS DOUBLE) / 100) + CASE coalesce(basement_type, 'None') WHEN 'Crawl' THEN -45000 WHEN 'None' THEN -45000 ELSE 0 END AS offer FROM o) SELECT mls_number, premium_used, {rdp('offer', 2)} AS offer, {rdp('greatest(5000.0::DOUBLE, least(abs(offer * 0.02::DOUBLE), 10000.0::DOUBLE))', 2)} AS buffer FROM q")
+_BASEMENT = "CASE _ord % 6 WHEN 0 THEN 'None' WHEN 1 THEN 'Crawl Space' WHEN 2 THEN 'Full (Unfinished)' WHEN 3 THEN 'Full (Finished)' WHEN 4 THEN 'Walkout' END"
+
+
+@query("prj_14_offer_price", f"WITH {PREMIUM}, o AS (SELECT mls_number, CASE WHEN dom_days <= 3 THEN least(greatest(coalesce(premium_pct, 5.0), 0), 30) ELSE 0 END AS p, list_price, {_BASEMENT} AS basement_type FROM housing LEFT JOIN premium USING (neighborhood)), q AS (SELECT mls_number, CAST(p AS DECIMAL(18,1)) AS premium_used, CAST(list_price AS DOUBLE) * (1 + CAST(p AS DOUBLE) / 100) + CASE basement_type WHEN 'None' THEN -45000 WHEN 'Crawl Space' THEN -45000 WHEN 'Full (Unfinished)' THEN -15000 WHEN 'Full (Finished)' THEN 25000 ELSE 0 END AS offer FROM o) SELECT mls_number, premium_used, {rdp('offer', 2)} AS offer, {rdp('greatest(5000.0::DOUBLE, least(abs(offer * 0.02::DOUBLE), 10000.0::DOUBLE))', 2)} AS buffer FROM q")
 def prj_14(spark, d):
-    h = T.housing(spark, d)
+    h = T.housing(spark, d).withColumn("basement_type", F.expr(_BASEMENT))
     return market.offer_price(h, market.multi_offer_premium(h))
 
 
@@ -386,22 +442,22 @@ def ded_01(spark, d):
     return market.keep_last(T.sales(spark, d), "address").select("address", F.col("_ord").alias("last"))
 
 
-_BAD = "CASE WHEN _ord % 11 = 0 THEN substr(mls_number, 1, 7) ELSE mls_number END"
+_BAD = "CASE WHEN _ord % 11 = 0 THEN substr(mls_number, 1, 7) WHEN _ord % 13 = 0 THEN concat('No. ', mls_number) ELSE mls_number END"
 
 
-@query("ded_03_valid_mls_keep_last", f"WITH {SALES}, x AS (SELECT {_BAD} AS mls_number, _ord FROM sales UNION ALL SELECT {_BAD}, _ord + 100000000 FROM sales WHERE _ord % 2 = 0) SELECT mls_number, max(_ord) AS _ord FROM x WHERE length(mls_number) = 9 GROUP BY 1 UNION ALL SELECT mls_number, _ord FROM x WHERE length(mls_number) <> 9")
+@query("ded_03_valid_mls_keep_last", f"WITH {SALES}, x AS (SELECT {_BAD} AS mls_number, _ord FROM sales UNION ALL SELECT {_BAD}, _ord + 100000000 FROM sales WHERE _ord % 2 = 0) SELECT regexp_replace(mls_number, '\\D', '', 'g') AS mls_number, max(_ord) AS _ord FROM x WHERE length(regexp_replace(mls_number, '\\D', '', 'g')) = 9 GROUP BY 1 UNION ALL SELECT mls_number, _ord FROM x WHERE length(regexp_replace(mls_number, '\\D', '', 'g')) <> 9")
 def ded_03(spark, d):
-    v = T.sales(spark, d).select(F.when(F.col("_ord") % 11 == 0, F.substring("mls_number", 1, 7)).otherwise(F.col("mls_number")).alias("mls_number"), "_ord")
+    v = T.sales(spark, d).selectExpr(f"{_BAD} AS mls_number", "_ord")
     return market.dedupe_valid_mls(v.unionByName(v.where("_ord % 2 = 0").withColumn("_ord", F.col("_ord") + 100_000_000)))
 
 
-@query("snk_07_insert_new", f"WITH {SALES}, x AS (SELECT address, CASE WHEN _ord % 19 <> 0 THEN sold_date END AS listing_date, _ord FROM sales), t AS (SELECT * FROM x WHERE _ord % 3 = 0) SELECT address, listing_date, max(_ord) AS last FROM x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.address IS NOT DISTINCT FROM x.address AND t.listing_date IS NOT DISTINCT FROM x.listing_date) GROUP BY 1, 2")
+@query("snk_07_insert_new", f"WITH {SALES}, x AS (SELECT address, CASE WHEN _ord % 19 <> 0 THEN sold_date END AS listing_date, _ord FROM sales), t AS (SELECT * FROM x WHERE _ord % 3 = 0) SELECT address, listing_date, min(_ord) AS first FROM x WHERE listing_date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.address = x.address AND t.listing_date = x.listing_date) GROUP BY 1, 2 UNION ALL SELECT address, listing_date, _ord FROM x WHERE listing_date IS NULL")
 def snk_07(spark, d):
     x = T.sales(spark, d).select("address", F.when(F.col("_ord") % 19 != 0, F.col("sold_date")).alias("listing_date"), "_ord")
-    return market.insert_new(x, x.where("_ord % 3 = 0")).select("address", "listing_date", F.col("_ord").alias("last"))
+    return market.insert_new(x, x.where("_ord % 3 = 0")).select("address", "listing_date", F.col("_ord").alias("first"))
 
 
-@query("set_02_key_sets", f"WITH {SALES}, s AS (SELECT mls_number FROM sales WHERE _ord % 50 <> 1), f AS (SELECT mls_number FROM sales WHERE _ord % 50 <> 2) SELECT 'both' AS side, count(*) AS n FROM (SELECT * FROM s INTERSECT SELECT * FROM f) UNION ALL SELECT 'single_only', count(*) FROM (SELECT * FROM s EXCEPT SELECT * FROM f) UNION ALL SELECT 'full_only', count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM s) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM s UNION SELECT * FROM f)")
+@query("set_02_key_sets", f"WITH {SALES}, s AS (SELECT {T.SINGLE_LINE['mls_number']} AS mls_number FROM sales WHERE _ord % 50 <> 1), f AS (SELECT mls_number FROM sales WHERE _ord % 50 <> 2) SELECT 'both' AS side, count(*) AS n FROM (SELECT * FROM s INTERSECT SELECT * FROM f) UNION ALL SELECT 'single_only', count(*) FROM (SELECT * FROM s EXCEPT SELECT * FROM f) UNION ALL SELECT 'full_only', count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM s) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM s UNION SELECT * FROM f)")
 def set_02(spark, d):
     s, f = (x.select("mls_number") for x in T.two_reports(spark, d))
     sides = {"both": s.intersect(f), "single_only": s.subtract(f), "full_only": f.subtract(s), "either": s.union(f).distinct()}
@@ -438,7 +494,7 @@ def win_07(spark, d):
 @query("str_08_visual_rows")
 def str_08(spark, d):
     k = F.col("_ord")
-    frags = T.sales(spark, d).select((k % 40).cast("int").alias("page_number"), (F.lit(700.0) - (k / 40).cast("int") % 50 * 12 + k % 3).cast("double").alias("y"), ((k / 2000).cast("int") * 30.0).alias("x0"), ((k / 2000).cast("int") * 30.0 + 25).alias("x1"), F.col("style").alias("text")).where("text is not null")
+    frags = T.sales(spark, d).select(F.lit("a").alias("file"), (k % 40).cast("int").alias("page_number"), (F.lit(700.0) - (k / 40).cast("int") % 50 * 12 + k % 3).cast("double").alias("y"), ((k / 2000).cast("int") * 30.0).alias("x0"), ((k / 2000).cast("int") * 30.0 + 25).alias("x1"), F.col("style").alias("text")).where("text is not null")
     return ingestion.visual_rows(frags)
 
 

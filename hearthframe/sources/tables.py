@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fingerprint, property_id, season
+from ..functions.scalars import FINGERPRINT_FIELDS, fingerprint, property_id, season
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,8 @@ def read_pages(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
 
 def query_canonical(sales: DataFrame, *, sold_start=None, sold_end=None, neighbourhood=None, area_code=None, property_type=None, exclude_mls=None, min_quality="approved", limit=None) -> DataFrame:
     """The filtered canonical scan: every argument given is one more conjunct; latest sales first."""
+    if min_quality not in ("approved", "flagged"):
+        raise ValueError(f"unknown quality: {min_quality!r}")
     keep = [F.col("data_quality_status").isin(["approved", "flagged"] if min_quality == "flagged" else ["approved"])]
     if sold_start is not None:
         keep.append(F.col("sold_date") >= F.lit(sold_start).cast("date"))
@@ -69,26 +71,44 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fingerprinted(view: DataFrame) -> DataFrame:
-    """view with normalized_property_id and record_fingerprint."""
-    pid = view.withColumn("normalized_property_id", property_id("linc_number", "address", F.lit(None).cast("string")))
-    fields = {n: F.col(n) if n in pid.columns else F.lit(None).cast("string") for n in ("address", "linc_number", "list_price", "mls_number", "normalized_property_id", "postal_code", "sold_date", "sold_price")}
-    return pid.withColumn("record_fingerprint", fingerprint(fields))
+    """view with normalized_property_id and record_fingerprint; whole doubles count as integers."""
+    kinds = dict(view.dtypes)
+    text = lambda n: F.when(F.col(n) == F.floor(n), F.floor(n).cast("string")).otherwise(F.col(n).cast("string")) if kinds.get(n) in ("double", "float") else F.col(n)
+    part = lambda n: F.col(n) if n in kinds else F.lit(None).cast("string")
+    pid = view.withColumn("normalized_property_id", property_id(part("linc_number"), part("address"), part("postal_code")))
+    return pid.withColumn("record_fingerprint", fingerprint({n: text(n) for n in FINGERPRINT_FIELDS if n in pid.columns}))
 
 
 def staged(spark: SparkSession, folder: str) -> DataFrame:
-    """Batches of sales to promote: four batches, some prices changed against the canonical ones."""
-    view = sales(spark, folder).withColumn("batch_id", (F.col("_ord") % 4).cast("int"))
+    """Batches of sales to promote, some prices changed against the canonical ones."""
+    k = F.col("_ord")
+    view = sales(spark, folder).withColumn("batch_id", F.when(k % 4 < 2, k % 4).otherwise(k % 6 + 2).cast("int"))
     changed = F.when(F.col("_ord") % 97 == 0, (F.col("sold_price") + 1000).cast("decimal(12,2)")).otherwise(F.col("sold_price"))
     return fingerprinted(view.withColumn("sold_price", changed))
 
 
+#: The two reports of one batch as expressions over sales(), with gaps, conflicts, repeats and values that break rules.
+SINGLE_LINE = {
+    "mls_number": "CASE WHEN _ord % 211 <> 7 THEN mls_number END", "sold_date": "sold_date", "sold_price": "CASE WHEN _ord % 50 = 18 THEN CAST(0 AS DECIMAL(12,2)) ELSE sold_price END",
+    "list_price": "CASE WHEN _ord % 50 = 9 THEN CAST(list_price + 5 AS DECIMAL(12,2)) WHEN _ord % 50 = 19 THEN CAST(60000000 AS DECIMAL(12,2)) ELSE list_price END",
+    "address": "CASE _ord % 50 WHEN 6 THEN replace(address, ' ', ', ') WHEN 7 THEN concat('Unit 2 ', address) WHEN 8 THEN replace(address, ' ', '-') WHEN 17 THEN '' ELSE address END",
+    "area_code": "area_code", "dom": "dom", "property_type": "CASE WHEN _ord % 50 = 11 THEN '' ELSE property_type END", "style": "style", "year_built": "year_built", "living_area_sqft": "living_area_sqft", "_ord": "_ord",
+}
+CLIENT_FULL = {
+    "mls_number": "mls_number", "sold_date": "CASE WHEN _ord % 50 = 4 THEN CAST(sold_date + INTERVAL 1 DAY AS DATE) WHEN _ord % 50 = 20 THEN NULL ELSE sold_date END",
+    "sold_price": "CASE WHEN _ord % 50 = 3 THEN CAST(sold_price + 1 AS DECIMAL(12,2)) WHEN _ord % 50 = 18 THEN CAST(0 AS DECIMAL(12,2)) WHEN _ord % 50 = 21 THEN NULL ELSE sold_price END",
+    "list_price": "CASE WHEN _ord % 50 = 19 THEN CAST(60000000 AS DECIMAL(12,2)) ELSE list_price END", "address": "CASE WHEN _ord % 50 IN (17, 22) THEN '' ELSE address END", "area_code": "CASE WHEN _ord % 2 = 0 THEN area_code END",
+    "linc_number": "CASE WHEN _ord % 50 <> 17 THEN linc_number END", "neighbourhood": "neighbourhood", "dom": "CASE WHEN _ord % 3 = 0 THEN dom END", "property_type": "CASE WHEN _ord % 50 IN (10, 11) THEN '' ELSE property_type END",
+    "style": "CASE WHEN _ord % 50 = 16 THEN '' ELSE style END", "year_built": "CASE WHEN _ord % 50 = 12 THEN NULL WHEN _ord % 50 = 23 THEN 1700 ELSE year_built END",
+    "living_area_sqft": "CASE WHEN _ord % 50 = 13 THEN 50 ELSE living_area_sqft END", "bedrooms_total": "CASE _ord % 50 WHEN 14 THEN 25 WHEN 15 THEN -1 ELSE bedrooms_total END", "_ord": "_ord",
+}
+
+
 def two_reports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The single-line and the client-full report of one batch, with gaps, conflicts and repeats."""
-    view, k = sales(spark, folder), F.col("_ord") % 50
-    single = view.where(k != 1).select("mls_number", "sold_date", "sold_price", "list_price", "address", "area_code", "_ord")
-    full = view.where(k != 2).withColumns({"sold_price": F.when(k == 3, F.col("sold_price") + 1).otherwise(F.col("sold_price")).cast("decimal(12,2)"), "sold_date": F.when(k == 4, F.date_add("sold_date", 1)).otherwise(F.col("sold_date"))})
-    full = full.select("mls_number", "sold_date", "sold_price", "list_price", "address", "linc_number", "property_type", "living_area_sqft", "year_built", "bedrooms_total", "_ord")
-    return single.unionByName(single.where(k == 5)), full
+    """The single-line and the client-full report of one batch."""
+    view = sales(spark, folder)
+    single, full = (view.where(f"_ord % 50 <> {k}").selectExpr(*[f"{v} AS {n}" for n, v in x.items()]) for k, x in ((1, SINGLE_LINE), (2, CLIENT_FULL)))
+    return single.unionByName(single.where("_ord % 50 = 5")), full
 
 
 def housing(spark: SparkSession, folder: str) -> DataFrame:
