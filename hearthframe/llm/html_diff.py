@@ -4,7 +4,8 @@ The nearest page is the neighbour, in the order of paths within a host, with the
 The lines of both, each with the kind of place it stands in, are aligned by their longest common subsequence, and the
 lines they share go. Two articles may quote one sentence, so lines within an <article> or <main> go only if they also
 stand on a third page of the host, and only if they are less than half of the page's main text, as the rest may else be
-copies of one article. Places that are never main text (menus, forms, adverts and so on) go in any case.
+copies of one article. Places that are never main text go in any case: elements for menus, forms and so on, and those
+whose class, id or role says nothing but that (ad-slot, but not share-prices); what that leaves open the alignment decides.
 """
 
 from __future__ import annotations
@@ -16,28 +17,29 @@ import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, id_key, string_or_empty
+from .common import BROADCAST_ROWS, checkpoint, id_key, map_texts, string_or_empty
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Fixed values of HTML: elements whose content is no text, that are never main text, that hold nothing, and that break lines.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
-NEVER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "head", "object", "canvas", "audio", "video", "math", "fieldset", "datalist"} | RAW
+NEVER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "head", "object", "canvas", "audio", "video", "fieldset", "datalist"} | RAW
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of a class, id or role that mark a place as none of the article.
+#: Words that mark a place as none of the article, if a class, an id or a role has no words but these and PARTS.
 MARKS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus "
-    "footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination paywall popup promo promos promoted promotion related recommended "
+    "footer form gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination paywall popup promo promos promoted promotion related recommended "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar tracking widget".split()
 )
+#: Words that say what shape a place has, not what it is about.
+PARTS = set("area bar block body bottom box btn button buttons card cards col column container content entry form group holder icon icons inner item items label left link links list nav outer page panel policy post posts right row section site slot stories strip thread top unit wrap wrapper zone".split())
 MAIN_WORDS = {"main", "article"}
 #: A line's place: within the main element, or elsewhere.
 MAIN, OTHER = 1, 0
@@ -54,10 +56,11 @@ def _marked(name: str, attributes: str, in_main: bool) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role", "aria-label"):
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            if words & MARKS and not (key == "class" and name in ("body", "html", "main", "article")):
-                return True
+        if key in ("class", "id", "role") and name not in ("body", "html", "main", "article"):
+            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                words = set(re.findall(r"[a-z]+", token))
+                if words & MARKS and words <= MARKS | PARTS or words & {"header"} and words <= MARKS | PARTS | {"header"} and not in_main:
+                    return True
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
     return False
@@ -251,37 +254,36 @@ def nearest_pages(pages: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFra
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages' id and url with text (the main text, blocks joined by line ends) and n_chars.
 
-    Null html: empty. Null urls: one host without name. Rows that share an id each get their own text, but one of them
-    stands for all as a neighbour. Two passes parse the pages: the first keeps only hashes of lines for the alignment,
-    the second ships the lines, compressed, to the page's id.
+    Null html: empty. Null urls: one host without name. Rows that are equal in id, url and html are one page, which is no
+    neighbour of itself; other rows are pages of their own, whether or not they share an id or have one. No rows: none. Two passes
+    parse the pages: the first keeps only hashes of lines for the alignment, the second ships the lines, compressed.
     """
     host, path = url_parts(url_col)
-    base = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), id_key(id_col).alias("page"), string_or_empty(html_col).alias("html"), host.alias("host"), path.alias("path"))
+    base = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.xxhash64(id_key(id_col), F.coalesce(F.col(url_col).cast("string"), F.lit("")), string_or_empty(html_col)).alias("page"), string_or_empty(html_col).alias("html"), host.alias("host"), path.alias("path"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = base.select("host", "path", "page").orderBy(F.xxhash64("host", "path", "page")).limit(8 * parts).collect()  # bounded by the number of partitions
     ordered = sorted({(x.host, x.path, x.page) for x in sample}, key=lambda x: (x[0].encode(), x[1].encode(), x[2]))
     cuts = ordered[8::8]
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[["host", "path", "page"]].assign(hashes=[[line_hash(*x) for x in lines_of(h)] for h in batch["html"]])
+    def hashed(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        return {"hashes": pa.array([[line_hash(*x) for x in lines_of(h)] for h in texts], pa.list_(pa.int64()))}
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [zlib.compress("\n".join(f"{p}{t}" for p, t in lines_of(h)).encode(), 1) for h in batch["html"]]
-            yield batch[["key", "url", "page"]].assign(lines=rows)
+    def packed(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        return {"lines": pa.array([zlib.compress("\n".join(f"{p}{t}" for p, t in lines_of(h)).encode(), 1) for h in texts], pa.binary())}
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for blob, other, often in zip(batch["lines"], batch["other"], batch["often"], strict=True):
-                lines = [(int(x[0]), x[1:]) for x in zlib.decompress(blob).decode().split("\n") if x]
-                texts.append(main_text(lines, [] if other is None else list(other), set() if often is None else set(often)))
-            yield batch[["key", "url"]].assign(text=texts, n_chars=np.array([len(t) for t in texts], dtype="int64"))
+            for blob, other, often in zip(*[batch.column(c) for c in ("lines", "other", "often")], strict=True):
+                lines = [(int(x[0]), x[1:]) for x in zlib.decompress(blob.as_py()).decode().split("\n") if x]
+                texts.append(main_text(lines, other.as_py() or [], set(often.as_py() or ())))
+            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), *made], names=["key", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[id_col]
-    signs = base.select("host", "path", "page", "html").mapInPandas(hashed, "host string, path string, page long, hashes array<long>")
+    signs = map_texts(base.select("host", "path", "page", "html"), "html", "hashes array<long>", hashed, keep=False)
+    # equal pages have equal lines, so any of them will do
     near = nearest_pages(signs.dropDuplicates(["page"]), cuts)
-    whole = base.select("key", "url", "page", "html").mapInPandas(packed, f"key {kind}, url string, page long, lines binary")
-    out = whole.join(near, "page", "left").select("key", "url", "lines", "other", "often").mapInPandas(aligned, f"key {kind}, url string, text string, n_chars long")
+    whole = map_texts(base.select("key", "url", "page", "html"), "html", "lines binary", packed, keep=False)
+    out = whole.join(near, "page", "left").select("key", "url", "lines", "other", "often").mapInArrow(aligned, f"key {kind}, url {dict(pages.dtypes)[url_col]}, text string, n_chars long")
     return out.select(F.col("key").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -6,9 +6,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_texts
 
 # Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -114,22 +117,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_words, phrases array<struct<word, label>>, spans array<struct<start, end, label, errors, score>>).
 
     Only A-Z is lower-cased; words are the runs of digits, letters and characters beyond ASCII. Spans are character
-    offsets in the words joined by single blanks. Whole texts, of any length. Null text: no words.
+    offsets in the words joined by single blanks. Whole texts, of any length. Null text: no words. Each row is judged
+    alone, repeated ones alike; ids pass through as they are, other columns are left out. No rows: none.
     """
     key = (phrases or PHRASES, notices or NOTICES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(*key)
-        for batch in batches:
-            found = [scanner.scan(t if isinstance(t, str) else None) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    id_col: batch["id"],
-                    "n_words": [x[0] for x in found],
-                    "phrases": [[{"word": a, "label": b} for a, b in x[1]] for x in found],
-                    "spans": [[dict(zip(("start", "end", "label", "errors", "score"), s, strict=True)) for s in x[2]] for x in found],
-                }
-            )
-
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, phrases array<struct<word:long,label:string>>, spans array<struct<start:long,end:long,label:string,errors:int,score:double>>"
-    return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInPandas(run, schema)
+    kinds = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("errors", pa.int32()), ("score", pa.float64())]))
+    made: list[Scanner] = []  # one in each task
+
+    def run(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        if not made:
+            made.append(Scanner(*key))
+        found = [made[0].scan(t) for t in texts]
+        phrases_ = [[{"word": a, "label": b} for a, b in x[1]] for x in found]
+        spans = [[dict(zip(("start", "end", "label", "errors", "score"), s, strict=True)) for s in x[2]] for x in found]
+        return {"n_words": pa.array([x[0] for x in found], pa.int64()), "phrases": pa.array(phrases_, kinds[0]), "spans": pa.array(spans, kinds[1])}
+
+    added = "n_words long, phrases array<struct<word:long,label:string>>, spans array<struct<start:long,end:long,label:string,errors:int,score:double>>"
+    return map_texts(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, added, run, keep=False)

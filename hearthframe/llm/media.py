@@ -9,8 +9,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_texts
 
 RATE, FRAME, HOP = 8000, 256, 64
 #: Peaks of a frame (the strongest in so many bands) are paired with those of the next FAN frames.
@@ -75,25 +78,25 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns: the id, n_bytes, media binary, payload binary as read back, times array<int>, codes array<int>. Without
     arrays, only digests of them: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature
-    (pairs of peaks, the digest of the time-coded array). Null text: empty, one unit of spaces.
+    (pairs of peaks, the digest of the time-coded array). Null text: empty, one unit of spaces. Each row is worked alone,
+    repeated ones alike; ids pass through as they are, other columns are left out. No rows: none.
     """
     wide = "media binary, payload binary, times array<int>, codes array<int>"
     thin = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                n, payload = payload_of(text if isinstance(text, str) else None)
-                media = to_wav(payload)
-                back = from_wav(media)
-                pairs = fingerprints(back)
-                if arrays:
-                    rows.append((key, n, media, back, pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32)))
-                else:
-                    digest = hashlib.sha256(pairs.astype("<i8").tobytes()).hexdigest()
-                    rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(pairs)}:{digest}"))
-            names = [x.split()[0] for x in (wide if arrays else thin).split(", ")]
-            yield pd.DataFrame(rows, columns=[id_col, "n_bytes", *names]).astype({id_col: batch["id"].dtype})
-
-    return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInPandas(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, {wide if arrays else thin}")
+    def run(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        rows = []
+        for text in texts:
+            n, payload = payload_of(text)
+            media = to_wav(payload)
+            back = from_wav(media)
+            pairs = fingerprints(back)
+            if arrays:
+                rows.append((n, media, back, pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32)))
+            else:
+                digest = hashlib.sha256(pairs.astype("<i8").tobytes()).hexdigest()
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(pairs)}:{digest}"))
+        names = ["n_bytes", *[x.split()[0] for x in (wide if arrays else thin).split(", ")]]
+        return {name: pa.array([row[i] for row in rows]) for i, name in enumerate(names)}
+
+    return map_texts(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, f"n_bytes long, {wide if arrays else thin}", run, keep=False)

@@ -78,7 +78,7 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_html_extrac
 ORACLE_SQL = {
     "op5_mixing": r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
         greatest(CASE WHEN length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) > 0 THEN
           1 - (length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) - length(regexp_replace(text, '[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]', '', 'g')))
             / CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS DOUBLE) ELSE 0.0 END, 0.05) AS weight FROM t),
@@ -90,7 +90,7 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
 v AS (SELECT coalesce((SELECT level FROM l WHERE level < ratio ORDER BY ratio, level LIMIT 1), (SELECT max(ratio) FROM l)) AS level),
 g AS (SELECT source, source_size, least(cap, v.level * w) AS target FROM l, v),
 k AS (SELECT d.*, g.source_size, g.target,
-        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / greatest(weight, 1e-6) AS key
+        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text))), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / greatest(weight, 1e-6) AS key
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM k)

@@ -1,9 +1,10 @@
 """Exact top-k by inner product in three phases with a uniform threshold.
 
-The dimensions are cut into slices, each a list of scores. Phase 1 gathers each list's k best of each partition and
-scores those vectors exactly: the k-th best is a cutoff that the answer cannot fall below. Phase 2 broadcasts it: a
-score is the sum of its slices', so one that reaches the cutoff has a slice that reaches cutoff / slices; those entries
-are collected. Phase 3 resolves them exactly and ranks. Queries go in blocks of bounded size against all vectors.
+The dimensions are cut into slices, each a list of scores. Phase 1 gathers each list's k best of each cell and scores
+those vectors exactly: the k-th best is a cutoff that the answer cannot fall below. Phase 2 broadcasts it to the cells:
+a score is the sum of its slices', so one that reaches the cutoff has a slice that reaches cutoff / slices; those
+entries are collected. Phase 3 resolves them exactly and ranks. A cell is a block of queries and a block of vectors, both of
+bounded size; all blocks meet once, dealt over the cluster, and nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,108 +12,107 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROWS_AT_ONCE = 4096, 2048
+#: Queries and vectors of a cell, about, and vectors that are scored at once within it.
+QUERY_BLOCK, VECTOR_BLOCK, ROWS_AT_ONCE, EXACT_AT_ONCE = 1024, 8192, 1024, 1 << 16
+FOUND = "query_id long, vec_id long, score long"
 
 
-def _matrix(vectors) -> np.ndarray:
-    return np.array([list(v) for v in vectors], dtype=np.float64)
-
-
-def _by_width(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the batch's vectors of each width, some at once."""
-    widths = batch["vector"].map(len)
-    for _, part in batch.groupby(widths):
-        for at in range(0, len(part), ROWS_AT_ONCE):
-            piece = part.iloc[at : at + ROWS_AT_ONCE]
-            yield piece["id"].to_numpy(np.int64), _matrix(piece["vector"])
+def _by_width(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """ids, matrix and rows of the table's vectors by their width."""
+    out = {}
+    widths = pc.list_value_length(table["vector"])
+    for width in pc.unique(widths).to_pylist():
+        part = table.filter(pc.equal(widths, width)).combine_chunks()
+        flat = part["vector"].combine_chunks()
+        flat = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out[width] = (part["id"].to_numpy(), flat.reshape(part.num_rows, width), part)
+    return out
 
 
 def _slices(width: int, slices: int) -> list[tuple[int, int]]:
     cuts = [i * width // slices for i in range(slices + 1)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a] or [(0, width)]
+
+
+def _exact(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The inner products of the rows i of q and j of v, some at once."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), EXACT_AT_ONCE):
+        part = slice(at, at + EXACT_AT_ONCE)
+        out[part] = np.einsum("ij,ij->i", q[i[part]], v[j[part]])
+    return out
+
+
+def _told(query_id: list[np.ndarray], vec_id: list[np.ndarray], score: list[np.ndarray]) -> pa.Table:
+    columns = [pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int64)) for x in (query_id, vec_id, score)]
+    return pa.table(columns, names=["query_id", "vec_id", "score"])
+
+
+def _parts(asked: pa.Table, given: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table, np.ndarray, np.ndarray]]:
+    """Query ids, queries, query rows, vector ids and vectors, of one width, some vectors at once."""
+    others = _by_width(given)
+    for width, (qid, q, rows) in _by_width(asked).items():
+        ids, v, _ = others.get(width, (np.zeros(0, np.int64), np.zeros((0, width)), None))
+        for at in range(0, len(ids), ROWS_AT_ONCE):
+            yield qid, q, rows, ids[at : at + ROWS_AT_ONCE], v[at : at + ROWS_AT_ONCE]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, slices: int = 2) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with every vector of another id.
 
-    vectors, queries: (id long, vector array<long>) without nulls; a query meets vectors of its width only. Equal scores:
-    smaller id first; rows that repeat are ranked each. Repeated queries are answered once. Integer scores are exact
-    while they stay under 2^53. No queries or vectors: no rows.
+    vectors, queries: (id long, vector array<long>) without nulls; a query meets vectors of its width only, 0 too. Equal
+    scores: smaller id first; rows that repeat are ranked each. Repeated queries are answered once. Integer scores are
+    exact while they stay under 2^53. No queries or vectors: no rows. Other columns are left out.
     """
-    spark = vectors.sparkSession
-    asked = queries.dropDuplicates(["id"]).orderBy("id")
-    out, block = None, []
-
-    def answer(rows: list) -> DataFrame:
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width in {len(r.vector) for r in rows}:
-            own = [r for r in rows if len(r.vector) == width]
-            by_width[width] = (np.array([r.id for r in own], dtype=np.int64), _matrix([r.vector for r in own]).reshape(len(own), width))
-        given = spark.sparkContext.broadcast(by_width)
-
-        def local_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # of each width and slice: partial scores, exact scores, ids
-            for batch in batches:
-                for ids, v in _by_width(batch):
-                    if v.shape[1] not in given.value:
-                        continue
-                    qid, q = given.value[v.shape[1]]
-                    exact = q @ v.T
-                    own = qid[:, None] == ids[None, :]
-                    for s, (a, b) in enumerate(_slices(v.shape[1], slices)):
-                        part = np.where(own, -np.inf, q[:, a:b] @ v[:, a:b].T)
-                        was = best.get((v.shape[1], s))
-                        now = (part, exact, np.broadcast_to(ids, part.shape))
-                        if was:
-                            now = tuple(np.concatenate([x, y], axis=1) for x, y in zip(was, now, strict=True))
-                        if now[0].shape[1] > k:
-                            top = np.argpartition(-now[0], k - 1, axis=1)[:, :k]
-                            now = tuple(np.take_along_axis(x, top, axis=1) for x in now)
-                        best[v.shape[1], s] = tuple(map(np.ascontiguousarray, now))
-            for (width, _), (part, exact, ids) in best.items():
-                i, j = np.nonzero(np.isfinite(part))
-                yield pd.DataFrame({"query_id": given.value[width][0][i], "vec_id": ids[i, j], "score": exact[i, j].astype(np.int64)})
-
-        schema = "query_id long, vec_id long, score long"
-        gathered = vectors.mapInPandas(local_best, schema).distinct()
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        cut = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").collect()  # a row per query of the block
-        cutoffs = {width: np.array([dict(cut).get(int(x), -np.inf) for x in ids]) for width, (ids, _) in by_width.items()}
-        floor = spark.sparkContext.broadcast(cutoffs)
-
-        def sufficient(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for ids, v in _by_width(batch):
-                    if v.shape[1] not in given.value:
-                        continue
-                    qid, q = given.value[v.shape[1]]
-                    low = floor.value[v.shape[1]][:, None]
-                    cuts = _slices(v.shape[1], slices)
-                    enters = np.zeros((len(qid), len(ids)), bool)
-                    for a, b in cuts:
-                        enters |= q[:, a:b] @ v[:, a:b].T >= low / len(cuts)
-                    enters &= qid[:, None] != ids[None, :]
-                    i, j = np.nonzero(enters)
-                    score = np.empty(len(i))
-                    for at in range(0, len(i), 1 << 18):  # what entered is scored exactly, some at once
-                        score[at : at + (1 << 18)] = np.einsum("ij,ij->i", q[i[at : at + (1 << 18)]], v[j[at : at + (1 << 18)]])
-                    kept = score >= low[i, 0]
-                    yield pd.DataFrame({"query_id": qid[i[kept]], "vec_id": ids[j[kept]], "score": score[kept].astype(np.int64)})
-
-        found = vectors.mapInPandas(sufficient, schema)
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = answer(block) if out is None else out.unionAll(answer(block)), []
-    if block:
-        out = answer(block) if out is None else out.unionAll(answer(block))
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    vectors, asked = vectors.select("id", "vector"), queries.select("id", "vector").dropDuplicates(["id"])
+    n_rows, n_cols = (max(1, -(-x.count() // size)) for x, size in ((vectors, VECTOR_BLOCK), (asked, QUERY_BLOCK)))
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = vectors.withColumn("row", (F.monotonically_increasing_id() % n_rows).cast("int")).withColumn("col", over(n_cols))
+
+    def cells(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("col", F.pmod(F.xxhash64("id"), F.lit(n_cols)).cast("int")).withColumn("row", over(n_rows))
+
+    def local_best(asked: pa.Table, given: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        for qid, q, _, ids, v in _parts(asked, given):
+            own = qid[:, None] == ids[None, :]
+            for a, b in _slices(v.shape[1], slices):
+                part = np.where(own, -np.inf, q[:, a:b] @ v[:, a:b].T)
+                top = np.argpartition(-part, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), part.shape)
+                i = np.repeat(np.arange(len(qid)), top.shape[1])
+                j = top.ravel()
+                ok = ~own[i, j]
+                i, j = i[ok], j[ok]
+                for x, y in zip(out, (qid[i], ids[j], _exact(q, v, i, j)), strict=True):
+                    x.append(y)
+        return _told(*out)
+
+    def sufficient(asked: pa.Table, given: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        for qid, q, rows, ids, v in _parts(asked, given):
+            low = rows["low"].to_numpy(zero_copy_only=False).astype(np.float64)
+            low = np.where(np.isnan(low), -np.inf, low)[:, None]
+            cuts = _slices(v.shape[1], slices)
+            enters = np.zeros((len(qid), len(ids)), bool)
+            for a, b in cuts:
+                enters |= q[:, a:b] @ v[:, a:b].T >= np.floor(low / len(cuts))
+            i, j = np.nonzero(enters & (qid[:, None] != ids[None, :]))
+            score = _exact(q, v, i, j)
+            kept = score >= low[i, 0]
+            for x, y in zip(out, (qid[i[kept]], ids[j[kept]], score[kept]), strict=True):
+                x.append(y)
+        return _told(*out)
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    gathered = cells(asked).groupBy("row", "col").cogroup(dealt.groupBy("row", "col")).applyInArrow(lambda a, b: local_best(a, b), FOUND).distinct()
+    cut = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("low"))
+    found = cells(asked.join(cut, "id", "left")).groupBy("row", "col").cogroup(dealt.groupBy("row", "col")).applyInArrow(lambda a, b: sufficient(a, b), FOUND)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def quantized(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:

@@ -15,19 +15,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, map_texts
 
-#: Most labelled rows that the fit sees (those of least hash), most features, fewest sampled documents with a feature.
-SAMPLE_ROWS, MOST_FEATURES, LEAST_DOCS = 20_000, 30_000, 3
+#: Most labelled rows that the fit sees (those of least hash), fewest sampled documents with a feature.
+SAMPLE_ROWS, LEAST_DOCS = 20_000, 3
 #: Texts whose chance of a grade above 0 reaches this are rejected.
 REJECT = 0.3
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-COUNTS_AT_ONCE = 300_000
+COUNTS_AT_ONCE = 100_000
 
 
 def features(text: str | None) -> set[str]:
@@ -97,17 +97,17 @@ def fit(docs: DataFrame, labels: DataFrame, n_grades: int, sample_rows: int = SA
     picked = {int(r[0]): int(r[1]) for r in graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()}
     given = docs.sparkSession.sparkContext.broadcast(picked)
 
-    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, str]]:
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
         for batch in batches:
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if isinstance(text, str) and key == key and key is not None and (grade := given.value.get(int(key))) is not None:
+            for at, key in enumerate(batch.column("doc_id").to_pylist()):
+                if key is not None and (grade := given.value.get(int(key))) is not None and (text := batch.column("text")[at].as_py()) is not None:
                     yield int(key), grade, text
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
-        def told() -> pd.DataFrame:
-            return pd.DataFrame([(f, g, n) for (f, g), n in seen.items()], columns=["feature", "grade", "n"])
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([g for _, g in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["feature", "grade", "n"])
 
         for _, grade, text in sampled(batches):
             seen.update([(f, grade) for f in features(text)])
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_grades: int, sample_rows: int = SA
             yield told()
 
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = base.mapInPandas(counted, "feature string, grade int, n long")
+    counts = base.mapInArrow(counted, "feature string, grade int, n long")
     total, hits = len(picked), sum(1 for g in picked.values() if g)
     a, b = F.sum(F.when(F.col("grade") > 0, F.col("n")).otherwise(0)), F.sum("n")
     told = counts.groupBy("feature").agg(a.alias("a"), b.alias("b")).where((F.col("b") >= LEAST_DOCS) & (F.col("a") > F.col("b") * F.lit(hits / max(total, 1))))
@@ -127,15 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, n_grades: int, sample_rows: int = SA
     if 0 < hits < total:
         ratio = 2 * (odds(F.col("a"), hits / total) + odds(F.col("b") - F.col("a"), 1 - hits / total))
         told = checkpoint(told.withColumn("ratio", ratio))
-        top = told.where(F.col("ratio") >= 2 * math.log(told.count() + 1)).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES)
-        best = [r.feature for r in top.collect()]  # bounded by MOST_FEATURES
+        top = told.where(F.col("ratio") >= 2 * math.log(told.count() + 1)).select("feature")
+        best = sorted(r.feature for r in top.collect())  # bounded by what sample_rows hold
     place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(best)})
 
-    def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(g, np.array(sorted(place.value[f] for f in features(t) if f in place.value), np.int32).tobytes(), k) for k, g, t in sampled(batches)]
-        yield pd.DataFrame(rows, columns=["grade", "at", "doc_id"])
+        kinds = {"grade": pa.int32(), "at": pa.binary(), "doc_id": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
-    found = sorted(base.mapInPandas(indexed, "grade int, at binary, doc_id long").collect(), key=lambda r: (r.doc_id, bytes(r.at))) if best else []  # bounded by sample_rows
+    found = sorted(base.mapInArrow(indexed, "grade int, at binary, doc_id long").collect(), key=lambda r: (r.doc_id, bytes(r.at))) if best else []  # bounded by sample_rows
+    given.destroy()
+    place.destroy()
     weights, thresholds = fit_thresholds([np.frombuffer(bytes(r.at), np.int32) for r in found], np.array([r.grade for r in found], int), len(best), n_grades, l2)
     return OrdinalModel({f: float(w) for f, w in zip(best, weights, strict=True) if abs(w) > 1e-4}, thresholds)
 
@@ -143,15 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, n_grades: int, sample_rows: int = SA
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs with p_toxic, the chance of any grade above 0, and severity, the expected grade. Null text: as empty.
 
-    Columns of docs with these names are replaced.
+    Columns of docs with these names are replaced, all others pass through as they are. No rows: none.
     """
-    rows = docs.select(*[c for c in docs.columns if c not in ("p_toxic", "severity")])
-    given = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            p = np.array([given.value.at_least(t if isinstance(t, str) else "") for t in batch[text_col]]).reshape(len(batch), -1)
-            yield batch.assign(p_toxic=p[:, 0], severity=p.sum(axis=1))
+    def run(texts: Iterator[str | None]) -> dict[str, pa.Array]:
+        p = np.array([model.at_least(t) for t in texts]).reshape(-1, len(model.thresholds))
+        return {"p_toxic": pa.array(p[:, 0], pa.float64()), "severity": pa.array(p.sum(axis=1), pa.float64())}
 
-    return rows.mapInPandas(run, f"{kinds}, p_toxic double, severity double")
+    return map_texts(docs, text_col, "p_toxic double, severity double", run)

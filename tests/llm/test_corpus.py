@@ -155,6 +155,21 @@ def test_html_lines_within_articles(spark):
     assert all(got[20 + i] == f"{own[i]}\nRead on by letter." for i in range(2))  # may be quoted
 
 
+def test_html_places_are_told_by_what_they_say_alone(spark):
+    keep = ['<article id="share-prices"><p>{}</p></article>', '<section aria-label="Notes on social media"><p>{}</p></section>', '<article><div class="post-header"><h1>{}</h1></div></article>', "<article><math>{}</math></article>", '<div id="search-for-truth"><p>{}</p></div>']
+    drop = ['<div class="x ad-slot">{}</div>', '<div id="cookieBanner">{}</div>', '<ul class="comment-list"><li>{}</li></ul>', '<div role="navigation">{}</div>', '<div class="site-header">{}</div>']
+    rows = [(i, f"http://h{i}/a", page.format(f"words of page {i}")) for i, page in enumerate(keep + drop)]
+    got = {x.page_id: x.text for x in html_diff.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == [f"words of page {i}" for i in range(5)] + [""] * 5
+
+
+def test_html_rows_without_id_and_repeated_rows(spark):
+    rows = [(None, "http://h/a", "<p>head</p><p>one</p>"), (None, "http://h/b", "<p>head</p><p>two</p>"), (None, None, None), (5, "http://i/a", "<p>alone</p>"), (5, "http://i/a", "<p>alone</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "page": F.lit("x"), "hashes": F.lit(2.0)})
+    assert sorted(x.text for x in html_diff.extract_pages(df).collect()) == ["", "alone", "alone", "one", "two"]
+    assert html_diff.extract_pages(df.limit(0)).count() == 0
+
+
 def test_license_scan(spark, odd):
     rows = spark.createDataFrame([(1, "Released under the MIT License. under the MIT-license"), (2, "Licensed undr the Apache Licence, Version 2"), (3, "nothing here")], "doc_id long, text string")
     got = {x.doc_id: x for x in license_scan.scan_licenses(rows).collect()}
@@ -188,6 +203,10 @@ def test_mixing_hits_targets(spark, odd):
     assert abs(got.taken.sum() - 1.5 * got["size"].sum()) <= 4
     again = mixing.document_sizes(odd)
     assert mixing.mix(again, mixing.source_targets(again)).count() == len(ODD)
+    clash = sizes.withColumns({c: F.lit("x") for c in ("target", "rows", "source_size", "taken", "w", "cap")})
+    assert sorted(mixing.mix(clash, mixing.source_targets(clash)).select(*got.columns).collect(), key=str) == sorted(mixing.mix(sizes, mixing.source_targets(sizes)).collect(), key=str)
+    none = mixing.document_sizes(docs.limit(0))
+    assert mixing.mix(none, mixing.source_targets(none)).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark, odd):
@@ -240,6 +259,15 @@ def test_token_counts_match_direct_sums(odd):
         assert x.tokens_truncated == sum(min(v, x.context_limit) for v in n) and x.docs_over == sum(v > x.context_limit for v in n) and x.tokens_within == sum(v for v in n if v <= x.context_limit)
 
 
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def test_near_duplicates_match_brute_force(spark, odd):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
@@ -247,22 +275,49 @@ def test_near_duplicates_match_brute_force(spark, odd):
     rows = []
     for i in range(40):
         w = list(base[i % 6])
-        for _ in range(i % 4):
+        for _ in range(i % 4 * 2):
             w[r.randrange(120)] = "new"
         rows.append((i, " ".join(w)))
-    marks = [order_minhash.kmers(t) for _, t in rows]
+    split = [t.split() for _, t in rows]
     label = list(range(40))
+    near = [(i, j) for i in range(40) for j in range(i) if (c := common(split[i], split[j])) / (len(split[i]) + len(split[j]) - c) >= 0.8]
     for _ in range(40):
-        for i in range(40):
-            for j in range(40):
-                if order_minhash.similarity(marks[i], marks[j]) >= 0.8:
-                    label[i] = label[j] = min(label[i], label[j])
-    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(label))
-    a, b = marks[0], marks[6]
-    assert bin(int(np.bitwise_xor(np.array(order_minhash.parity(a), "<i8"), np.array(order_minhash.parity(b), "<i8")).view("<u8")[0])).count("1") <= len(set(a) ^ set(b))
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == dict(enumerate(label)) and sorted(x.doc_id for x in got if x.keep) == sorted(set(label))
+    hashed = [order_minhash.word_hashes(t) for _, t in rows]
+    for i, j in [(0, 6), (1, 7), (2, 3), (5, 35)]:
+        assert order_minhash.common_words(hashed[i], hashed[j], 200) == common(split[i], split[j])
+        bits = order_minhash.parity(hashed[i]) ^ order_minhash.parity(hashed[j])
+        assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in bits) <= len(set(order_minhash.labelled(hashed[i])) ^ set(order_minhash.labelled(hashed[j])))
     out = order_minhash.near_duplicates(odd)
     assert out.count() == len(ODD) and out.where("doc_id = 3").select("class_id").distinct().count() == 1
+    assert order_minhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_near_copies_are_recalled(spark):
+    """Nine in ten copies with a tenth of their words changed, a similarity of about 0.82, are found at least."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, near = [], 0
+    for i in range(300):
+        a = [word() for _ in range(200)]
+        b = [word() if r.random() < 0.1 else x for x in a]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        near += (c := common(a, b)) / (400 - c) >= 0.8
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("not keep").collect()
+    assert all(x.class_id == x.doc_id - 1 for x in got) and near > 150 and len(got) >= 0.9 * near
+
+
+def test_near_duplicates_tell_rows_without_or_with_one_id_apart(spark):
+    t, u, v = ("word%s " % c * 3 + " ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    rows = [(1, t), (None, t), (None, u), (7, v), (7, u + " x"), (7, v), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"keep": F.lit(1), "n": F.lit("x"), "_nth": F.lit(0)})
+    got = sorted(order_minhash.near_duplicates(df).collect(), key=str)
+    assert len(got) == len(rows) and [(x.doc_id, x.class_id) for x in got if x.keep].count((1, 1)) == 1
+    kept = order_minhash.without_near_duplicates(df)
+    assert kept.columns == df.columns and sorted((x.text or "") for x in kept.collect()) == sorted(["", t, u + " x", v])
 
 
 def test_top_k_matches_sql(spark):
@@ -276,7 +331,21 @@ def test_top_k_matches_sql(spark):
     for q in range(0, 120, 20):
         best = sorted(((-int(e[q] @ e[i]), i) for i in e if i != q))[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want and topk.top_k(v, v.limit(0)).count() == 0
+    assert got == want and topk.top_k(v, v.limit(0)).count() == 0 and topk.top_k(v.limit(0), v).count() == 0
+
+
+def test_top_k_of_ties_repeats_odd_widths_and_many_cells(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i, [int(x) for x in r.integers(-2, 3, size=6)]) for i in range(150)] + [(3, [1] * 6), (3, [1] * 6), (900, []), (901, []), (902, [5])]
+    df = spark.createDataFrame(rows, "id long, vector array<long>").withColumns({"row": F.lit("x"), "score": F.lit(1)})
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 40)
+    got = [tuple(x) for x in topk.top_k(df, df.where("id % 10 = 0 or id > 800"), k=7, slices=3).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, a in sorted({i: v for i, v in rows if i % 10 == 0 or i > 800}.items()):
+        best = sorted((-sum(x * y for x, y in zip(a, v)), i) for i, v in rows if i != q and len(v) == len(a))[:7]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
 
 
 def test_oracles_on_small_tables(spark):
