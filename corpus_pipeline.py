@@ -26,8 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
-    kept = order_minhash.near_duplicates(docs).where("keep").select(id_key("doc_id").alias("_k")).distinct()
-    return docs.withColumn("_k", id_key("doc_id")).join(kept, "_k", "left_semi").select(*docs.columns)
+    return order_minhash.without_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
