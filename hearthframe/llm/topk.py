@@ -22,15 +22,15 @@ QUERY_BLOCK, VECTOR_BLOCK, ROWS_AT_ONCE, EXACT_AT_ONCE = 1024, 8192, 1024, 1 <<
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _by_width(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, pa.Table]]:
+def _by_width(table: pa.Table, id_: str, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray, pa.Table]]:
     """ids, matrix and rows of the table's vectors by their width."""
     out = {}
-    widths = pc.list_value_length(table["vector"])
+    widths = pc.list_value_length(table[vector])
     for width in pc.unique(widths).to_pylist():
         part = table.filter(pc.equal(widths, width)).combine_chunks()
-        flat = part["vector"].combine_chunks()
+        flat = part[vector].combine_chunks()
         flat = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out[width] = (part["id"].to_numpy(), flat.reshape(part.num_rows, width), part)
+        out[width] = (part[id_].to_numpy(), flat.reshape(part.num_rows, width), part)
     return out
 
 
@@ -55,8 +55,8 @@ def _told(query_id: list[np.ndarray], vec_id: list[np.ndarray], score: list[np.n
 
 def _parts(asked: pa.Table, given: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table, np.ndarray, np.ndarray]]:
     """Query ids, queries, query rows, vector ids and vectors, of one width, some vectors at once."""
-    others = _by_width(given)
-    for width, (qid, q, rows) in _by_width(asked).items():
+    others = _by_width(given, "id", "vector")
+    for width, (qid, q, rows) in _by_width(asked, "query_id", "query").items():
         ids, v, _ = others.get(width, (np.zeros(0, np.int64), np.zeros((0, width)), None))
         for at in range(0, len(ids), ROWS_AT_ONCE):
             yield qid, q, rows, ids[at : at + ROWS_AT_ONCE], v[at : at + ROWS_AT_ONCE]
@@ -69,13 +69,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, slices: int = 2)
     scores: smaller id first; rows that repeat are ranked each. Repeated queries are answered once. Integer scores are
     exact while they stay under 2^53. No queries or vectors: no rows. Other columns are left out.
     """
-    vectors, asked = vectors.select("id", "vector"), queries.select("id", "vector").dropDuplicates(["id"])
+    vectors = vectors.select(F.col("id").cast("long").alias("id"), "vector")
+    asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"])
     n_rows, n_cols = (max(1, -(-x.count() // size)) for x, size in ((vectors, VECTOR_BLOCK), (asked, QUERY_BLOCK)))
     over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = vectors.withColumn("row", (F.monotonically_increasing_id() % n_rows).cast("int")).withColumn("col", over(n_cols))
 
     def cells(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("col", F.pmod(F.xxhash64("id"), F.lit(n_cols)).cast("int")).withColumn("row", over(n_rows))
+        return rows.withColumn("at_col", F.pmod(F.xxhash64("query_id"), F.lit(n_cols)).cast("int")).withColumn("at_row", over(n_rows))
 
     def local_best(asked: pa.Table, given: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -109,9 +110,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, slices: int = 2)
         return _told(*out)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    gathered = cells(asked).groupBy("row", "col").cogroup(dealt.groupBy("row", "col")).applyInArrow(lambda a, b: local_best(a, b), FOUND).distinct()
-    cut = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("low"))
-    found = cells(asked.join(cut, "id", "left")).groupBy("row", "col").cogroup(dealt.groupBy("row", "col")).applyInArrow(lambda a, b: sufficient(a, b), FOUND)
+    gathered = cells(asked).groupBy("at_row", "at_col").cogroup(dealt.groupBy("row", "col")).applyInArrow(lambda a, b: local_best(a, b), FOUND).distinct()
+    cut = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("low"))
+    found = cells(asked.join(cut, "query_id", "left")).groupBy("at_row", "at_col").cogroup(dealt.groupBy("row", "col")).applyInArrow(lambda a, b: sufficient(a, b), FOUND)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
