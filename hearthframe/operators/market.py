@@ -86,8 +86,8 @@ def chronological_split(rows: DataFrame, train: float = 0.70, val: float = 0.15)
 
 
 def baselines(split: DataFrame) -> DataFrame:
-    """Test rows with the predictions of both baselines, learnt on the training rows alone; of benchmark_rows(), so that no neighbourhood is null."""
-    train = split.where("split = 'train'").withColumn("ppsf", F.col("sold_price").cast("double") / F.col("sqft"))
+    """Test rows with the predictions of both baselines, learnt on the training and validation rows alone; of benchmark_rows(), so that no neighbourhood is null."""
+    train = split.where("split != 'test'").withColumn("ppsf", F.col("sold_price").cast("double") / F.col("sqft"))
     whole = train.agg(F.median(F.col("sold_price").cast("double")).alias("all_price"), F.median("ppsf").alias("all_ppsf"))
     hood = train.groupBy("neighborhood").agg(F.median("ppsf").alias("hood_ppsf"))
     test = split.where("split = 'test'").join(hood, "neighborhood", "left").crossJoin(F.broadcast(whole))  # one row of the whole

@@ -360,7 +360,7 @@ split AS (SELECT *, ['train','val','test'][sp + 1] AS split FROM (SELECT *, min(
 )
 BASE = (
     SPLIT
-    + """, tr AS (SELECT *, CAST(sold_price AS DOUBLE) / sqft AS ppsf FROM split WHERE split = 'train'), w AS (SELECT median(CAST(sold_price AS DOUBLE)) AS ap, median(ppsf) AS aq FROM tr), hd AS (SELECT neighborhood, median(ppsf) AS hq FROM tr GROUP BY 1),
+    + """, tr AS (SELECT *, CAST(sold_price AS DOUBLE) / sqft AS ppsf FROM split WHERE split <> 'test'), w AS (SELECT median(CAST(sold_price AS DOUBLE)) AS ap, median(ppsf) AS aq FROM tr), hd AS (SELECT neighborhood, median(ppsf) AS hq FROM tr GROUP BY 1),
 b AS (SELECT t.mls_number, t.neighborhood, t.house_type, t.sqft, CAST(t.sold_price AS DOUBLE) AS actual, ap AS baseline_global_median, coalesce(hq, aq) * t.sqft AS baseline_comparable_ppsf FROM split t LEFT JOIN hd ON t.neighborhood = hd.neighborhood, w WHERE t.split = 'test')"""
 )
 _D = lambda x: f"CAST(sum(CAST({x} AS DECIMAL(28,6))) AS DOUBLE)"

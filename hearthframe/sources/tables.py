@@ -87,6 +87,17 @@ def staged(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprinted(view.withColumn("sold_price", changed))
 
 
+def synthetic_sales(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """n invented sales, the same for the same seed: all values follow from the row's number."""
+    draw = lambda k, below: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(below))
+    area, year = (draw(1, 2200) + 600).cast("int"), (draw(2, 120) + 1900).cast("int")
+    listed = (area * 250 + draw(3, 100_000)).cast("decimal(12,2)")
+    return spark.range(n).select(
+        F.concat(F.lit("20"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("mls_number"), F.concat((draw(4, 999) + 1).cast("string"), F.lit(" Elm St")).alias("address"), area.alias("living_area_sqft"), year.alias("year_built"), (draw(5, 5) + 1).cast("int").alias("bedrooms_total"), (draw(6, 3) + 1).cast("int").alias("full_bathrooms"),
+        listed.alias("list_price"), (listed * (draw(7, 21) + 90).cast("decimal(5,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)").alias("sold_price"), F.date_add(F.lit("2024-01-01").cast("date"), draw(8, 730).cast("int")).alias("sold_date"), draw(9, 30).cast("int").alias("dom"),
+    )
+
+
 #: The two reports of one batch as expressions over sales(), with gaps, conflicts, repeats and values that break rules.
 SINGLE_LINE = {
     "mls_number": "CASE WHEN _ord % 211 <> 7 THEN mls_number END", "sold_date": "sold_date", "sold_price": "CASE WHEN _ord % 50 = 18 THEN CAST(0 AS DECIMAL(12,2)) ELSE sold_price END",
