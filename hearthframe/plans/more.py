@@ -203,8 +203,8 @@ def str_16(spark, d):
     return listings.text_listings(_text(spark, d, _FLAT), _NAMES, _SUFFIXES).drop("lot_size", "mls_year_hint")
 
 
-_SIDE = ("concat('MLS® # ', mls_number)", "'Address:'", "concat(1 + _ord % 999, ' Elm Street')", "'Sale $500 of'", "concat('$', format_number(40000 + _ord, 0), ' and $', format_number(50000 + _ord, 0))", "concat('BDA: 2 TBD: ', _ord % 5)", "concat('FB: ', full_bathrooms, ' HB: ', half_bathrooms)", "concat('DOM ', 1 + dom, ' seen ', 1 + dom, ' of 175')", "CASE _ord % 4 WHEN 0 THEN 'crawl' WHEN 1 THEN 'Unfinished bedroom' WHEN 2 THEN 'partial full' END",
-         "concat('Built: ', year_built)", "'garage attached, double'", "concat(900 + _ord % 99, ' sqft Lot Size: 50 x 100')", "CASE _ord % 3 WHEN 0 THEN 'near Oak Park North' WHEN 1 THEN 'OBend condo' ELSE 'Split-Level' END")
+_SIDE = ("concat('MLS® # ', mls_number)", "'Where -'", "concat(1 + _ord % 999, ' Elm Street')", "'Sale $500 of'", "concat('$', format_number(40000 + _ord, 0), ' and $', format_number(50000 + _ord, 0))", "concat('BDA: 2 TBD: ', _ord % 5)", "concat('FB: ', full_bathrooms, ' HB: ', half_bathrooms)", "concat('DOM ', 1 + dom, ' seen ', 1 + dom, ' of 175:')", "CASE _ord % 4 WHEN 0 THEN 'crawl' WHEN 1 THEN 'Unfinished bedroom' WHEN 2 THEN 'partial full' END",
+         "concat('Built: ', year_built)", "'garage attached, double'", "concat(900 + _ord % 99, ' sqft Lot Size: 50 x 100:')", "CASE _ord % 3 WHEN 0 THEN 'near Oak Park North' WHEN 1 THEN 'OBend condo' ELSE 'Split-Level' END")
 
 
 @query("str_15_side_by_side", f"""WITH {SALES}, x AS (SELECT *, 40000.0::DOUBLE + _ord AS lp, 50000.0::DOUBLE + _ord AS sp FROM sales) SELECT mls_number AS path, mls_number, CAST(substr(mls_number, 1, 4) AS INTEGER) AS mls_year_hint, CAST(1 + _ord % 999 AS VARCHAR) || ' Elm Street' AS address, CASE _ord % 3 WHEN 0 THEN 'Oak Park North' WHEN 1 THEN 'River Bend' ELSE 'Loose Area' END AS neighborhood, lp AS list_price, sp AS sold_price, {rdp('sp / lp', 2)} AS sell_list_ratio,
