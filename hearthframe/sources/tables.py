@@ -29,8 +29,8 @@ def read_pages(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return whole.select("path", F.posexplode(F.split("value", "Page ")).alias("page_number", "text")).where(F.trim("text") != "")
 
 
-def query_canonical(sales: DataFrame, *, sold_start=None, sold_end=None, neighbourhood=None, area_code=None, property_type=None, exclude_mls=None, min_quality="approved", limit=None) -> DataFrame:
-    """The filtered canonical scan: every argument given is one more conjunct; latest sales first."""
+def query_canonical(sales: DataFrame, *, sold_start=None, sold_end=None, neighbourhood=None, area_code=None, property_type=None, exclude_mls=None, min_quality="approved", limit=None, undated=True) -> DataFrame:
+    """The filtered canonical scan: every argument given is one more conjunct; latest sales first. undated=False leaves out sales without a date."""
     if min_quality not in ("approved", "flagged"):
         raise ValueError(f"unknown quality: {min_quality!r}")
     keep = [F.col("data_quality_status").isin(["approved", "flagged"] if min_quality == "flagged" else ["approved"])]
@@ -41,6 +41,8 @@ def query_canonical(sales: DataFrame, *, sold_start=None, sold_end=None, neighbo
     for name, value in (("neighbourhood", neighbourhood), ("area_code", area_code), ("property_type", property_type)):
         if value is not None:
             keep.append(F.col(name) == value)
+    if not undated:
+        keep.append(F.col("sold_date").isNotNull())
     if exclude_mls is not None:
         keep.append(F.col("mls_number") != exclude_mls)
     out = sales.where(reduce(lambda a, b: a & b, keep)).orderBy(F.col("sold_date").desc_nulls_last(), "mls_number")

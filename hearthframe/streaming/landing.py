@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.storage import exists
 
 
 def load_landing(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, key: str = "batch_fingerprint"):
     """A started query that appends the rows of fingerprints not yet in target; available files, then it ends."""
 
     def load(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key, "mls_number"])
-        try:
-            known = spark.read.parquet(target).select(key).distinct()
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        numbered = F.col("mls_number").isNotNull()
+        fresh = batch.where(numbered).dropDuplicates([key, "mls_number"]).unionByName(batch.where(~numbered)).persist()
+        if exists(spark, target):  # a folder for each fingerprint, so that only those of this batch are listed
+            asked = fresh.select(key).distinct()
+            known = spark.read.parquet(target).select(key).join(F.broadcast(asked), key, "left_semi").distinct()  # a row per arriving batch
+            fresh.join(known, key, "left_anti").write.mode("append").partitionBy(key).parquet(target)
         else:
-            fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+            fresh.write.mode("append").partitionBy(key).parquet(target)
+        fresh.unpersist()
 
     stream = spark.readStream.schema(schema).option("header", True).csv(landing)
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
