@@ -194,16 +194,19 @@ def find_comparables(subjects: DataFrame, candidates: DataFrame, min_usable: int
     """(searches, comps): a row per subject with its tier, whether it was widened and its candidate count; and its ranked comparables.
 
     Rank: similarity, then later sale, then number. A subject's pairs stand in one partition of its tier's join, so they
-    are ranked there, and only the max_returned best are looked at in detail. Both tables are persisted, as each tier reads them.
+    are ranked there, as narrow rows; only the max_returned best meet their other columns again. Candidates and
+    the tiers chosen are persisted, as each tier reads them.
     """
     candidates = usable_candidates(candidates).persist()
     chosen = choose_tiers(subjects, candidates, min_usable).persist()
-    comps = None
+    best = None
     for i, (_, geography, days) in enumerate(TIERS):
-        pairs = tier_pairs(chosen.where(F.col("tier_index") == i), candidates, geography, days)
-        order = Window.partitionBy("_bin", "s_property_type", f"s_{geography}", "s_mls_number").orderBy(F.desc("similarity"), F.desc("c_sold_date"), "c_mls_number")
-        top = pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= max_returned).drop("_bin", "_c_bin")
-        comps = top if comps is None else comps.unionByName(top)
+        keys = ["s_mls_number", "_bin", "s_property_type", f"s_{geography}"]  # the number first, as it parts the sorted rows soonest
+        pairs = tier_pairs(chosen.where(F.col("tier_index") == i), candidates, geography, days).select(*keys, "c_mls_number", "c_sold_date", "similarity")
+        order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), F.desc("c_sold_date"), "c_mls_number")
+        top = pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= max_returned).select("s_mls_number", "c_mls_number", "similarity", "rk")
+        best = top if best is None else best.unionByName(top)
+    comps = best.join(chosen, "s_mls_number").join(candidates, "c_mls_number")
     scores = subscores()
     components = F.struct(*[rdp(v, 4).alias(n) for n, v in scores.items()])
     weighted = F.struct(*[rdp(F.lit(float(WEIGHTS[n])) * v, 2).alias(n) for n, v in scores.items()])
