@@ -27,10 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
 
 
+#: Partitions that a table may have whatever its size, and rows that one holds at least beyond them.
+FEW_PARTS, ROWS_A_PART = 16, 20_000
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder."""
+    """df with its lineage cut in the shared folder, in no more partitions than its counted rows are worth.
+
+    Each shuffle of a small table in many partitions writes a file per partition; many such shuffles fill a disk.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    parts = out._jdf.queryExecution().toRdd().getNumPartitions()
+    if parts <= FEW_PARTS:
+        return out
+    wanted = max(FEW_PARTS, out.count() // ROWS_A_PART)
+    return out.coalesce(wanted) if wanted < parts else out
 
 
 #: Rows whose texts are Python objects at once, and characters at which fewer are.
