@@ -53,13 +53,12 @@ def _told(query_id: list[np.ndarray], vec_id: list[np.ndarray], score: list[np.n
     return pa.table(columns, names=["query_id", "vec_id", "score"])
 
 
-def _parts(asked: pa.Table, given: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table, np.ndarray, np.ndarray]]:
-    """Query ids, queries, query rows, vector ids and vectors, of one width, some vectors at once."""
+def _pairs(asked: pa.Table, given: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table, np.ndarray, np.ndarray]]:
+    """Query ids, queries, query rows, vector ids and vectors of a cell, of each width that both have."""
     others = _by_width(given, "id", "vector")
     for width, (qid, q, rows) in _by_width(asked, "query_id", "query").items():
-        ids, v, _ = others.get(width, (np.zeros(0, np.int64), np.zeros((0, width)), None))
-        for at in range(0, len(ids), ROWS_AT_ONCE):
-            yield qid, q, rows, ids[at : at + ROWS_AT_ONCE], v[at : at + ROWS_AT_ONCE]
+        if width in others:
+            yield qid, q, rows, *others[width][:2]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, slices: int = 2) -> DataFrame:
@@ -80,33 +79,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, slices: int = 2)
 
     def local_best(asked: pa.Table, given: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        for qid, q, _, ids, v in _parts(asked, given):
-            own = qid[:, None] == ids[None, :]
+        for qid, q, _, ids, v in _pairs(asked, given):
             for a, b in _slices(v.shape[1], slices):
-                part = np.where(own, -np.inf, q[:, a:b] @ v[:, a:b].T)
-                top = np.argpartition(-part, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), part.shape)
-                i = np.repeat(np.arange(len(qid)), top.shape[1])
-                j = top.ravel()
-                ok = ~own[i, j]
-                i, j = i[ok], j[ok]
+                best, at = np.full((len(qid), 0), 0.0), np.full((len(qid), 0), 0)
+                for low in range(0, len(ids), ROWS_AT_ONCE):
+                    part = q[:, a:b] @ v[low : low + ROWS_AT_ONCE, a:b].T
+                    part = np.where(qid[:, None] == ids[None, low : low + ROWS_AT_ONCE], -np.inf, part)
+                    best, at = np.concatenate([best, part], axis=1), np.concatenate([at, np.broadcast_to(np.arange(low, low + part.shape[1]), part.shape)], axis=1)
+                    if best.shape[1] > k:
+                        top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                        best, at = np.take_along_axis(best, top, axis=1), np.take_along_axis(at, top, axis=1)
+                i, nth = np.nonzero(np.isfinite(best))
+                j = at[i, nth]
                 for x, y in zip(out, (qid[i], ids[j], _exact(q, v, i, j)), strict=True):
                     x.append(y)
         return _told(*out)
 
     def sufficient(asked: pa.Table, given: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        for qid, q, rows, ids, v in _parts(asked, given):
-            low = rows["low"].to_numpy(zero_copy_only=False).astype(np.float64)
-            low = np.where(np.isnan(low), -np.inf, low)[:, None]
+        for qid, q, rows, ids, v in _pairs(asked, given):
+            floor = rows["low"].to_numpy(zero_copy_only=False).astype(np.float64)
+            floor = np.where(np.isnan(floor), -np.inf, floor)[:, None]
             cuts = _slices(v.shape[1], slices)
-            enters = np.zeros((len(qid), len(ids)), bool)
-            for a, b in cuts:
-                enters |= q[:, a:b] @ v[:, a:b].T >= np.floor(low / len(cuts))
-            i, j = np.nonzero(enters & (qid[:, None] != ids[None, :]))
-            score = _exact(q, v, i, j)
-            kept = score >= low[i, 0]
-            for x, y in zip(out, (qid[i[kept]], ids[j[kept]], score[kept]), strict=True):
-                x.append(y)
+            for low in range(0, len(ids), ROWS_AT_ONCE):
+                some, own = v[low : low + ROWS_AT_ONCE], ids[low : low + ROWS_AT_ONCE]
+                enters = np.zeros((len(qid), len(own)), bool)
+                for a, b in cuts:
+                    enters |= q[:, a:b] @ some[:, a:b].T >= np.floor(floor / len(cuts))
+                i, j = np.nonzero(enters & (qid[:, None] != own[None, :]))
+                score = _exact(q, some, i, j)
+                kept = score >= floor[i, 0]
+                for x, y in zip(out, (qid[i[kept]], own[j[kept]], score[kept]), strict=True):
+                    x.append(y)
         return _told(*out)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
