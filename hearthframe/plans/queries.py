@@ -231,7 +231,7 @@ val AS (SELECT *, list_concat(issues0, {_list([
  ])}) AS told FROM rec),
 acc AS (SELECT * EXCLUDE (issues), issues, CASE WHEN list_has_any(issues, {_BLOCKS}) THEN 'rejected' ELSE 'accepted' END AS status FROM (SELECT *, list_transform(told, lambda x: string_split(x, '|')[1]) AS issues FROM val))"""
 )
-_TOLD = F.array_join(F.transform("issues", lambda i: F.concat_ws("|", i["code"], i["field"], i["detail"])), ";")
+_told = lambda: F.array_join(F.transform("issues", lambda i: F.concat_ws("|", i["code"], i["field"], i["detail"])), ";")  # noqa: E731  needs a session
 _REC = "mls_number sold_date sold_price list_price address area_code linc_number property_type style dom year_built living_area_sqft bedrooms_total"
 
 
@@ -242,12 +242,12 @@ def _validated(spark, d):
 @query("jn_03_reconcile", f"WITH {RECON} SELECT {_REC.replace(' ', ', ')}, array_to_string(issues0, ';') AS issues, CAST(year(sold_date) AS INTEGER) AS sale_year, CAST(month(sold_date) AS INTEGER) AS sale_month, CAST(substr(mls_number, 1, 4) AS INTEGER) AS mls_year_hint FROM rec")
 def jn_03(spark, d):
     x = ingestion.reconcile(*T.two_reports(spark, d))
-    return x.select(*_REC.split(), _TOLD.alias("issues"), "sale_year", "sale_month", "mls_year_hint")
+    return x.select(*_REC.split(), _told().alias("issues"), "sale_year", "sale_month", "mls_year_hint")
 
 
 @query("flt_07_validate", f"WITH {RECON} SELECT mls_number, array_to_string(told, ';') AS issues, status FROM acc")
 def flt_07(spark, d):
-    return _validated(spark, d).select("mls_number", _TOLD.alias("issues"), "status")
+    return _validated(spark, d).select("mls_number", _told().alias("issues"), "status")
 
 
 @query("agg_17_batch_summary", f"""WITH {RECON}, t AS (SELECT CAST(sum((has_s AND has_f)::INT) AS BIGINT) AS matched, CAST(sum((NOT has_f)::INT) AS BIGINT) AS single_only, CAST(sum((NOT has_s)::INT) AS BIGINT) AS full_only, CAST(sum((status = 'accepted')::INT) AS BIGINT) AS accepted, CAST(sum((status = 'rejected')::INT) AS BIGINT) AS rejected, CAST(sum(list_contains(issues, 'DUPLICATE_MLS')::INT) AS BIGINT) AS duplicates,
