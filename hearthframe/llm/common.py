@@ -20,11 +20,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and all runs on one machine."""
     context = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthframe-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+        if told is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="hearthframe-"))
+    return told or context._jsc.sc().getCheckpointDir().get()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Partitions that a table may have whatever its size, and rows that one holds at least beyond them.
