@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthframe.llm import bpe, line_dedup, mixing, order_minhash, queries, toxicity
-from hearthframe.llm.common import id_key, read, shared_folder
+from hearthframe.llm.common import id_key, read, remove_folder, shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +46,20 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("byte_bpe", bpe_stage)]
 
-#: Fitted models, edit joins and byte-level merges are beyond SQL; tests hold the stages against brute force.
+#: Fitted models, edit joins and byte-level merges are beyond SQL; tests/llm/test_pipeline.py holds the stages against plainer versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written under spark.checkpoint.dir."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what lies between them is written under spark.checkpoint.dir, and goes once the next stage is written.
+
+    The last stage reads its predecessor's table when the result is asked for, so that one stays.
+    """
+    docs, folder, before = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
