@@ -21,6 +21,8 @@ from .common import NO_ID, checkpoint, components, id_key, map_texts, small_side
 K, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 16, 2
 #: Lower-cases A-Z; what is no digit, letter or character beyond ASCII parts words.
 WORD_BYTES = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Centres that a text is first paired with, those with which it shares the most sketches; what they miss is paired later.
+CENTRES = 4
 U = np.uint64
 AT_ONCE, PARITY = 1 << 20, 32
 
@@ -154,8 +156,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """(_doc, _h1, _h2, n, class_id, best): a row for each id and text, n the rows that have both.
 
     Equal texts are one node, linked without being paired; a row without id is a document like any other. Nodes are
-    numbered in the order of their least ids, and the least node of a class is its best. Candidates are first paired with the
-    centre of their sketch, the node whose sketches are the most shared: the text that the others were copied from, in a
+    numbered in the order of their least ids, and the least node of a class is its best. Candidates are first paired with
+    centres of their sketches, nodes whose sketches are the most shared: the text that the others were copied from, in a
     large group. Then all those are paired that share a sketch but are not yet in one class, so that classes are the
     same as if every candidate pair had been verified, while a large group of copies makes few pairs.
     """
@@ -183,7 +185,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     members = checkpoint(signs.join(small_side(groups, groups.count()), "key").select("key", "node", "size"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     centres = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
-    star = members.join(centres, "key").where("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    met = members.join(centres, "key").where("node != centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    most = Window.partitionBy("node").orderBy(F.desc("shared"), "centre")  # a row per sketch at most
+    star = met.withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= CENTRES)
+    star = star.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
     star = checkpoint(star)
     wanted = checkpoint(members.select("node").distinct().join(nodes, "node"))
     placed = F.col("_h1") == F.col("w1"), F.col("_h2") == F.col("w2"), F.col("_doc") == F.col("first")
