@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_diff, license_scan, line_dedup, media, mixing, order_minhash, token_counts, topk, toxicity
+from . import bpe, divergence, html_diff, license_scan, line_dedup, media, mixing, order_minhash, token_counts, topk, toxicity
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -73,7 +73,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_html_extraction, op4_license_scan, op5_mixing, op6_toxicity, op7_media, op8_token_counts, op9_order_minhash, op10_topk)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_byte_bpe, op3_html_extraction, op4_license_scan, op5_mixing, op6_toxicity, op7_media, op8_token_counts, op9_order_minhash, op10_topk, op11_divergence)
+}
 
 ORACLE_SQL = {
     "op5_mixing": r"""
@@ -100,4 +107,19 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size, count(*) OVER (PARTITION BY lang, source) AS terms, sum(total) OVER (PARTITION BY lang, source) AS all_size FROM f),
+p AS (SELECT lang, source, term, n, CAST(1 + 1000000000::HUGEINT * (n + 5) // (size + 5 * terms) AS BIGINT) AS p, CAST(1 + 1000000000::HUGEINT * (total + 5) // (all_size + 5 * terms) AS BIGINT) AS q FROM s),
+m AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50""",
 }
