@@ -30,7 +30,7 @@ SELECT lang, term, list(source) AS sources, list(n) AS counts FROM ({SUM}) GROUP
 #: One shard of a language: kept (term, sources, counts), groups (source, size), and the language's number of kept terms and of their occurrences.
 #: Sources with no occurrence of a term all give it the same chance z, so a pair's sum needs only the terms that a side has.
 SHARD = f"""
-WITH g AS (SELECT source, size, 1 + CAST({SCALE}::HUGEINT * {SMOOTH} // (size + {SMOOTH}::HUGEINT * $terms) AS BIGINT) AS z FROM groups),
+WITH g AS (SELECT source, size, 1 + CAST({SCALE}::HUGEINT * {SMOOTH} // nullif(size + {SMOOTH}::HUGEINT * $terms, 0) AS BIGINT) AS z FROM groups),
 u AS (SELECT term, unnest(sources) AS source, unnest(counts) AS n FROM kept),
 c AS (SELECT term, source, z, 1 + CAST({SCALE}::HUGEINT * (n + {SMOOTH}) // (size + {SMOOTH}::HUGEINT * $terms) AS BIGINT) AS p FROM u JOIN g USING (source)),
 t AS (SELECT term, 1 + CAST({SCALE}::HUGEINT * (sum(n) + {SMOOTH}) // ($size + {SMOOTH}::HUGEINT * $terms) AS BIGINT) AS q FROM u GROUP BY term),
