@@ -2,12 +2,13 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from hearthframe.llm import divergence
+from hearthframe.llm import divergence, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, size string"
 
@@ -48,3 +49,48 @@ def test_divergence_of_groups_without_terms_and_of_no_rows(spark):
     rows = spark.createDataFrame([(1, "12 34", "en", "a", ""), (2, None, "en", "b", ""), (3, "", None, None, "")], DOCS)
     assert sorted(tuple(x) for x in divergence.divergence(rows).collect()) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
     assert divergence.divergence(rows.limit(0)).count() == 0
+
+
+def brute_variants(rows):
+    n = Counter()
+    for doc, text, *_ in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 6 and k >= 5}
+    cut = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    holes = lambda w: {(w[:i], w[i + 1 :]) for i in range(len(w))}
+    near = {w: [v for v in n if v != w and (v in cut(w) or w in cut(v) or len(v) == len(w) and holes(v) & holes(w))] for w in n}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+    def root(w):
+        return w if form[w] is None else root(form[w])
+    return sorted((w, form[w], root(w), n[w], len(near[w]), form[w] and n[form[w]]) for w in n)
+
+
+def test_variants_match_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    base = ["".join(r.choices("abÿÀé", k=r.randrange(6, 10))) for _ in range(40)] + ["aaaaaa", "aaaaaaa", "abcabc", "Xabcabc", "contra", "contre", "contras"]
+    words = []
+    for i, w in enumerate(base * 8):
+        at = r.randrange(len(w))
+        words += [w[:at] + r.choice(["", "b", "é", w[at]]) + w[at + r.randrange(2) :]] * r.choice([1, 5, 30, 200])
+    words += ["chaina"] * 5 + ["chainb"] * 25 + ["chainbb"] * 125 + ["chanbb"] * 625 + ["Short", "Kelvin\u212aelvin"] * 9
+    r.shuffle(words)
+    rows = [(i, " ".join(words[k : k + 90])) for i, k in enumerate(range(0, len(words), 90))] + [(None, "abcabc " * 7), (None, None), (3, ""), (5, "q" * 40_000), (5, "q" * 40_000)]
+    monkeypatch.setattr(spelling, "WORDS_A_SHARD", 12)
+    monkeypatch.setattr(spelling, "HELD_WORDS", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"word": F.lit(1), "n": F.lit("clash")}).repartition(3)
+    got, want = sorted((tuple(x) for x in spelling.variants(docs).collect()), key=str), sorted(brute_variants(rows), key=str)
+    assert got == want and any(w[1] and w[2] != w[1] for w in want) and max(w[4] for w in want) > 3
+    assert spelling.variants(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b", "near"), [("abc", "abc", False), ("abc", "abd", True), ("abc", "ab", True), ("bc", "abc", True), ("abc", "acb", False), ("aab", "ab", True), ("abcd", "ab", False)])
+def test_one_edit(a, b, near):
+    assert spelling.one_edit(a, b) is near and spelling.one_edit(b, a) is near
