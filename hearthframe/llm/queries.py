@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, html_diff, license_scan, line_dedup, media, mixing, order_minhash, spelling, token_counts, topk, toxicity
+from . import bpe, divergence, html_diff, license_scan, line_dedup, media, mixing, order_minhash, quality, spelling, token_counts, topk, toxicity
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,9 +81,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_byte_bpe, op3_html_extraction, op4_license_scan, op5_mixing, op6_toxicity, op7_media, op8_token_counts, op9_order_minhash, op10_topk, op11_divergence, op12_spelling_variants)
+    for f in (op1_line_dedup, op2_byte_bpe, op3_html_extraction, op4_license_scan, op5_mixing, op6_toxicity, op7_media, op8_token_counts, op9_order_minhash, op10_topk, op11_divergence, op12_spelling_variants, op13_quality)
 }
 
 ORACLE_SQL = {

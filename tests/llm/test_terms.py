@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthframe.llm import divergence, spelling
+from hearthframe.llm import divergence, quality, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, size string"
 
@@ -51,6 +52,12 @@ def test_divergence_of_groups_without_terms_and_of_no_rows(spark):
     assert divergence.divergence(rows.limit(0)).count() == 0
 
 
+def test_divergence_with_odd_columns_and_its_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clash = docs.withColumns({c: F.lit("clash") for c in ("term", "n", "size", "shard", "part", "doc_")})
+    assert sorted(map(tuple, divergence.divergence(clash, 5).collect())) == sorted(map(tuple, divergence.divergence(docs, 5).collect()))
+
+
 def brute_variants(rows):
     n = Counter()
     for doc, text, *_ in rows:
@@ -94,3 +101,50 @@ def test_variants_match_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize(("a", "b", "near"), [("abc", "abc", False), ("abc", "abd", True), ("abc", "ab", True), ("bc", "abc", True), ("abc", "acb", False), ("aab", "ab", True), ("abcd", "ab", False)])
 def test_one_edit(a, b, near):
     assert spelling.one_edit(a, b) is near and spelling.one_edit(b, a) is near
+
+
+def labelled(n, seed):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = ["".join(r.choices("abcdeiou", k=r.randrange(2, 9))) for _ in range(r.randrange(3, 80))]
+        bad = r.random() < 0.3
+        if bad:
+            words = r.choice([lambda: words[:2] * 20, lambda: [w + r.choice("#$%&*") * 3 for w in words], lambda: [w.upper() + "!!" for w in words]])()
+        out.append((i, " ".join(words) + ".", 0 if bad else 1))
+    return out
+
+
+def test_quality_on_held_out_rows(spark):
+    rows = labelled(1500, 5)
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, label int")
+    model = quality.fit(docs, labels)
+    out = quality.score(docs, model).withColumn("held_out", quality.held_out(F.col("doc_id"))).collect()
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) and 0 <= x.score <= 1 for x in out)
+    right = [(x.score >= 0.5) == (rows[x.doc_id][2] == 1) for x in out if x.held_out]
+    assert len(right) > 400 and np.mean(right) >= 0.95
+    flipped = spark.createDataFrame([(x[0], 1 - x[2] if zlib.crc32(str(x[0]).encode()) % 3 == 1 else x[2]) for x in rows], "doc_id long, label int")
+    again = {x.doc_id: x.score for x in quality.score(docs, quality.fit(docs, flipped)).collect()}
+    assert all(abs(again[x.doc_id] - x.score) < 1e-9 for x in out)  # held-out labels teach nothing
+
+
+def test_quality_sums_equal_direct_equations(spark):
+    rows = labelled(200, 6)
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(5), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, label int")
+    model, sample = quality.fit(docs, labels), quality.labelled_statistics(docs, labels).collect()
+    stats, y, apart = np.array([x.stats for x in sample]), np.array([x.label for x in sample]), np.array([x.apart for x in sample])
+    assert np.allclose(model.mean, stats.mean(0)) and len(sample) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))
+    z = model.features(stats[~apart])
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]) * len(z) / quality.FEATURES, z.T @ y[~apart])
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    assert np.all(np.diff(model.chances) >= 0) and len(quality.labelled_statistics(docs, labels, 40).collect()) < 80
+
+
+def test_quality_of_odd_rows(spark):
+    odd = [(1, None), (None, "a b"), (2, ""), (3, "x" * 300_000), (3, "x" * 300_000), (None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"score": F.lit("clash"), "stats": F.lit("clash"), "label": F.lit(1)})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 1), (9, 0), (3, 1)], "doc_id long, label int")
+    for model in (quality.fit(docs, labels), quality.fit(docs, labels.limit(0)), quality.fit(docs.limit(0), labels)):
+        got = quality.score(docs, model).collect()
+        assert len(got) == len(odd) and all(0 <= x.score <= 1 for x in got) and len({x.score for x in got if x.text in (None, "")}) == 1
+    assert quality.fit(docs, labels.limit(0)) is None and quality.score(docs.limit(0), None).count() == 0
