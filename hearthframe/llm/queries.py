@@ -13,9 +13,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
-    return read(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    """The table tells two grades, 0 not toxic and 1 toxic; toxicity.fit() takes any number."""
+    return read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic").isin(0, 1), F.col("toxic")).alias("grade"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.fit(docs, graded_labels(spark, sf_dir), 2))
+    scored = toxicity.score(docs, toxicity.fit(docs, graded_labels(spark, sf_dir), 1))
     return scored.select("doc_id", "p_toxic", "severity", (F.col("p_toxic") >= toxicity.REJECT).cast("int").alias("toxic"))
 
 

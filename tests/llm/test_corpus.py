@@ -227,6 +227,22 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert toxicity.score(odd, toxicity.fit(odd, df.limit(0).select("doc_id", "grade"), 2)).where("p_toxic > 0").count() == 0
 
 
+def test_expected_severity_orders_the_grades(spark):
+    r = random.Random(15)
+    plain, mild, harsh = (["".join(r.choice("abcdefgh") for _ in range(5)) + end for _ in range(n)] for end, n in (("", 60), ("mild", 4), ("harsh", 4)))
+    rows = []
+    for i in range(900):
+        grade = r.choice([0, 0, 0, 1, 2])
+        rows.append((i, " ".join(r.choices(plain, k=r.randrange(8, 30)) + r.choices(mild if grade == 1 else harsh, k=2 if grade else 0)), grade))
+    rows += [(5, "another text of one id", 0)] * 3 + [(None, "no id", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = toxicity.fit(df, df.where("doc_id < 600"), 2)
+    got = toxicity.score(df.where("doc_id >= 600"), model).groupBy("grade").agg(F.avg("severity").alias("s"), F.min("p_toxic").alias("low"), F.max("p_toxic").alias("high")).orderBy("grade").collect()
+    assert got[0].s < 0.2 < got[1].s < 1.5 < got[2].s and got[0].high < toxicity.REJECT < min(got[1].low, got[2].low)
+    few = toxicity.fit(df, df, 2, sample_rows=50)
+    assert len(few.thresholds) == 2 and few.thresholds[0] <= few.thresholds[1]
+
+
 def test_media_round_trip(spark, odd):
     for x in media.media_columns(odd).collect():
         text = next(t for i, t in ODD if i == x.doc_id and len((t or "").encode()) == x.n_bytes)
