@@ -14,7 +14,7 @@ from hearthframe.llm.common import id_key, read, remove_folder, shared_folder
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of a toxic grade reaches the threshold go."""
-    model = toxicity.fit(docs.select("doc_id", "text"), queries.graded_labels(spark, sf_dir), 2)
+    model = toxicity.fit(docs.select("doc_id", "text"), queries.graded_labels(spark, sf_dir), 1)
     return toxicity.score(docs, model).where(F.col("p_toxic") < toxicity.REJECT).select(*docs.columns)
 
 
