@@ -1,11 +1,12 @@
 """Main text of pages: blocks of the markup, minus what a page shares with the page of the nearest URL on its host.
 
-The nearest page is the neighbour, in the order of paths within a host, with the longer common beginning of the path.
-The lines of both, each with the kind of place it stands in, are aligned by their longest common subsequence, and the
-lines they share go. Two articles may quote one sentence, so lines within an <article> or <main> go only if they also
-stand on a third page of the host, and only if they are less than half of the page's main text, as the rest may else be
-copies of one article. Places that are never main text go in any case: elements for menus, forms and so on, and those
-whose class, id or role says nothing but that (ad-slot, but not share-prices); what that leaves open the alignment decides.
+The nearest page is the neighbour, in the order of paths within a host, with the longer common beginning of the path; a
+page with the same lines is a copy, not a neighbour. The lines of both, each with the kind of place it stands in, are aligned
+by their longest common subsequence, and the lines they share go. Articles may quote one sentence, so a line within an
+<article> or <main> goes only if it also stands outside of one on another page of the host, as what surrounds articles does.
+Places that are never main text go in any case: elements for menus, forms and so on, and those whose class, id or role
+says so by one of its names and speaks of no content by another (ad-slot, but neither share-prices nor "tags content");
+what that leaves open the alignment decides.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ MARKS = set(
     "footer form gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices pagination paywall popup promo promos promoted promotion related recommended "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar tracking widget".split()
 )
+#: Names of a class, id or role that tell a place of content, whatever its other names are.
+CONTENT = {"content", "contents", "body", "entry", "post", "story", "article", "main", "text", "prose"}
 #: Words that say what shape a place has, not what it is about.
 PARTS = set("area bar block body bottom box btn button buttons card cards col column container content entry form group holder icon icons inner item items label left link links list nav outer page panel policy post posts right row section site slot stories strip thread top unit wrap wrapper zone".split())
 MAIN_WORDS = {"main", "article"}
 #: A line's place: within the main element, or elsewhere.
 MAIN, OTHER = 1, 0
-#: Pages of a host that a line is on at least, to go from a main element.
-RECURS = 3
 SALTS = 16
 
 
@@ -57,7 +58,8 @@ def _marked(name: str, attributes: str, in_main: bool) -> bool:
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role") and name not in ("body", "html", "main", "article"):
-            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+            tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split()
+            for token in tokens if CONTENT.isdisjoint(tokens) else ():
                 words = set(re.findall(r"[a-z]+", token))
                 if words & MARKS and words <= MARKS | PARTS or words & {"header"} and words <= MARKS | PARTS | {"header"} and not in_main:
                     return True
@@ -147,7 +149,8 @@ def lines_of(page: str) -> list[tuple[int, str]]:
 
 
 def line_hash(place: int, line: str) -> int:
-    return int.from_bytes(blake2b(f"{place}{line}".encode(), digest_size=8).digest(), "little", signed=True)
+    """A hash of the line, whose last bit is its place."""
+    return int.from_bytes(blake2b(line.encode(), digest_size=8).digest(), "little", signed=True) & ~1 | place
 
 
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
@@ -186,15 +189,13 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[int, str]], other: list[int], often: set[int]) -> str:
-    """The page's lines without those shared with the other page, whose hashes are given, and which of them recur."""
+def main_text(lines: list[tuple[int, str]], other: list[int], outside: set[int]) -> str:
+    """The page's lines without those shared with the other page, whose hashes are given; of a main element only those go that stand outside of one elsewhere."""
     hashes = [line_hash(*x) for x in lines]
     gone = shared_lines(hashes, other) if other else set()
     main = [i for i, (place, _) in enumerate(lines) if place == MAIN]
     if main:
-        gone = {i for i in main if i in gone and hashes[i] in often}
-        if 2 * sum(len(lines[i][1]) for i in gone) >= sum(len(lines[i][1]) for i in main):
-            gone = set()  # a copy of an article
+        gone = {i for i in gone if hashes[i] in outside}
     return "\n".join(lines[i][1] for i in main or range(len(lines)) if i not in gone)
 
 
@@ -213,20 +214,24 @@ def _common(a, b):
     return F.when(a.isNull() | b.isNull(), F.lit(-1)).when(n == 0, F.lit(0)).when(differs == 0, n).otherwise(differs - 1)
 
 
-def recurring_lines(pages: DataFrame) -> DataFrame:
-    """(page, often): the hashes of each page that RECURS pages of its host have; pages without any are left out."""
-    lines = pages.select("host", "page", F.explode(F.array_distinct("hashes")).alias("hash")).select("page", "hash", F.xxhash64("host", "hash").alias("key"))
-    keys = checkpoint(lines.groupBy("key").count().where(F.col("count") >= RECURS).select("key"))
+def lines_outside(pages: DataFrame) -> DataFrame:
+    """(page, outside): the hashes of each page's lines within main elements that stand outside of one on another page of its host."""
+    lines = pages.select("host", "page", F.explode(F.array_distinct("hashes")).alias("hash"))
+    lines = lines.select("page", "hash", F.xxhash64("host", F.shiftright("hash", 1)).alias("key"), (F.col("hash") % 2 != 0).alias("within"))
+    apart = F.when(~F.col("within"), F.col("page"))
+    keys = lines.groupBy("key").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.max("within").alias("both")).where("low is not null and both")
+    keys = checkpoint(keys.drop("both"))
+    lines = lines.where("within")
     if keys.count() <= BROADCAST_ROWS:
         met = lines.join(F.broadcast(keys), "key")
     else:  # a line that all pages of a large host have is spread over the salts
         salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = lines.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
-    return met.groupBy("page").agg(F.collect_list("hash").alias("often"))
+    return met.where("low != page or high != page").groupBy("page").agg(F.collect_list("hash").alias("outside"))
 
 
 def nearest_pages(pages: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFrame:
-    """(page, lines of the nearest page, those of them that recur) from (host, path, page, hashes); a host of any size spans several ranges.
+    """(page, lines of the nearest page that is no copy, those of the own ones that stand outside a main element elsewhere) from (host, path, page, hashes); a host of any size spans several ranges.
 
     cuts, sorted places in the order (host, path, page), deal the rows out; the first and last row of each range are
     gathered, a row per range, so that neighbours meet over the ends of ranges as well.
@@ -238,17 +243,17 @@ def nearest_pages(pages: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFra
     else:
         ranged = pages.withColumn("part", F.lit(0))
     ranged = checkpoint(ranged)
-    ranged = checkpoint(ranged.join(recurring_lines(ranged), "page", "left"))
-    row = F.struct("host", "path", "page", "hashes", "often")
+    ranged = checkpoint(ranged.join(lines_outside(ranged), "page", "left"))
+    row = F.struct("host", "path", "page", "hashes")
     ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
     by_part = Window.orderBy("part")  # a row per range
     ends = checkpoint(ends.select("part", F.lag("high").over(by_part).alias("before"), F.lead("low").over(by_part).alias("after")))
     order = Window.partitionBy("part").orderBy("host", "path", "page")
-    near = ranged.join(F.broadcast(ends), "part").select("host", "path", "page", F.coalesce(F.lag(row).over(order), "before").alias("b"), F.coalesce(F.lead(row).over(order), "after").alias("a"))
-    same = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(c))
+    near = ranged.join(F.broadcast(ends), "part").select("host", "path", "page", "hashes", "outside", F.coalesce(F.lag(row).over(order), "before").alias("b"), F.coalesce(F.lead(row).over(order), "after").alias("a"))
+    same = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.hashes") != F.col("hashes")), F.col(c))
     near = near.withColumns({"b": same("b"), "a": same("a")})
     near = near.withColumn("pick", F.when(_common(F.col("path"), F.col("a.path")) > _common(F.col("path"), F.col("b.path")), F.col("a")).otherwise(F.coalesce("b", "a")))
-    return near.select("page", F.col("pick.hashes").alias("other"), F.col("pick.often").alias("often")).dropDuplicates(["page"])
+    return near.select("page", F.col("pick.hashes").alias("other"), "outside").dropDuplicates(["page"])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -274,9 +279,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for blob, other, often in zip(*[batch.column(c) for c in ("lines", "other", "often")], strict=True):
+            for blob, other, outside in zip(*[batch.column(c) for c in ("lines", "other", "outside")], strict=True):
                 lines = [(int(x[0]), x[1:]) for x in zlib.decompress(blob.as_py()).decode().split("\n") if x]
-                texts.append(main_text(lines, other.as_py() or [], set(often.as_py() or ())))
+                texts.append(main_text(lines, other.as_py() or [], set(outside.as_py() or ())))
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), *made], names=["key", "url", "text", "n_chars"])
 
@@ -285,5 +290,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     # equal pages have equal lines, so any of them will do
     near = nearest_pages(signs.dropDuplicates(["page"]), cuts)
     whole = map_texts(base.select("key", "url", "page", "html"), "html", "lines binary", packed, keep=False)
-    out = whole.join(near, "page", "left").select("key", "url", "lines", "other", "often").mapInArrow(aligned, f"key {kind}, url {dict(pages.dtypes)[url_col]}, text string, n_chars long")
+    out = whole.join(near, "page", "left").select("key", "url", "lines", "other", "outside").mapInArrow(aligned, f"key {kind}, url {dict(pages.dtypes)[url_col]}, text string, n_chars long")
     return out.select(F.col("key").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -143,16 +143,27 @@ def test_html_extraction(spark):
 def test_html_lines_within_articles(spark):
     r = random.Random(9)
     own = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(8)]
-    page = "<body><p>head</p><article><h1>t{}</h1><p>{}</p>{}<p>Read on by letter.</p></article></body>"
+    page = "<body><p>head</p><article><h1>t{}</h1><p>{}</p>{}<p>Read on by letter.</p></article>{}</body>"
     quoted = "<p>one sentence that two pages quote</p>"
-    rows = [(i, f"http://h/a/{i}", page.format(i, x, quoted if i in (2, 3) else "")) for i, x in enumerate(own)]
+    rows = [(i, f"http://h/a/{i}", page.format(i, x, quoted if i in (2, 3) else "", "<p>Read on by letter.</p>" if i == 6 else "")) for i, x in enumerate(own)]
     rows += [(10 + i, f"http://copies/{i}", "<article><p>a copied article</p><p>of two lines</p></article>") for i in range(4)]
     rows += [(20 + i, f"http://two/{i}", f"<main><p>{own[i]}</p><p>Read on by letter.</p></main>") for i in range(2)]
+    rows += [(30 + i, f"http://bare/{i}", "<p>same story para</p><p>second para</p>") for i in range(3)]
+    rows += [(40 + i, f"http://all/{i}", f"<p>head</p><article><p>{own[i]}</p><p>on all pages, in articles alone</p></article>") for i in range(5)]
     got = {x.page_id: x.text for x in html_diff.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i, x in enumerate(own):  # the notice goes, the quoted sentence stays
-        assert got[i] == f"t{i}\n{x}" + ("\none sentence that two pages quote" if i in (2, 3) else "")
+    for i, x in enumerate(own):  # the notice, which also stands outside an article, goes but from where it does; the quoted sentence stays
+        kept = ("\none sentence that two pages quote" if i in (2, 3) else "") + ("\nRead on by letter." if i == 6 and got[6].endswith("letter.") else "")
+        assert got[i] == f"t{i}\n{x}" + kept
     assert all(got[10 + i] == "a copied article\nof two lines" for i in range(4))
     assert all(got[20 + i] == f"{own[i]}\nRead on by letter." for i in range(2))  # may be quoted
+    assert all(got[30 + i] == "same story para\nsecond para" for i in range(3))  # copies do not erase each other
+    assert all(got[40 + i] == f"{own[i]}\non all pages, in articles alone" for i in range(5))
+
+
+def test_html_names_of_content(spark):
+    rows = [(i, f"http://h{i}/a", f"<article><div class='{c}'><p>Real text</p></div></article>") for i, c in enumerate(["tags content", "entry share", "tags", "share-buttons x"])]
+    got = {x.page_id: x.text for x in html_diff.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == ["Real text", "Real text", "", ""]
 
 
 def test_html_places_are_told_by_what_they_say_alone(spark):
