@@ -375,6 +375,13 @@ def test_top_k_of_ties_repeats_odd_widths_and_many_cells(spark, monkeypatch):
     assert got == want
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(20, [1, 0]), (20, [0, 2]), (21, [3, 1]), (20, [1, 0])]
+    df = spark.createDataFrame(rows, "id long, vector array<long>")
+    got = sorted(map(tuple, topk.top_k(df, df.where("id = 20"), k=3).collect()))
+    assert got == sorted([(20, 1, 21, 3), (20, 2, 20, 0), (20, 1, 21, 2), (20, 2, 20, 0), (20, 3, 20, 0)])
+
+
 def test_oracles_on_small_tables(spark):
     from hearthframe.llm.queries import ORACLE_SQL, QUERIES
 
