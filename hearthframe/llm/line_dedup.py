@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, components, id_key, small_side, string_or_empty
+from .common import BROADCAST_ROWS, NO_ID, checkpoint, components, id_key, small_side, string_or_empty
 
 #: Times that keys are refined by the rests of their lines.
 REFINE = 2
@@ -162,6 +162,21 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
 
+def documents_of(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with the number of its document by order of id and then of text as column `name`, and (name, id) of the numbers.
+
+    If no id repeats and none is null, the ids are the numbers, and there is no second table.
+    """
+    ids = docs.select(id_key(id_col).alias("id"))
+    if ids.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id") == NO_ID).alias("none")).where("n > 1 or none").isEmpty():
+        return docs.withColumn(name, id_key(id_col)), None
+    sign = F.xxhash64(string_or_empty(text_col))
+    # numbers of sorted rows grow from partition to partition; once written they stay
+    ranks = checkpoint(docs.select(id_key(id_col).alias("id"), sign.alias("sign")).distinct().orderBy("id", "sign").withColumn(name, F.monotonically_increasing_id()))
+    keyed = docs.join(ranks.withColumnsRenamed({"id": name + "id", "sign": name + "sign"}), (id_key(id_col) == F.col(name + "id")) & (sign == F.col(name + "sign"))).drop(name + "id", name + "sign")
+    return keyed, ranks.select(name, "id")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 12) -> DataFrame:
     """docs with each line kept only where its class of near-equal lines first occurs, over all documents.
 
@@ -170,12 +185,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arbitrary but fixed one), there once. 4 * (tau + 1) characters are the least that the join supports; shorter lines are no
     passages and stay. Adds n_lines, n_kept, n_links (links
     of its lines to different ones) and class_id (the least id of a document that owns a line kept for one of its lines,
-    itself if it has none). Null text: one empty line. Null ids: all such rows are one document, after all others; so
-    are rows that share an id. A column of docs with the name of an added one is replaced.
+    itself if it has none). Null text: one empty line. Rows that share an id, or have none, are documents of their own by their
+    texts, those without an id after all others, with a null class_id where they own their lines; rows equal in id and
+    text are one document and keep the same lines. No rows: none. A column of docs with the name of an added one is replaced, all
+    others pass through.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_kept", "n_links", "class_id")]
-    base = docs.select(*kept).withColumns({"_doc": id_key(id_col), "_lines": F.split(string_or_empty(text_col), "\n", -1)})
-    lines = base.select(F.col("_doc").alias("doc"), F.explode("_lines").alias("line")).where(F.char_length("line") >= min_chars)
+    mark = "_"
+    while any(c.startswith(mark) for c in kept):
+        mark += "_"
+    doc, cut, taken, first_, tagged_ = (mark + n for n in ("doc", "lines", "gone", "first", "tagged"))
+    docs, ranks = documents_of(docs.select(*kept), id_col, text_col, doc)
+    base = docs.withColumn(cut, F.split(string_or_empty(text_col), "\n", -1))
+    lines = base.select(F.col(doc).alias("doc"), F.explode(cut).alias("line")).where(F.char_length("line") >= min_chars)
     lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(17))})
 
     links = checkpoint(linked_lines(lines, tau, min_chars))
@@ -199,16 +221,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
     goes = ~((F.col("first") == F.col("doc")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
     gone = F.collect_set(F.when(goes, F.concat(F.lit(":"), "line")))
-    told = met.groupBy(F.col("doc").alias("_doc")).agg(gone.alias("_gone"), F.sum("links").alias("n_links"), F.min("first").alias("_first"))
-    tagged = F.transform("_lines", lambda x, i: F.concat(F.when(F.char_length(x) < min_chars, i.cast("string")).otherwise(""), F.lit(":"), x))
-    out = base.join(told, "_doc", "left").withColumn("_tagged", F.array_except(tagged, F.coalesce("_gone", F.array().cast("array<string>"))))
-    first = F.least("_doc", F.coalesce("_first", "_doc"))
+    told = met.groupBy(F.col("doc").alias(doc)).agg(gone.alias(taken), F.sum("links").alias("n_links"), F.min("first").alias(first_))
+    tagged = F.transform(cut, lambda x, i: F.concat(F.when(F.char_length(x) < min_chars, i.cast("string")).otherwise(""), F.lit(":"), x))
+    out = base.join(told, doc, "left").withColumn(tagged_, F.array_except(tagged, F.coalesce(taken, F.array().cast("array<string>"))))
+    out = out.withColumn(first_, F.least(doc, F.coalesce(first_, doc)))
+    if ranks is not None:
+        out = out.join(ranks.select(F.col(doc).alias(first_), F.col("id").alias("class_id")), first_)
+    else:
+        out = out.withColumn("class_id", F.col(first_))
     return out.withColumns(
         {
-            text_col: F.array_join(F.transform("_tagged", lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x))), "\n"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_kept": F.size("_tagged").cast("long"),
+            text_col: F.array_join(F.transform(tagged_, lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x))), "\n"),
+            "n_lines": F.size(cut).cast("long"),
+            "n_kept": F.size(tagged_).cast("long"),
             "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
-            "class_id": F.when(first == F.lit((1 << 63) - 1), F.lit(None)).otherwise(first),
+            "class_id": F.when(F.col("class_id") != NO_ID, F.col("class_id")),
         }
     ).select(*kept, "n_lines", "n_kept", "n_links", "class_id")

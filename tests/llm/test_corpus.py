@@ -76,6 +76,32 @@ def test_lines_from_twelve_characters_are_joined(spark):
     assert sorted(x for x in got if 0 < len(x) < 12) == sorted(x for _, t in rows for x in t.split("\n") if 0 < len(x) < 12)
 
 
+def test_line_dedup_of_rows_without_or_with_one_id(spark):
+    r = random.Random(12)
+    base = ["".join(r.choice("abcd ") for _ in range(r.randrange(14, 30))) for _ in range(25)]
+    rows = [(r.choice([None, None, 7, 7, i]), "\n".join([edited(r, r.choice(base), r.randrange(2)) for _ in range(3)] + [f"of row {i} alone" * 3])) for i in range(60)]
+    rows += [(7, "the very same line\nseven"), (7, "the very same line\neight"), (None, "a passage without id\nx"), (None, "a passage without id\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_doc": F.lit("a"), "_lines": F.lit("b"), "__gone": F.lit("c"), "id": F.lit("d"), "sign": F.lit("e")})
+    out = line_dedup.line_dedup(df)
+    got = out.collect()
+    assert len(got) == len(rows) and all((x._doc, x._lines, x["__gone"], x.id, x.sign) == tuple("abcde") for x in got)
+    lines = sorted({x for _, t in rows for x in t.split("\n") if len(x) >= 12})
+    label = {x: x for x in lines}
+    links = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    for _ in lines:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    kept = [(x, i.doc_id) for i in got for x in i.text.split("\n") if len(x) >= 12]
+    assert links and sorted(label[x] for x, _ in kept) == sorted(set(label.values()))  # each class once, whatever ids its rows have
+    least = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            if len(x) >= 12:
+                least[label[x]] = min(least.get(label[x], 1 << 62), 1 << 62 if i is None else i)
+    assert all((1 << 62 if i is None else i) == least[label[x]] for x, i in kept)
+    assert sum("the very same line" in x.text for x in got) == sum("a passage without id" in x.text for x in got) == 1
+
+
 def test_characters_beyond_the_basic_plane_count_once(spark):
     r = random.Random(11)
     rows = []
