@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ MIN_LENGTH, MIN_COUNT, FORM_TIMES = 6, 5, 5
 
 #: Distinct words that a task counts before it hands them on, and words of a shard's automaton.
 HELD_WORDS, WORDS_A_SHARD = 300_000, 20_000
+#: Pairs of words under which they are compared one by one, and characters that are compared at once beyond.
+FEW_PAIRS, CODES_AT_ONCE = 24, 1 << 20
 
 
 def counted_words(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -60,33 +63,60 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
+def edit_pairs(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+    """(i, j) of the pairs a[i], b[j] at one edit; the words of a are of one length, and so are those of b. Many pairs are compared at once."""
+    if abs(len(a[0]) - len(b[0])) > 1:
+        return
+    if len(a) * len(b) < FEW_PAIRS:
+        yield from ((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if one_edit(x, y))
+        return
+    if len(a[0]) > len(b[0]):
+        yield from ((i, j) for j, i in edit_pairs(b, a))
+        return
+    codes = lambda words: np.frombuffer("".join(words).encode("utf-16-le"), np.uint16).reshape(len(words), -1)
+    x, y = codes(a), codes(b)
+    size, step = x.shape[1], max(1, CODES_AT_ONCE // y.size)
+    for at in range(0, len(a), step):
+        some = x[at : at + step, None, :]
+        lead = some == y[None, :, :size]
+        if y.shape[1] == size:
+            near = lead.sum(axis=2) == size - 1
+        else:  # what the shorter shares with the longer's beginning and end makes it up
+            tail = (some == y[None, :, 1:])[:, :, ::-1]
+            near = np.logical_and.accumulate(lead, axis=2).sum(axis=2) + np.logical_and.accumulate(tail, axis=2).sum(axis=2) >= size
+        yield from zip((at + (k := np.nonzero(near))[0]).tolist(), k[1].tolist())
+
+
 def near_in_shard(side: str, patterns: list[tuple[str, int]], scanned: list[str]) -> Iterator[tuple[str, int, int, str]]:
     """(word, near words, the largest of their counts, the least word that has it) of the scanned words with near ones among the patterns' words.
 
     One edit leaves one half of a word whole: the first at the start of the near word, or the second at its end. Shards of side
     "first" hold first halves; those of "last" hold second halves and leave out the words whose first half stands at the start too.
     """
-    by_half: dict[str, dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
-    for word, n in patterns:
-        half = word[: len(word) // 2] if side == "first" else word[len(word) // 2 :]
-        by_half[half][len(word)].append((word, n))
+    by_half: dict[str, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for word, _ in patterns:
+        by_half[word[: len(word) // 2] if side == "first" else word[len(word) // 2 :]][len(word)].append(word)
     automaton = ahocorasick.Automaton()
     for half in by_half:
         automaton.add_word(half, half)
     automaton.make_automaton()
+    found: dict[str, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
     for word in scanned:
-        near, best = 0, (0, "")
         for end, half in automaton.iter(word):
-            if (end + 1 != len(half)) if side == "first" else (end + 1 != len(word)):
-                continue
-            for size in (len(word) - 1, len(word), len(word) + 1):
-                for other, n in by_half[half].get(size, ()):
-                    if one_edit(word, other) and (side == "first" or not word.startswith(other[: size // 2])):
-                        near += 1
-                        if n > best[0] or n == best[0] and other < best[1]:
-                            best = n, other
-        if near:
-            yield word, near, *best
+            if end + 1 == (len(half) if side == "first" else len(word)):
+                found[half][len(word)].append(word)
+    counts, near = dict(patterns), {}
+    for half, words_by_size in found.items():
+        for size, words in words_by_size.items():
+            for other in (size - 1, size, size + 1):
+                given = by_half[half].get(other, ())
+                for i, j in edit_pairs(words, given) if given else ():
+                    if side == "first" or not words[i].startswith(given[j][: other // 2]):
+                        key = -counts[given[j]], given[j]
+                        seen, best = near.get(words[i], (0, key))
+                        near[words[i]] = seen + 1, min(best, key)
+    for word, (seen, (n, best)) in near.items():
+        yield word, seen, -n, best
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -114,6 +144,8 @@ def near_words(words: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, made.types)], schema=made)
 
     made = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("near_n", pa.int64()), ("near", pa.string())])
+    # a partition a shard, as the work lies in comparing and not in bytes
+    patterns, scanned = patterns.repartition(shards, "side", "shard", "i", "j"), scanned.repartition(shards, "of_side", "of_shard", "of_i", "of_j")
     parts = patterns.groupBy("side", "shard", "i", "j").cogroup(scanned.groupBy("of_side", "of_shard", "of_i", "of_j")).applyInArrow(search, "word string, n_near long, near_n long, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("n"), "near"))
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", (-F.col("best.n")).alias("near_n"), F.col("best.near").alias("near"))

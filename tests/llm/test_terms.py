@@ -148,3 +148,15 @@ def test_quality_of_odd_rows(spark):
         got = quality.score(docs, model).collect()
         assert len(got) == len(odd) and all(0 <= x.score <= 1 for x in got) and len({x.score for x in got if x.text in (None, "")}) == 1
     assert quality.fit(docs, labels.limit(0)) is None and quality.score(docs.limit(0), None).count() == 0
+
+
+def test_pairs_at_one_edit_alike_one_by_one_and_at_once(monkeypatch):
+    r = random.Random(8)
+    words = sorted({"".join(r.choices("abÿ", k=r.choice([4, 5, 6]))) for _ in range(400)})
+    for m, n in ((4, 4), (4, 5), (6, 5)):
+        a, b = ([w for w in words if len(w) == k] for k in (m, n))
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if spelling.one_edit(x, y)}
+        for at_once in (200, 1 << 20):
+            monkeypatch.setattr(spelling, "CODES_AT_ONCE", at_once)
+            got = list(spelling.edit_pairs(a, b))
+            assert want and set(got) == want and len(got) == len(want)
