@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import price_band, rdp, sqft_band
+from ..functions.shared import written
+from .quantiles import beside, quantile_columns
 
 # Fixed values.
 SEASON_BOOST = {"Spring": 1.1, "Summer": 1.05, "Fall": 1.0, "Winter": 0.95}
@@ -46,8 +48,13 @@ def training_features(rows: DataFrame) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
     x = x.withColumns({"age": F.greatest(F.lit(0), F.year("sold_date") - F.col("built_year")), "price_diff": F.col("sold_price") - F.col("list_price"), "price_per_sqft": d("sold_price") / F.col("sqft")})
     x = x.withColumns({"age": F.when(F.col("built_year").isNotNull(), F.col("age")), "over_asking_pct": d("price_diff") / d("list_price")})
-    whole = x.agg(F.percentile(d("list_price"), 0.99).alias("cap_list"), F.percentile(d("sold_price"), 0.99).alias("cap_sold"), F.max("sold_date").alias("last"), F.max("price_per_sqft").alias("max_ppsf"), F.median("price_per_sqft").alias("city_ppsf"))
-    hood = x.where("neighborhood is not null").groupBy("neighborhood").agg(F.median("price_per_sqft").alias("hood_ppsf"), F.count(F.lit(1)).alias("comp_count_in_neighborhood"), F.sum(F.col("price_per_sqft").cast("decimal(18,6)")).alias("_sum"))
+    narrow = written(x.select("neighborhood", "sold_date", "price_per_sqft", d("list_price").alias("list"), d("sold_price").alias("sold")))
+    whole = beside(narrow.agg(F.max("sold_date").alias("last"), F.max("price_per_sqft").alias("max_ppsf")), quantile_columns(narrow, {"list": F.col("list"), "sold": F.col("sold")}, {"cap": 0.99}))
+    whole = beside(whole, quantile_columns(narrow, {"ppsf": F.col("price_per_sqft")}, {"mid": 0.5}))
+    whole = whole.select("last", "max_ppsf", F.col("list_cap").alias("cap_list"), F.col("sold_cap").alias("cap_sold"), F.col("ppsf_mid").alias("city_ppsf"))
+    known = narrow.where("neighborhood is not null")
+    hood = known.groupBy("neighborhood").agg(F.count(F.lit(1)).alias("comp_count_in_neighborhood"), F.sum(F.col("price_per_sqft").cast("decimal(18,6)")).alias("_sum"))
+    hood = beside(hood, quantile_columns(known, {"hood": F.col("price_per_sqft")}, {"ppsf": 0.5}, "neighborhood"), "neighborhood")
     x = x.join(hood, "neighborhood").crossJoin(F.broadcast(whole))  # one row of the whole; rows without a neighbourhood leave
     one = lambda c: c.cast("int")
     x = x.withColumns({"capped_list": F.least(d("list_price"), "cap_list"), "capped_sold": F.least(d("sold_price"), "cap_sold"), "recency_weight": one(F.col("sold_date") >= F.date_sub("last", 90)), "is_multi_offer_by_dom": one(F.col("dom_days") <= 3), "is_not_multi_offer_by_dom": one(F.col("dom_days") > 11)})
@@ -87,21 +94,24 @@ def chronological_split(rows: DataFrame, train: float = 0.70, val: float = 0.15)
 
 def baselines(split: DataFrame) -> DataFrame:
     """Test rows with the predictions of both baselines, learnt on the training and validation rows alone; of benchmark_rows(), so that no neighbourhood is null."""
-    train = split.where("split != 'test'").withColumn("ppsf", F.col("sold_price").cast("double") / F.col("sqft"))
-    whole = train.agg(F.median(F.col("sold_price").cast("double")).alias("all_price"), F.median("ppsf").alias("all_ppsf"))
-    hood = train.groupBy("neighborhood").agg(F.median("ppsf").alias("hood_ppsf"))
+    split = written(split.select("mls_number", "neighborhood", "house_type", "sqft", "sold_price", "split"))
+    train = split.where("split != 'test'").select("neighborhood", F.col("sold_price").cast("double").alias("price"), (F.col("sold_price").cast("double") / F.col("sqft")).alias("ppsf"))
+    whole = quantile_columns(train, {"price": F.col("price"), "ppsf": F.col("ppsf")}, {"all": 0.5}).select(F.col("price_all").alias("all_price"), F.col("ppsf_all").alias("all_ppsf"))
+    hood = quantile_columns(train, {"hood": F.col("ppsf")}, {"ppsf": 0.5}, "neighborhood")
     test = split.where("split = 'test'").join(hood, "neighborhood", "left").crossJoin(F.broadcast(whole))  # one row of the whole
     return test.select("mls_number", "neighborhood", "house_type", "sqft", F.col("sold_price").cast("double").alias("actual"), F.col("all_price").alias("baseline_global_median"), (F.coalesce("hood_ppsf", "all_ppsf") * F.col("sqft")).alias("baseline_comparable_ppsf"))
 
 
 def regression_metrics(rows: DataFrame, *by: str) -> DataFrame:
     """n, mae, medae, rmse, mape and r2 of (actual, predicted); sums in decimals, so that order does not matter."""
+    rows = written(rows.select("actual", "predicted", *by))
     e = F.abs(F.col("predicted") - F.col("actual"))
     dec = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")
     n = F.count(F.lit(1))
     sse, sy, syy = dec(e * e), dec(F.col("actual")), dec(F.col("actual") * F.col("actual"))
-    out = rows.groupBy(*by).agg(n.alias("n"), rdp(dec(e) / n, 2).alias("mae"), rdp(F.median(e), 2).alias("medae"), rdp(F.sqrt(sse / n), 2).alias("rmse"), rdp(dec(F.when(F.col("actual") > 0, e / F.col("actual"))) / F.count(F.when(F.col("actual") > 0, 1)) * 100, 2).alias("mape"), F.when(n > 1, rdp(1 - sse / (syy - sy * sy / n), 3)).alias("r2"))
-    return out
+    out = rows.groupBy(*by).agg(n.alias("n"), rdp(dec(e) / n, 2).alias("mae"), rdp(F.sqrt(sse / n), 2).alias("rmse"), rdp(dec(F.when(F.col("actual") > 0, e / F.col("actual"))) / F.count(F.when(F.col("actual") > 0, 1)) * 100, 2).alias("mape"), F.when(n > 1, rdp(1 - sse / (syy - sy * sy / n), 3)).alias("r2"))
+    out = beside(out, quantile_columns(rows, {"e": e}, {"median": 0.5}, *by), *by)
+    return out.select(*by, "n", "mae", rdp("e_median", 2).alias("medae"), "rmse", "mape", "r2")
 
 
 def benchmark(split: DataFrame) -> DataFrame:

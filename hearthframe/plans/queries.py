@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import backtest, comparables, ingestion, market
+from ..functions.shared import written
+from ..operators import backtest, comparables, ingestion, market, quantiles
 from ..sources import tables as T
 
 SALES = """sales AS (SELECT '20' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS mls_number,
@@ -485,8 +486,8 @@ def agg_29(spark, d):
 
 @query("win_07_quintiles", f"WITH {SALES}, e AS (SELECT quantile_cont(CAST(sold_price AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS q FROM sales) SELECT CAST(CASE WHEN p <= q[1] THEN 0 WHEN p <= q[2] THEN 1 WHEN p <= q[3] THEN 2 WHEN p <= q[4] THEN 3 ELSE 4 END AS INTEGER) AS bin, count(*) AS n FROM (SELECT CAST(sold_price AS DOUBLE) AS p FROM sales), e GROUP BY 1")
 def win_07(spark, d):
-    v = T.sales(spark, d).select(F.col("sold_price").cast("double").alias("p"))
-    e = v.agg(F.percentile("p", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("q"))
+    v = written(T.sales(spark, d).select(F.col("sold_price").cast("double").alias("p")))
+    e = quantiles.quantiles(v, {"p": F.col("p")}, (0.2, 0.4, 0.6, 0.8)).select(F.col("quantiles").alias("q"))
     x = v.crossJoin(F.broadcast(e))  # one row of edges
     return x.groupBy(F.size(F.filter("q", lambda c: c < F.col("p"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
