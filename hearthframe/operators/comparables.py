@@ -3,21 +3,32 @@
 All subjects are searched by one plan. How many candidates a tier has is told by sums over days, without pairs; then
 each subject is joined in the tier that serves it alone. A tier's join is on property type, geography and a bin of
 dates as wide as the lookback (a candidate stands in its own bin and the next), so the range condition never makes a
-group longer than two lookbacks, and ranks are taken where the join has put the pairs.
+group longer than two lookbacks. Subjects with many candidates are not scored with all of them: a few probes of their own
+bin of sizes give a similarity that the last one returned cannot fall below, and from it follow the bins of sizes that can still
+hold a better one, as place, size and date bound the similarity. Only these are joined.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import baths, rdp
+from ..functions.shared import written
 
 # Tiers (name, geography, days), least usable and most returned comparables, weights of the subscores.
 TIERS = (("tier1_neighbourhood_365", "neighbourhood", 365), ("tier2_area_365", "area_code", 365), ("tier3_area_730", "area_code", 730))
 MIN_USABLE, MAX_RETURNED = 3, 10
 WEIGHTS = {"geography": 25, "living_area": 25, "recency": 20, "bedrooms": 8, "bathrooms": 8, "year_built": 6, "style": 4, "garage": 2, "basement": 2}
 
+#: Candidates up to which a subject is scored with all of them, candidates of a cell that serve as probes, ratio of neighbouring bins of sizes.
+FEW_CANDIDATES, PROBES, SIZE_STEP = 64, 48, 1.25
+#: The subscores that place, size and date tell, and more than half a unit of the last decimal of a similarity.
+BOUNDING, ROUNDING = ("geography", "living_area", "recency"), 0.01
+
 
 def skip_reason() -> Column:
     """The first reason for which a sale cannot be a subject, in the fixed order; ENGINE_ERROR if it is no valid one."""
@@ -123,38 +134,94 @@ def day_of(date) -> Column:
 
 
 def usable_candidates(candidates: DataFrame) -> DataFrame:
-    """Approved candidates with number, date, price and size; of a number that repeats the latest sale."""
+    """Approved candidates with number, date, price and size, a c_row of their own, and for each geography c_until_<geography>.
+
+    A number that repeats within a type and place counts once for a subject, with the latest sale that is not after
+    the valuation date; so a sale serves until the next one's date. Of sales of one day the last by their other columns serves.
+    """
     ok = candidates.where("c_data_quality_status = 'approved' and coalesce(c_mls_number, '') != '' and c_sold_date is not null and c_sold_price > 0 and c_living_area_sqft > 0")
-    latest = F.row_number().over(Window.partitionBy("c_mls_number").orderBy(F.desc("c_sold_date")))
-    return ok.withColumn("_rn", latest).where("_rn = 1").drop("_rn")
+    ok = ok.repartition("c_mls_number").withColumn("c_row", F.monotonically_increasing_id())
+    ties = [c for c in candidates.columns if c not in ("c_mls_number", "c_sold_date")]
+    for geography in ("neighbourhood", "area_code"):
+        same = Window.partitionBy("c_mls_number", "c_property_type", f"c_{geography}").orderBy("c_sold_date", *ties)
+        ok = ok.withColumn(f"c_until_{geography}", F.lead("c_sold_date").over(same))
+    return ok
+
+
+def _serves(geography: str, days: int) -> Column:
+    """Whether candidate c_*'s sale is within the lookback of s_valuation_date and the latest one of its number."""
+    until = F.col(f"c_until_{geography}")
+    return (F.col("c_sold_date") <= F.col("s_valuation_date")) & (F.col("c_sold_date") >= F.date_sub("s_valuation_date", days)) & (until.isNull() | (until > F.col("s_valuation_date")))
 
 
 def tier_count(subjects: DataFrame, candidates: DataFrame, geography: str, days: int) -> DataFrame:
-    """(s_property_type, s_<geography>, s_valuation_date, n): usable candidates of the tier, the subject itself included.
+    """(s_property_type, s_<geography>, s_valuation_date, n): numbers among the usable candidates of the tier, the subject's own included.
 
-    Sums over one row per type, place and day: n is the running count at the valuation date less that before the lookback.
+    A sale enters on its day and leaves when the lookback ends or its number is sold again: n is the running sum, over one
+    row per type, place and day.
     """
     by = [F.col("c_property_type").alias("kind"), F.col(f"c_{geography}").alias("place")]
-    sold = candidates.where(F.col(f"c_{geography}") != "").groupBy(*by, day_of("c_sold_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    asked = subjects.where(F.col(f"s_{geography}") != "").select(F.col("s_property_type").alias("kind"), F.col(f"s_{geography}").alias("place"), day_of("s_valuation_date").alias("day")).distinct()
-    ends = asked.select("kind", "place", F.explode(F.array(F.col("day"), F.col("day") - days - 1)).alias("day"), F.lit(0).cast("long").alias("n"))
-    daily = sold.unionByName(ends).groupBy("kind", "place", "day").agg(F.sum("n").alias("n"))
-    running = daily.select("kind", "place", "day", F.sum("n").over(Window.partitionBy("kind", "place").orderBy("day")).alias("n"))
-    at = asked.join(running.withColumnRenamed("n", "_hi"), ["kind", "place", "day"])
-    at = at.withColumn("_low", F.col("day") - days - 1).join(running.select("kind", "place", F.col("day").alias("_low"), F.col("n").alias("_lo")), ["kind", "place", "_low"])
+    enters = day_of("c_sold_date")
+    leaves = F.least(enters + days + 1, day_of(f"c_until_{geography}"))  # least() passes over nulls
+    at = F.explode(F.array(F.struct(enters.alias("day"), F.lit(1).alias("n")), F.struct(leaves.alias("day"), F.lit(-1).alias("n"))))
+    moves = candidates.where(F.col(f"c_{geography}") != "").select(*by, at.alias("x")).select("kind", "place", "x.day", "x.n", F.lit(False).alias("asked"))
+    asked = subjects.where(F.col(f"s_{geography}") != "").select(F.col("s_property_type").alias("kind"), F.col(f"s_{geography}").alias("place"), day_of("s_valuation_date").alias("day"), F.lit(0).alias("n"), F.lit(True).alias("asked"))
+    daily = moves.unionByName(asked).groupBy("kind", "place", "day").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    running = daily.withColumn("n", F.sum("n").over(Window.partitionBy("kind", "place").orderBy("day"))).where("asked")
     date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))
-    return at.select(F.col("kind").alias("s_property_type"), F.col("place").alias(f"s_{geography}"), date.alias("s_valuation_date"), (F.col("_hi") - F.col("_lo")).alias("n"))
+    return running.select(F.col("kind").alias("s_property_type"), F.col("place").alias(f"s_{geography}"), date.alias("s_valuation_date"), "n")
 
 
-def tier_pairs(subjects: DataFrame, candidates: DataFrame, geography: str, days: int) -> DataFrame:
-    """Eligible pairs of one tier, scored; subjects are s_*, candidates, of usable_candidates(), c_*."""
+def _dated(subjects: DataFrame, candidates: DataFrame, geography: str, days: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Subjects and candidates with a bin of dates, and the condition under which they meet in a tier."""
     bin_of = lambda d: F.floor(day_of(d) / F.lit(days))
     s = subjects.where(F.col(f"s_{geography}") != "").withColumn("_bin", bin_of("s_valuation_date"))
     c = candidates.where(F.col(f"c_{geography}") != "").withColumn("_c_bin", F.explode(F.array(bin_of("c_sold_date"), bin_of("c_sold_date") + 1)))
-    within = (F.col("c_sold_date") <= F.col("s_valuation_date")) & (F.col("c_sold_date") >= F.date_sub("s_valuation_date", days))
     on = (F.col("_bin") == F.col("_c_bin")) & (F.col("s_property_type") == F.col("c_property_type")) & (F.col(f"s_{geography}") == F.col(f"c_{geography}"))
-    met = s.join(c, on & within & ~F.col("c_mls_number").eqNullSafe(F.col("s_mls_number")))
-    return met.withColumn("similarity", similarity())
+    return s, c, on & _serves(geography, days) & ~F.col("c_mls_number").eqNullSafe(F.col("s_mls_number"))
+
+
+def tier_pairs(subjects: DataFrame, candidates: DataFrame, geography: str, days: int) -> DataFrame:
+    """Eligible pairs of one tier, scored; subjects are s_*, candidates, of usable_candidates(), c_*."""
+    s, c, on = _dated(subjects, candidates, geography, days)
+    return s.join(c, on).withColumn("similarity", similarity())
+
+
+def size_bin(area) -> Column:
+    return F.floor(F.log(area) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+
+def _in_bins(s: DataFrame, c: DataFrame, on: Column) -> DataFrame:
+    """The scored pairs of subjects s, of the size bins _sizes, with candidates c that can reach _least, if that is not null."""
+    promised = reduce(lambda a, b: a + b, [F.lit(float(WEIGHTS[n])) * subscores()[n] for n in BOUNDING]) + float(sum(w for n, w in WEIGHTS.items() if n not in BOUNDING))
+    reaches = F.coalesce(promised >= F.col("_least") - ROUNDING, F.lit(True))
+    return s.withColumn("_size", F.explode("_sizes")).join(c, on & (F.col("_size") == F.col("_c_size")) & reaches).withColumn("similarity", similarity())
+
+
+def bounded_pairs(subjects: DataFrame, candidates: DataFrame, geography: str, days: int, k: int) -> DataFrame:
+    """The pairs of tier_pairs(), scored, that may be among a subject's k best, with the subject's bins of date and size; none of these is missing.
+
+    subjects have a column s_row that tells them apart.
+    """
+    s, c, on = _dated(subjects, candidates, geography, days)
+    c = c.withColumn("_c_size", size_bin("c_living_area_sqft"))
+    keys = ["_bin", "_size", "s_property_type", f"s_{geography}"]
+    nth = F.row_number().over(Window.partitionBy("_c_bin", "_c_size", "c_property_type", f"c_{geography}").orderBy(F.xxhash64("c_row")))
+    probes = c.withColumn("_nth", nth).where(F.col("_nth") <= PROBES).drop("_nth")
+    own = s.withColumns({"_sizes": F.array(size_bin("s_living_area_sqft")), "_least": F.lit(None).cast("decimal(18,2)")})
+    # a subject's probes stand in one partition of this join, and are twice PROBES at most
+    least = _in_bins(own, probes, on).groupBy("s_row", *keys).agg(F.get(F.sort_array(F.collect_list("similarity"), asc=False), F.lit(k - 1)).alias("_least"))
+    s = s.join(written(least.select("s_row", "_least")), "s_row", "left")
+    ends = candidates.agg(F.min("c_living_area_sqft").alias("low"), F.max("c_living_area_sqft").alias("high")).first()
+    if ends.low is None:
+        return _in_bins(s.withColumn("_sizes", F.array().cast("array<int>")), c, on)
+    fade = 0.5 * (100 - F.col("_least").cast("double") + ROUNDING) / WEIGHTS["living_area"]  # the relative difference of size that costs all that may be lost
+    free = F.coalesce(fade >= 0.5, F.lit(True))  # beyond half the size nothing more is lost
+    low, high = F.lit(float(ends.low)), F.lit(float(ends.high))
+    first = F.when(free, low).otherwise(F.greatest(low, F.col("s_living_area_sqft") * (1 - fade) * (1 - 1e-9)))
+    last = F.when(free, high).otherwise(F.least(high, F.col("s_living_area_sqft") * (1 + fade) * (1 + 1e-9)))
+    sizes = F.when(first <= last, F.sequence(size_bin(first), size_bin(last))).otherwise(F.array().cast("array<int>"))
+    return _in_bins(s.withColumn("_sizes", sizes), c, on)
 
 
 def as_subjects(sales: DataFrame) -> DataFrame:
@@ -169,14 +236,15 @@ def as_candidates(sales: DataFrame) -> DataFrame:
 
 def choose_tiers(subjects: DataFrame, candidates: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
     """subjects with tier_index, tier, tier_widened and candidate_count: the first applicable tier with min_usable candidates serves, else the last applicable one."""
-    own = candidates.select(F.col("c_mls_number").alias("s_mls_number"), F.col("c_sold_date").alias("_date"), F.col("c_property_type").alias("_type"), *[F.col(f"c_{g}").alias(f"_{g}") for g in ("neighbourhood", "area_code")])
-    x = subjects.join(own, "s_mls_number", "left")
+    asked = subjects.select("s_mls_number", "s_valuation_date", "s_property_type", "s_neighbourhood", "s_area_code").distinct()
+    met = asked.join(candidates, (F.col("c_mls_number") == F.col("s_mls_number")) & (F.col("c_property_type") == F.col("s_property_type")))
+    counted = [F.max((F.coalesce(F.col(f"c_{g}") == F.col(f"s_{g}"), F.lit(False)) & _serves(g, days)).cast("int")).alias(f"_own{i}") for i, (_, g, days) in enumerate(TIERS)]
+    own = met.groupBy(*[F.col(c).alias(f"_o_{c}") for c in asked.columns]).agg(*counted)
+    x = subjects.join(own, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in asked.columns]), "left")
     for i, (_, geography, days) in enumerate(TIERS):
         keys = ["s_property_type", f"s_{geography}", "s_valuation_date"]
         x = x.join(tier_count(subjects, candidates, geography, days).withColumnRenamed("n", f"_n{i}"), keys, "left")
-        within = (F.col("_date") <= F.col("s_valuation_date")) & (F.col("_date") >= F.date_sub("s_valuation_date", days))
-        self_ = within & (F.col("_type") == F.col("s_property_type")) & (F.col(f"_{geography}") == F.col(f"s_{geography}"))
-        x = x.withColumn(f"_n{i}", F.coalesce(f"_n{i}", F.lit(0)) - F.coalesce(self_, F.lit(False)).cast("int"))
+        x = x.withColumn(f"_n{i}", F.coalesce(f"_n{i}", F.lit(0)) - F.coalesce(f"_own{i}", F.lit(0)))
     applies = [F.coalesce(F.col(f"s_{geography}") != "", F.lit(False)) for _, geography, _ in TIERS]
     serves, last, first = F.lit(None), F.lit(None), F.lit(None)
     for i in reversed(range(len(TIERS))):
@@ -193,28 +261,36 @@ def choose_tiers(subjects: DataFrame, candidates: DataFrame, min_usable: int = M
 def find_comparables(subjects: DataFrame, candidates: DataFrame, min_usable: int = MIN_USABLE, max_returned: int = MAX_RETURNED) -> tuple[DataFrame, DataFrame]:
     """(searches, comps): a row per subject with its tier, whether it was widened and its candidate count; and its ranked comparables.
 
-    Rank: similarity, then later sale, then number. A subject's pairs stand in one partition of its tier's join, so they
-    are ranked there, as narrow rows; only the max_returned best meet their other columns again. Candidates and
-    the tiers chosen are persisted, as each tier reads them.
+    Rank: similarity, then later sale, then number. Both have s_row, which tells subjects apart that share a number. Pairs are ranked
+    where a tier's join puts them, as narrow rows; only the max_returned best meet their other columns again. Candidates and the
+    tiers chosen are written, as each tier reads them.
     """
-    candidates = usable_candidates(candidates).persist()
-    chosen = choose_tiers(subjects, candidates, min_usable).persist()
-    best = None
-    for i, (_, geography, days) in enumerate(TIERS):
-        keys = ["s_mls_number", "_bin", "s_property_type", f"s_{geography}"]  # the number first, as it parts the sorted rows soonest
-        pairs = tier_pairs(chosen.where(F.col("tier_index") == i), candidates, geography, days).select(*keys, "c_mls_number", "c_sold_date", "similarity")
-        order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), F.desc("c_sold_date"), "c_mls_number")
-        top = pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= max_returned).select("s_mls_number", "c_mls_number", "similarity", "rk")
-        best = top if best is None else best.unionByName(top)
-    comps = best.join(chosen, "s_mls_number").join(candidates, "c_mls_number")
+    candidates = written(usable_candidates(candidates))
+    if "s_row" not in subjects.columns:
+        subjects = written(subjects.withColumn("s_row", F.monotonically_increasing_id()))
+    chosen = written(choose_tiers(subjects, candidates, min_usable).withColumn("_many", F.col("candidate_count") > FEW_CANDIDATES))
+    order = [F.desc("similarity"), F.desc("c_sold_date"), "c_mls_number"]
+    narrow = ["s_row", "c_row", "c_mls_number", "c_sold_date", "similarity"]
+    best = []
+    for i, many in sorted(map(tuple, chosen.where("candidate_count > 0").select("tier_index", "_many").distinct().collect())):  # twice the tiers at most
+        _, geography, days = TIERS[i]
+        asked = chosen.where((F.col("tier_index") == i) & (F.col("_many") == many)).drop("_many")
+        keys = ["s_row", "_bin", "s_property_type", f"s_{geography}"] + ["_size"] * many  # the subject first, as it parts the sorted rows soonest
+        pairs = (bounded_pairs(asked, candidates, geography, days, max_returned) if many else tier_pairs(asked, candidates, geography, days)).select(*keys, *narrow[1:])
+        top = pairs.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rk") <= max_returned)
+        if many:  # the bins of sizes of a subject stand in several partitions
+            top = top.select(*narrow).withColumn("rk", F.row_number().over(Window.partitionBy("s_row").orderBy(*order))).where(F.col("rk") <= max_returned)
+        best.append(top.select("s_row", "c_row", "similarity", "rk"))
+    none = chosen.limit(0).select("s_row", F.lit(0).cast("long").alias("c_row"), F.lit(0).cast("decimal(18,2)").alias("similarity"), F.lit(0).alias("rk"))
+    comps = reduce(DataFrame.unionByName, best or [none]).join(chosen, "s_row").join(candidates, "c_row")
     scores = subscores()
     components = F.struct(*[rdp(v, 4).alias(n) for n, v in scores.items()])
     weighted = F.struct(*[rdp(F.lit(float(WEIGHTS[n])) * v, 2).alias(n) for n, v in scores.items()])
     same_area = F.coalesce((F.col("c_area_code") != "") & (F.col("c_area_code") == F.col("s_area_code")), F.lit(False))
     detail = F.struct(*[v.alias(n) for n, v in differences().items()], same_area.alias("same_area"))
     comps = comps.withColumns({"data_coverage": coverage(), "detail": detail, "components": components, "weighted": weighted})
-    comps = comps.select("s_mls_number", "c_mls_number", "c_sold_date", "c_sold_price", "c_living_area_sqft", "s_living_area_sqft", "similarity", "data_coverage", "components", "weighted", "detail", "rk", "detail.age_days", "detail.size_diff_pct", "tier_index", "tier", "tier_widened", "candidate_count")
-    return chosen.select("s_mls_number", "tier_index", "tier", "tier_widened", "candidate_count"), comps
+    comps = comps.select("s_row", "s_mls_number", "s_valuation_date", "c_mls_number", "c_sold_date", "c_sold_price", "c_living_area_sqft", "s_living_area_sqft", "similarity", "data_coverage", "components", "weighted", "detail", "rk", "detail.age_days", "detail.size_diff_pct", "tier_index", "tier", "tier_widened", "candidate_count")
+    return chosen.select("s_row", "s_mls_number", "s_valuation_date", "tier_index", "tier", "tier_widened", "candidate_count"), comps
 
 
 def weighted_quantile(value: str, numerator: int, denominator: int, by: Window) -> Column:
@@ -228,7 +304,7 @@ def nearest_500(x) -> Column:
 
 def value_subjects(comps: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
     """The price indicators, statistics and confidence of each subject with enough comparables."""
-    by = Window.partitionBy("s_mls_number")
+    by = Window.partitionBy("s_row")
     x = comps.where(F.col("candidate_count") >= min_usable)
     price, area = F.col("c_sold_price").cast("double"), F.col("c_living_area_sqft").cast("double")
     x = x.withColumns({"ppsf": price / area, "sn": price * F.col("s_living_area_sqft") / area, "direct": price, "sim": F.col("similarity").cast("double")})
@@ -243,7 +319,8 @@ def value_subjects(comps: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
     for v in ("sn", "direct", "ppsf"):
         x = x.withColumn(f"_{v}_cum", F.when(F.col("_use"), F.sum("_w").over(by.orderBy(v, "c_mls_number").rowsBetween(Window.unboundedPreceding, 0))))
     q = lambda v, a, b: F.min(weighted_quantile(v, a, b, by))
-    out = x.groupBy("s_mls_number").agg(
+    out = x.groupBy("s_row").agg(
+        F.first("s_mls_number").alias("s_mls_number"),
         F.first("tier").alias("tier"), F.first("tier_widened").alias("tier_widened"), F.first("candidate_count").alias("candidate_count"), F.count(F.lit(1)).alias("n_comps"),
         nearest_500(q("sn", 1, 2)).cast("long").alias("indicated_value"), nearest_500(q("sn", 1, 4)).cast("long").alias("range_low"), nearest_500(q("sn", 3, 4)).cast("long").alias("range_high"),
         rdp(q("direct", 1, 2), 2).alias("direct_median"), rdp(q("ppsf", 1, 2), 2).alias("median_ppsf"), F.first("_med_sim").alias("_sim"), F.sum("data_coverage").alias("_cov"),
@@ -264,8 +341,8 @@ def search_results(searches: DataFrame, comps: DataFrame, min_usable: int = MIN_
 
     A subject with fewer than min_usable candidates is insufficient_data, without an estimate.
     """
-    valued = value_subjects(comps, min_usable).drop("tier", "tier_widened", "candidate_count")
-    x = searches.join(valued, "s_mls_number", "left").withColumn("status", F.when(F.col("candidate_count") < min_usable, "insufficient_data").otherwise("ok"))
+    valued = value_subjects(comps, min_usable).drop("s_mls_number", "tier", "tier_widened", "candidate_count")
+    x = searches.join(valued, "s_row", "left").withColumn("status", F.when(F.col("candidate_count") < min_usable, "insufficient_data").otherwise("ok"))
     short = F.col("status") == "insufficient_data"
     few = F.concat(F.lit("only "), F.col("candidate_count").cast("string"), F.lit(f" usable comparables (minimum {min_usable})"))
     number = lambda c, n: rdp(c, n).cast("string")

@@ -90,15 +90,20 @@ def validate(rows: DataFrame, today: str) -> DataFrame:
     return out.withColumn("status", F.when(F.arrays_overlap(codes(), F.array(*map(F.lit, BLOCKING))), "rejected").otherwise("accepted"))
 
 
-def batch_summary(rows: DataFrame) -> DataFrame:
-    """One row of counts, match rate and whether the batch fails."""
+def summary_counts() -> list[Column]:
+    """The counts of a batch's records that one pass can make, as it writes them."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     both = F.col("_s").isNotNull() & F.col("_f").isNotNull()
     has = lambda *c: F.arrays_overlap(codes(), F.array(*map(F.lit, c)))
-    out = rows.agg(
+    return [
         n(both).alias("matched"), n(F.col("_f").isNull()).alias("single_only"), n(F.col("_s").isNull()).alias("full_only"), n(F.col("status") == "accepted").alias("accepted"), n(F.col("status") == "rejected").alias("rejected"), n(has("DUPLICATE_MLS")).alias("duplicates"),
-        n(has("SOLD_DATE_CONFLICT", "SOLD_PRICE_CONFLICT")).alias("conflicts"), F.min("sold_date").alias("first_sold"), F.max("sold_date").alias("last_sold"), F.countDistinct("area_code").alias("n_areas"), n(F.col("_f").isNotNull()).alias("_full"),
-    )
+        n(has("SOLD_DATE_CONFLICT", "SOLD_PRICE_CONFLICT")).alias("conflicts"), F.min("sold_date").alias("first_sold"), F.max("sold_date").alias("last_sold"), n(F.col("_f").isNotNull()).alias("_full"),
+    ]
+
+
+def batch_summary(rows: DataFrame) -> DataFrame:
+    """One row of counts, match rate and whether the batch fails."""
+    out = rows.agg(*summary_counts(), F.countDistinct("area_code").alias("n_areas"))
     rate = rdp(F.col("matched").cast("double") / F.greatest("_full", F.lit(1)), 4)
     return out.withColumn("match_rate", rate).withColumn("critical_failed", F.expr("single_only > 0 or full_only > 0 or duplicates > 0 or conflicts > 0 or match_rate < 1")).drop("_full")
 

@@ -110,7 +110,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _searched(spark: SparkSession, d: str):
-    approved = T.sales(spark, d).where("data_quality_status = 'approved'").persist()
+    approved = written(T.sales(spark, d).where("data_quality_status = 'approved'"))
     return comparables.find_comparables(comparables.as_subjects(approved), comparables.as_candidates(approved))
 
 
