@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import backtest, comparables, ingestion, listings, market, models, reports, storage
+from ..functions.shared import shared_folder
+from ..operators import backtest, comparables, ingestion, listings, loading, market, models, reports, storage
+from ..operators.commits import Store
 from ..sources import tables as T
 from .queries import _KEYS, _METRICS, _SB, CASES, COMPS, HOUSING, PREMIUM, SALES, SPLIT, VALUED, _fade, _json_sha, _searched, _split, query, rdp
 
@@ -161,6 +165,70 @@ def q_07(spark, d):
     return ingestion.status_after_load(issues, T.staged(spark, d).select("batch_id").distinct()).select("batch_id", "n_unresolved", "status")
 
 
+_LOADED = f"""{_PLAN_ISSUES}, safe AS (SELECT DISTINCT batch_id AS batch_key FROM b WHERE batch_id NOT IN (1, 3)), ids AS (SELECT batch_key, row_number() OVER (ORDER BY sha256(CAST(batch_key AS VARCHAR))) AS batch_id FROM safe),
+st AS (SELECT i.batch_id, b.mls_number, b.address, CAST(b.sold_price + CASE WHEN _ord % 97 = 0 THEN 1000 ELSE 0 END AS DECIMAL(12,2)) AS sold_price, row_number() OVER (ORDER BY i.batch_id, b.mls_number) AS id FROM b JOIN ids i ON b.batch_id = i.batch_key)"""
+
+
+def _loaded(spark, d):
+    """The tables after the safe batches are loaded into an empty store."""
+    v = T.staged(spark, d).withColumnRenamed("batch_id", "batch_key")
+    plan = v.groupBy("batch_key").agg(F.count(F.lit(1)).alias("accepted_count"))
+    plan = plan.withColumns({"batch_fingerprint": F.sha2(F.col("batch_key").cast("string"), 256), "safe_to_write": ~F.col("batch_key").isin(1, 3)})
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    loading.load_batches(store, plan, v, _plan_issues(spark, d).withColumnRenamed("batch_id", "batch_key"), authorized=True)
+    return store
+
+
+@query("cst_02_all_rules", f"""WITH {SALES}, r AS (SELECT 'check import_batches.status' AS rule, count(*) AS n FROM sales WHERE _ord % 31 = 0 UNION ALL SELECT 'check staging_sales.validation_status', count(*) FROM sales WHERE _ord % 37 = 0
+ UNION ALL SELECT 'check import_issues.severity', count(*) FROM sales WHERE _ord % 41 = 0 UNION ALL SELECT 'check canonical_sales.data_quality_status', count(*) FROM sales WHERE _ord % 43 = 0
+ UNION ALL SELECT 'unique import_batches(batch_uuid)', count(*) FROM (SELECT 1 FROM sales GROUP BY CASE WHEN _ord % 47 = 0 THEN -1 ELSE _ord END HAVING count(*) > 1) UNION ALL SELECT 'unique import_batches(batch_fingerprint)', count(*) FROM (SELECT 1 FROM sales WHERE _ord % 53 <> 0 GROUP BY _ord - _ord % 2 HAVING count(*) > 1)
+ UNION ALL SELECT 'unique staging_sales(batch_id, mls_number)', count(*) FROM (SELECT 1 FROM sales GROUP BY _ord % 5, substr(mls_number, 1, 8) HAVING count(*) > 1) UNION ALL SELECT 'unique canonical_sales(mls_number)', count(*) FROM (SELECT 1 FROM sales GROUP BY substr(mls_number, 1, 8) HAVING count(*) > 1)
+ UNION ALL SELECT 'reference staging_sales.batch_id', count(*) FROM sales WHERE _ord % 5 NOT IN (SELECT _ord FROM sales) UNION ALL SELECT 'reference import_issues.batch_id', count(*) FROM sales WHERE _ord % 7 NOT IN (SELECT _ord FROM sales) UNION ALL SELECT 'reference canonical_sales.source_batch_id', count(*) FROM sales WHERE _ord % 9 NOT IN (SELECT _ord FROM sales))
+SELECT rule, n FROM r WHERE n > 0""")
+def cst_02_all(spark, d):
+    k, v = F.col("_ord"), T.sales(spark, d)
+    states = lambda n, good: F.when(k % n == 0, "odd").when(k % n != 1, good)  # noqa: E731  nulls pass a check
+    short = F.substring("mls_number", 1, 8).alias("mls_number")
+    tables = {
+        "import_batches": v.select(k.alias("id"), states(31, "staged").alias("status"), F.when(k % 47 == 0, -1).otherwise(k).alias("batch_uuid"), F.when(k % 53 != 0, k - k % 2).alias("batch_fingerprint")),
+        "staging_sales": v.select((k % 5).alias("batch_id"), short, states(37, "accepted").alias("validation_status")),
+        "import_issues": v.select((k % 7).alias("batch_id"), states(41, "warning").alias("severity")),
+        "canonical_sales": v.select((k % 9).alias("source_batch_id"), short, states(43, "approved").alias("data_quality_status")),
+    }
+    return storage.violations(tables)
+
+
+@query("snk_04_staged_rows_with_ids", f"WITH {_LOADED} SELECT id, batch_id, mls_number, address, sold_price FROM st")
+def snk_04(spark, d):
+    return _loaded(spark, d).read("staging_sales").select("id", "batch_id", "mls_number", "address", "sold_price")
+
+
+@query("jn_07_issues_with_staging_ids", f"WITH {_LOADED} SELECT i.batch_id, x.mls_number, x.severity, x.reason_code, x.field_name, st.id AS staging_sale_id FROM issues x JOIN ids i ON x.batch_id = i.batch_key LEFT JOIN st ON st.batch_id = i.batch_id AND st.mls_number = x.mls_number")
+def jn_07(spark, d):
+    return _loaded(spark, d).read("import_issues").select("batch_id", "mls_number", "severity", "reason_code", "field_name", "staging_sale_id")
+
+
+@query("q_07_load_in_one_commit", f"WITH {_LOADED}, r AS (SELECT DISTINCT batch_id AS batch_key FROM b) SELECT batch_key, CASE WHEN i.batch_id IS NULL THEN 'refused' WHEN batch_key IN (SELECT batch_id FROM issues WHERE severity <> 'conflict') THEN 'review_required' ELSE 'staged' END AS status, i.batch_id, CASE WHEN i.batch_id IS NULL THEN 0 ELSE (SELECT count(*) FROM st WHERE st.batch_id = i.batch_id) END AS staged_rows FROM r LEFT JOIN ids i USING (batch_key)")
+def q_07_load(spark, d):
+    store = _loaded(spark, d)
+    x = T.staged(spark, d).select(F.col("batch_id").alias("batch_key"), F.sha2(F.col("batch_id").cast("string"), 256).alias("batch_fingerprint")).distinct()
+    rows = store.read("staging_sales").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    out = x.join(store.read("import_batches").select("batch_fingerprint", F.col("id").alias("batch_id"), "status"), "batch_fingerprint", "left").join(rows, "batch_id", "left")
+    return out.select("batch_key", F.coalesce("status", F.lit("refused")).alias("status"), "batch_id", F.coalesce("n", F.lit(0)).alias("staged_rows"))
+
+
+@query("hsh_03_file_digests")
+def hsh_03(spark, d):
+    return loading.file_digests(spark, f"{d}/orders.parquet", f"{d}/customer.parquet")
+
+
+@query("prj_02_stored_columns", f"WITH {SALES} SELECT mls_number, sha256(mls_number) AS record_fingerprint, address, sold_price, sold_date, living_area_sqft FROM sales")
+def prj_02(spark, d):
+    rows = T.sales(spark, d).withColumns({"record_fingerprint": F.sha2("mls_number", 256), "widened": F.lit("a column that no table has")})
+    out = storage.stored_rows(rows, "canonical_sales")
+    return out.select("mls_number", "record_fingerprint", "address", "sold_price", "sold_date", "living_area_sqft")
+
+
 @query("agg_18_issue_counts", f"WITH {_PLAN_ISSUES} SELECT batch_id, severity, count(*) AS n FROM issues GROUP BY 1, 2")
 def agg_18(spark, d):
     return storage.issue_counts(_plan_issues(spark, d).withColumn("resolved", F.lit(None).cast("boolean")))

@@ -187,3 +187,15 @@ def test_import_batch_in_one_call(spark, tmp_path):
     assert told["critical_reconciliation_failed"] and told["sold_date_range"] == ["2026-02-03", "2026-02-03"] and told["neighbourhood_count"] == 1
     assert csv("accepted")[0].mls_number == "202600001" and csv("rejected")[0].issue_codes.count("SOLD_PRICE_CONFLICT") == 1
     assert "agent" not in "".join(str(r) for n in ("accepted", "rejected", "warnings") for r in csv(n)).lower()
+
+
+def test_landing_commits_each_fingerprint_once(spark, tmp_path):
+    from hearthframe.streaming.landing import load_landing_into
+
+    store = Store(spark, str(tmp_path / "s"))
+    (tmp_path / "in").mkdir()
+    for i, (checkpoint, lines) in enumerate([("a", "f,1\nf,1\nf,2\nf,\nf,\n"), ("a", "f,1\ng,3\n"), ("b", "")]):  # at last all files again, as after a lost checkpoint
+        (tmp_path / "in" / f"{i}.csv").write_text("batch_fingerprint,mls_number\n" + lines)
+        load_landing_into(store, "arrived", str(tmp_path / "in"), "batch_fingerprint string, mls_number string", str(tmp_path / checkpoint)).awaitTermination()
+    assert sorted((r.batch_fingerprint, r.mls_number or "") for r in store.read("arrived").collect()) == [("f", ""), ("f", ""), ("f", "1"), ("f", "2"), ("g", "3")]
+    assert store.versions() == [1, 2]
