@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from hearthframe.llm import bpe, html_diff, license_scan, line_dedup, media, mixing, order_minhash, token_counts, topk, toxicity
+from hearthframe.llm.common import components
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = [(1, None), (None, "a b"), (2, ""), (3, "x" * 30000), (3, "x" * 30000), (4, "é 漢字 \n\n!! 12"), (None, None)]
@@ -321,6 +322,18 @@ def common(a, b):
     return row[-1]
 
 
+def test_components_of_paths_stars_and_random_graphs(spark):
+    r = random.Random(21)
+    order = r.sample(range(1000, 1200), 200)
+    pairs = list(zip(order, order[1:])) + [(5, i) for i in range(6, 60)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(7000, 7000)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.label for x in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == label
+
+
 def test_near_duplicates_match_brute_force(spark, odd):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
