@@ -24,8 +24,14 @@ TIERS = (("tier1_neighbourhood_365", "neighbourhood", 365), ("tier2_area_365", "
 MIN_USABLE, MAX_RETURNED = 3, 10
 WEIGHTS = {"geography": 25, "living_area": 25, "recency": 20, "bedrooms": 8, "bathrooms": 8, "year_built": 6, "style": 4, "garage": 2, "basement": 2}
 
+#: The columns of a sale that a search reads.
+SEARCHED = (
+    "mls_number", "sold_date", "sold_price", "living_area_sqft", "property_type", "neighbourhood", "area_code", "bedrooms_total", "full_bathrooms", "half_bathrooms", "year_built", "style", "garage_type",
+    "basement_type", "data_quality_status",
+)
 #: Candidates up to which a subject is scored with all of them, candidates of a cell that serve as probes, ratio of neighbouring bins of sizes.
-FEW_CANDIDATES, PROBES, SIZE_STEP = 64, 48, 1.25
+#: At sf0.1, with 160 candidates a subject, bounds spare a third of the pairs but cost more than these; they are for places with thousands.
+FEW_CANDIDATES, PROBES, SIZE_STEP = 2_000, 48, 1.25
 #: The subscores that place, size and date tell, and more than half a unit of the last decimal of a similarity.
 BOUNDING, ROUNDING = ("geography", "living_area", "recency"), 0.01
 
@@ -235,12 +241,11 @@ def as_candidates(sales: DataFrame) -> DataFrame:
 
 
 def choose_tiers(subjects: DataFrame, candidates: DataFrame, min_usable: int = MIN_USABLE) -> DataFrame:
-    """subjects with tier_index, tier, tier_widened and candidate_count: the first applicable tier with min_usable candidates serves, else the last applicable one."""
-    asked = subjects.select("s_mls_number", "s_valuation_date", "s_property_type", "s_neighbourhood", "s_area_code").distinct()
+    """subjects, told apart by s_row, with tier_index, tier, tier_widened and candidate_count: the first applicable tier with min_usable candidates serves, else the last applicable one."""
+    asked = subjects.select("s_row", "s_mls_number", "s_valuation_date", "s_property_type", "s_neighbourhood", "s_area_code")
     met = asked.join(candidates, (F.col("c_mls_number") == F.col("s_mls_number")) & (F.col("c_property_type") == F.col("s_property_type")))
     counted = [F.max((F.coalesce(F.col(f"c_{g}") == F.col(f"s_{g}"), F.lit(False)) & _serves(g, days)).cast("int")).alias(f"_own{i}") for i, (_, g, days) in enumerate(TIERS)]
-    own = met.groupBy(*[F.col(c).alias(f"_o_{c}") for c in asked.columns]).agg(*counted)
-    x = subjects.join(own, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in asked.columns]), "left")
+    x = subjects.join(met.groupBy("s_row").agg(*counted), "s_row", "left")
     for i, (_, geography, days) in enumerate(TIERS):
         keys = ["s_property_type", f"s_{geography}", "s_valuation_date"]
         x = x.join(tier_count(subjects, candidates, geography, days).withColumnRenamed("n", f"_n{i}"), keys, "left")
@@ -265,7 +270,7 @@ def find_comparables(subjects: DataFrame, candidates: DataFrame, min_usable: int
     where a tier's join puts them, as narrow rows; only the max_returned best meet their other columns again. Candidates and the
     tiers chosen are written, as each tier reads them.
     """
-    candidates = written(usable_candidates(candidates))
+    candidates = written(usable_candidates(candidates.select(*[f"c_{c}" for c in SEARCHED])))
     if "s_row" not in subjects.columns:
         subjects = written(subjects.withColumn("s_row", F.monotonically_increasing_id()))
     chosen = written(choose_tiers(subjects, candidates, min_usable).withColumn("_many", F.col("candidate_count") > FEW_CANDIDATES))
