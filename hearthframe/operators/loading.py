@@ -95,6 +95,27 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+class NotFound(LookupError):
+    """No batch of that id."""
+
+
+def find_batch(store: Store, batch_id: int | None = None, batch_uuid: str | None = None) -> DataFrame:
+    """The import batch of an id, else of a uuid, as a table of one row; NotFound if there is none, ValueError if neither is told."""
+    if batch_id is None and batch_uuid is None:
+        raise ValueError("a batch is told by batch_id or batch_uuid")
+    found = store.read("import_batches") if store.has("import_batches") else None
+    if found is not None:
+        found = found.where(F.col("id") == batch_id if batch_id is not None else F.col("batch_uuid") == batch_uuid)
+    if found is None or found.isEmpty():
+        raise NotFound(f"batch {batch_id if batch_id is not None else batch_uuid} not found")
+    return found
+
+
+def known_fingerprints(store: Store, plan: DataFrame) -> DataFrame:
+    """The rows of plan whose batch_fingerprint is loaded already."""
+    return plan.join(store.read("import_batches").select("batch_fingerprint").distinct(), "batch_fingerprint", "left_semi") if store.has("import_batches") else plan.limit(0)
+
+
 def with_staging_ids(issues: DataFrame, staged: DataFrame) -> DataFrame:
     """issues (batch_id, mls_number, ..) with staging_sale_id, the id of the staged row of their number and batch; null if there is none."""
     ids = staged.select("batch_id", "mls_number", F.col("id").alias("staging_sale_id"))

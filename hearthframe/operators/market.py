@@ -33,6 +33,12 @@ PREMIUMS = {
 #: Columns whose nulls are a group of their own in the benchmark.
 CATEGORIES = ("neighborhood", "house_type", "style", "garage_type", "season", "region", "basement_type")
 
+# What the legacy table holds where a source has nothing, texts, whole numbers and fractions, and the most characters of a text.
+LEGACY_TEXTS = {"mls_number": "none", "neighborhood": "none", "region": "none", "house_type": "none", "garage_type": "none", "address": "none", "basement_type": "none", "season": "Unknown", "style": "none", "type": "none"}
+LEGACY_WHOLE = {"bedrooms": 0, "sqft": 0, "built_year": 0, "age": 0, "dom_days": 0, "list_price": 0, "sold_price": 0}
+LEGACY_FRACTIONS = {"bathrooms": 1.0, "lot_size": 0.0, "latitude": 0.0, "longitude": 0.0, "sell_list_ratio": 1.0}
+LEGACY_MOST_CHARS = 255
+
 
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(v) for kv in values.items() for v in kv])
@@ -167,6 +173,18 @@ def rental_income(rows: DataFrame) -> DataFrame:
     return x.withColumn("net_monthly", (F.col("rent") - F.col("expenses")).cast("decimal(12,2)")).withColumn("net_annual", (F.col("net_monthly") * 12).cast("decimal(14,2)"))
 
 
+def legacy_filled(rows: DataFrame) -> DataFrame:
+    """rows in the shape of the legacy table: columns that are missing or null take their default, numbers that cannot be read are 0, whole
+    ones lose their fraction, texts are cut to 255 characters. A listing date that is missing stays null, as none may be invented."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    text = {c: F.coalesce(F.substring(have(c).cast("string"), 1, LEGACY_MOST_CHARS), F.lit(v)) for c, v in LEGACY_TEXTS.items()}
+    read = lambda c, v: F.when(have(c).isNull(), F.lit(float(v))).otherwise(F.coalesce(have(c).cast("string").try_cast("double"), F.lit(0.0)))
+    whole = {c: read(c, v).cast("long") for c, v in LEGACY_WHOLE.items()}
+    fractions = {c: read(c, v) for c, v in LEGACY_FRACTIONS.items()}
+    made = text | whole | fractions | {"listing_date": have("listing_date").try_cast("date")}
+    return rows.select(*[c for c in rows.columns if c not in made], *[v.alias(c) for c, v in made.items()])
+
+
 def keep_last(rows: DataFrame, *keys: str, order: str = "_ord") -> DataFrame:
     """The last row of each key; nulls of a key are one group."""
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))

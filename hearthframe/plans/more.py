@@ -12,7 +12,7 @@ from ..functions.shared import shared_folder
 from ..operators import backtest, comparables, ingestion, listings, loading, market, models, reports, storage
 from ..operators.commits import Store
 from ..sources import tables as T
-from .queries import _KEYS, _METRICS, _SB, CASES, COMPS, HOUSING, PREMIUM, SALES, SPLIT, VALUED, _fade, _json_sha, _searched, _split, query, rdp
+from .queries import _KEYS, _METRICS, _SB, CASES, COMPS, HOUSING, ORACLE_SQL, PREMIUM, SALES, SPLIT, VALUED, _fade, _json_sha, _searched, _split, query, rdp
 
 _BATHS = "({0}.full_bathrooms + {0}.half_bathrooms * 0.5::DOUBLE)"
 _PARTS = {
@@ -387,6 +387,92 @@ def ml_02(spark, d):
     return models.compare(_split(spark, d), trees=20, rounds=20)
 
 
+@query("ml_03_extra_trees")
+def ml_03(spark, d):
+    """Extremely randomised trees on the test rows; fitted models have no SQL."""
+    return market.regression_metrics(models.tree_predictions(_split(spark, d), "extra_trees", trees=8, depth=7), "model")
+
+
+@query("ml_04_leafwise_boosting")
+def ml_04(spark, d):
+    return market.regression_metrics(models.tree_predictions(_split(spark, d), "leafwise_boosting", rounds=8, leaves=15, rate=0.4, patience=3), "model")
+
+
+@query("agg_26_models_by_error", f"SELECT model, mae, CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS rank FROM ({ORACLE_SQL['q_11_benchmark']})")
+def agg_26(spark, d):
+    return market.best_model(market.benchmark(_split(spark, d))).select("model", "mae", F.col("rank").cast("int").alias("rank"))
+
+
+@query("snk_12_benchmark_files", f"SELECT model, CAST(n AS VARCHAR) AS n, CAST(CAST(mae AS DECIMAL(18,2)) AS VARCHAR) AS mae, CAST(CAST(medae AS DECIMAL(18,2)) AS VARCHAR) AS medae FROM ({ORACLE_SQL['q_11_benchmark']})")
+def snk_12(spark, d):
+    folder = _fresh(spark)
+    reports.write_benchmark(_split(spark, d), folder)
+    return T.read_csv(spark, f"{folder}/metrics").select("model", "n", "mae", "medae")
+
+
+# -- sources and sinks: what is written from the sales is read back --------------------------------------------------
+def _fresh(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+_ROW = "mls_number, address, neighbourhood, CAST(sold_price AS VARCHAR) AS sold_price, CAST(sold_date AS VARCHAR) AS sold_date, style"
+
+
+@query("src_09_csv_scan", f"WITH {SALES} SELECT {_ROW}, 'a \"quoted\", word' || chr(10) || 'line' AS note FROM sales")
+def src_09(spark, d):
+    folder = _fresh(spark)
+    v = T.sales(spark, d).select("mls_number", "address", "neighbourhood", "sold_price", "sold_date", "style", F.lit('a "quoted", word\nline').alias("note"))
+    v.write.csv(folder, header=True, escape='"', emptyValue="")
+    return T.read_csv(spark, folder)
+
+
+@query("src_10_json_scan", f"WITH {SALES} SELECT mls_number, address, neighbourhood, CAST(living_area_sqft AS BIGINT) AS living_area_sqft FROM sales")
+def src_10(spark, d):
+    folder = _fresh(spark)
+    v = T.sales(spark, d).select("mls_number", "address", "neighbourhood", "living_area_sqft", (F.col("_ord") % 64).alias("k"))
+    lists = v.groupBy("k").agg(F.to_json(F.collect_list(F.struct("mls_number", "address", "neighbourhood", "living_area_sqft"))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return T.read_json(spark, folder).select("mls_number", "address", "neighbourhood", "living_area_sqft")
+
+
+@query("src_12_text_pages", f"WITH {SALES} SELECT CAST(row_number() OVER (PARTITION BY _ord % 64 ORDER BY mls_number) AS INTEGER) AS page_number, mls_number || ' ' || address AS text FROM sales")
+def src_12(spark, d):
+    """Text files of a folder, told by their extension, cut into pages; a file beside them that is no text is not read."""
+    folder = _fresh(spark)
+    v = T.sales(spark, d).select((F.col("_ord") % 64).alias("k"), F.concat_ws(" ", "mls_number", "address").alias("t"))
+    v.groupBy("k").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("t")), lambda t: F.concat(F.lit("Page "), t, F.lit("\n")))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    v.limit(10).write.mode("append").csv(folder)
+    return T.read_pages(spark, folder).select("page_number", F.regexp_replace("text", r"\s+$", "").alias("text"))
+
+
+@query("snk_10_append_once", f"WITH {SALES} SELECT mls_number, sold_price FROM sales")
+def snk_10(spark, d):
+    store, v = Store(spark, _fresh(spark)), T.sales(spark, d).select("mls_number", "sold_price", "_ord")
+    for rows in (v.where("_ord % 3 = 0"), v, v.where("_ord % 2 = 0")):
+        store.append_once(rows.drop("_ord"), "sales", "mls_number")
+    return store.read("sales")
+
+
+@query("jn_06_known_batches", f"WITH {_LOADED} SELECT batch_key FROM safe")
+def jn_06(spark, d):
+    plan = T.staged(spark, d).select(F.col("batch_id").alias("batch_key"), F.sha2(F.col("batch_id").cast("string"), 256).alias("batch_fingerprint")).distinct()
+    return loading.known_fingerprints(_loaded(spark, d), plan).select("batch_key")
+
+
+@query("q_03_case_notes", f"WITH {CASES} SELECT mls_number, concat_ws('|', CASE WHEN tier_widened THEN 'geographic_or_temporal_widening' END, CASE WHEN extreme_ppsf_excluded THEN 'extreme_ppsf_excluded' END) AS warnings, concat_ws('|', CASE WHEN bedrooms_total IS NULL THEN 'bedrooms_total' END, CASE WHEN style IS NULL THEN 'style' END, 'garage_type', CASE WHEN basement_type IS NULL THEN 'basement_type' END) AS missing FROM cases JOIN (SELECT mls_number, bedrooms_total, style, basement_type FROM cand) USING (mls_number)")
+def q_03_notes(spark, d):
+    return backtest.cases(T.sales(spark, d)).select("mls_number", F.array_join("warnings", "|").alias("warnings"), F.array_join("missing_subject_fields", "|").alias("missing"))
+
+
+@query("prj_16_legacy_fill", f"""WITH {SALES}, x AS (SELECT mls_number, neighbourhood AS neighborhood, repeat(address, 20) AS address, CASE _ord % 5 WHEN 0 THEN NULL WHEN 1 THEN 'two' ELSE CAST(bedrooms_total AS VARCHAR) || '.7' END AS bedrooms, CASE WHEN _ord % 7 <> 0 THEN CAST(full_bathrooms AS DOUBLE) END AS bathrooms, sold_price, sold_date FROM sales)
+SELECT mls_number, coalesce(neighborhood, 'none') AS neighborhood, substr(address, 1, 255) AS address, CASE WHEN bedrooms IS NULL THEN 0 WHEN bedrooms = 'two' THEN 0 ELSE CAST(substr(bedrooms, 1, 1) AS BIGINT) END AS bedrooms, coalesce(bathrooms, 1.0::DOUBLE) AS bathrooms, CAST(floor(sold_price) AS BIGINT) AS sold_price, 1.0::DOUBLE AS sell_list_ratio, 'Unknown' AS season, CASE WHEN month(sold_date) <> 5 THEN sold_date END AS listing_date FROM x""")
+def prj_16(spark, d):
+    k = F.col("_ord")
+    bedrooms = F.when(k % 5 == 0, None).when(k % 5 == 1, "two").otherwise(F.concat(F.col("bedrooms_total").cast("string"), F.lit(".7")))
+    x = T.sales(spark, d).select("mls_number", F.col("neighbourhood").alias("neighborhood"), F.repeat("address", 20).alias("address"), bedrooms.alias("bedrooms"), F.when(k % 7 != 0, F.col("full_bathrooms").cast("double")).alias("bathrooms"), "sold_price", F.when(F.month("sold_date") != 5, F.col("sold_date").cast("string")).alias("listing_date"))
+    return market.legacy_filled(x).select("mls_number", "neighborhood", "address", "bedrooms", "bathrooms", "sold_price", "sell_list_ratio", "season", "listing_date")
+
+
 @query("src_14_synthetic_sales")
 def src_14(spark, d):
     return T.synthetic_sales(spark, 10_000)

@@ -25,7 +25,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(path, page_number, text): flat text files of a folder cut at "Page "."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "Page ")).alias("page_number", "text")).where(F.trim("text") != "")
 
 
