@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NO_ID, checkpoint, components, id_key, small_side, string_or_empty
+from .common import BROADCAST_ROWS, NO_ID, checkpoint, components, id_key, string_or_empty
 
 #: Times that keys are refined by the rests of their lines.
 REFINE = 2
 #: Longs of bits, a power of two, by which lines are told apart before their distance is computed.
 PARITY = 4
 SALTS = 16
+#: Rows of bits, and longs in each, powers of two, by which most rows without a wanted key are told where the keys are too many to broadcast.
+SLOTS, WORDS = 1 << 19, 4
 
 
 def bounded_edit_distance(a: Column, b: Column, tau: int) -> Column:
@@ -130,19 +132,48 @@ def _pairs(rows: DataFrame, tau: int) -> DataFrame:
     )
 
 
+def probably_among(rows: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """rows whose hash `name` is among those of keys, and a share of the others, by a broadcast of fixed size."""
+    slot, word = (lambda c: c.bitwiseAND(SLOTS - 1)), (lambda c: F.shiftright(c, SLOTS.bit_length() - 1).bitwiseAND(WORDS - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, (SLOTS * WORDS).bit_length() - 1).bitwiseAND(63).cast("int"))
+    k = F.col(name)
+    marks = [F.coalesce(F.bit_or(F.when(word(k) == i, bit(k))), F.lit(0).cast("long")).alias(f"_w{i}") for i in range(WORDS)]
+    bits = checkpoint(keys.select(name).groupBy(slot(k).alias("_slot")).agg(*marks))
+    mark = F.col("_w0")
+    for i in range(1, WORDS):
+        mark = F.when(word(k) == i, F.col(f"_w{i}")).otherwise(mark)
+    return rows.withColumn("_slot", slot(k)).join(F.broadcast(bits), "_slot").where(mark.bitwiseAND(bit(k)) != 0).select(*rows.columns)
+
+
+def _under(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows under one of these distinct keys. Where these are too many to broadcast, only rows that bits do not exclude are shuffled with their lines."""
+    keys = checkpoint(keys)
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), "key", "left_semi")
+    # not a semi join, as the optimizer would move it before the bits
+    return probably_among(rows, "key", keys).join(keys, "key")
+
+
 def _live(rows: DataFrame) -> DataFrame:
     """rows, signed, under keys that hold two different lines, one of them indexed; told by two numbers a key."""
     keys = rows.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("probe").alias("p")).where("a != b and p = 0").select("key")
-    keys = checkpoint(keys)
-    return rows.join(small_side(keys, keys.count()), "key", "left_semi")
+    return _under(rows, keys)
 
 
 def _single(rows: DataFrame) -> DataFrame:
     """rows without the keys that hold the same lines, indexed and probing, as a lesser key, and so pair the same."""
     members = rows.select("key", "probe", "h1", "h2").distinct()
     sums = [F.bit_xor(F.xxhash64(F.lit(seed), "h1", "h2", "probe")).alias(f"x{seed}") for seed in (1, 2)]
-    keys = checkpoint(members.groupBy("key").agg(*sums).groupBy("x1", "x2").agg(F.min("key").alias("key")).select("key"))
-    return rows.join(small_side(keys, keys.count()), "key", "left_semi")
+    return _under(rows, members.groupBy("key").agg(*sums).groupBy("x1", "x2").agg(F.min("key").alias("key")).select("key"))
+
+
+def once(lines: DataFrame) -> DataFrame:
+    """lines with the commonest ones, as many as may be broadcast, only in their least document; so each is signed once, not as often as it occurs."""
+    counts = checkpoint(lines.groupBy("h1", "h2").agg(F.min("doc").alias("_least"), F.count("*").alias("_n")).where("_n > 1"))
+    least = 2
+    while counts.where(F.col("_n") >= least).count() > BROADCAST_ROWS:
+        least *= 2
+    return lines.join(F.broadcast(counts.where(F.col("_n") >= least).drop("_n")), ["h1", "h2"], "left").where("_least is null or doc = _least").select(*lines.columns)
 
 
 def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
@@ -153,7 +184,7 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     if min_chars < 4 * (tau + 1):
         raise ValueError("min_chars must be at least 4 * (tau + 1)")
     rest = F.concat(F.expr("substring(old, 1, at - 1)"), F.expr("substring(old, at + width)")).alias("rest")
-    rows = _live(signed(lines, "line", tau, min_chars)).groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
+    rows = _live(signed(once(lines), "line", tau, min_chars)).groupBy("key", "probe", "at", "width", "line", "h1", "h2").agg(F.min("doc").alias("owner"))
     rows = _single(checkpoint(rows)).withColumns({"old": F.col("line"), "bits": bigram_parity(F.col("line"))})
     for _ in range(REFINE):
         rows = checkpoint(rows.select("owner", "h1", "h2", "bits", "line", "key", rest).distinct())
@@ -197,10 +228,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc, cut, taken, first_, tagged_ = (mark + n for n in ("doc", "lines", "gone", "first", "tagged"))
     docs, ranks = documents_of(docs.select(*kept), id_col, text_col, doc)
     base = docs.withColumn(cut, F.split(string_or_empty(text_col), "\n", -1))
-    lines = base.select(F.col(doc).alias("doc"), F.explode(cut).alias("line")).where(F.char_length("line") >= min_chars)
-    lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(17))})
 
-    links = checkpoint(linked_lines(lines, tau, min_chars))
+    def lines_of(array: Column) -> DataFrame:
+        lines = base.select(F.col(doc).alias("doc"), F.explode(array).alias("line")).where(F.char_length("line") >= min_chars)
+        return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(17))})
+
+    lines = lines_of(F.col(cut))
+    links = checkpoint(linked_lines(lines_of(F.array_distinct(cut)), tau, min_chars))
     if links.isEmpty():
         near = None
     else:
@@ -217,6 +251,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if (n := shared.count()) <= BROADCAST_ROWS:
         met = lines.join(F.broadcast(shared), ["h1", "h2"])
     else:  # a line that a third of all documents have is spread over the salts
+        lines = probably_among(lines, "h1", shared)
         salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
     goes = ~((F.col("first") == F.col("doc")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
