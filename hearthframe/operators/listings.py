@@ -159,6 +159,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id()) if "row" not in rows.columns else rows
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """texts over as many tasks as a shuffle has; small in bytes, they would be few, while each row takes long."""
+    session = texts.sparkSession
+    return texts.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+
+
 def side_by_side(pages: DataFrame, this_year: int, aliases: dict[str, str], names: tuple[str, ...]) -> DataFrame:
     """Listings of side-by-side pages (path, page_number, text): a block of 1,500 characters from each address on.
 
@@ -166,16 +172,18 @@ def side_by_side(pages: DataFrame, this_year: int, aliases: dict[str, str], name
     commonest year of the page's numbers.
     """
     t = F.col("text")
-    x = pages.withColumn("_numbers", F.regexp_extract_all(F.array_join(F.regexp_extract_all(t, F.lit(r"MLS[^\n]*"), F.lit(0)), " "), F.lit(r"\b20\d{7}\b"), F.lit(0)))
+    x = spread(pages).withColumn("_numbers", F.regexp_extract_all(F.array_join(F.regexp_extract_all(t, F.lit(r"MLS[^\n]*"), F.lit(0)), " "), F.lit(r"\b20\d{7}\b"), F.lit(0)))
     clean = lambda m: F.trim(F.regexp_replace(m, r"\s+", " "))
     listed = F.filter(F.transform(matches(t, ADDRESS), lambda m: F.struct(m["start"].alias("start"), clean(m["match"]).alias("address"))), lambda m: (m["address"] != "") & ~F.contains(m["address"], F.lit("Winnipeg Regional Real Estate Board")))
     x = x.select("path", "page_number", "text", "_numbers", F.posexplode(listed).alias("position", "_m")).withColumns({"address": F.col("_m.address"), "_start": F.col("_m.start")})
-    x = x.withColumns({"block": F.substring(t, F.col("_start"), F.lit(BLOCK_CHARS)), "_own": F.get("_numbers", F.col("position"))})
     near = F.substring(t, F.greatest(F.col("_start") - 300, F.lit(1)), F.least(F.col("_start") - 1, F.lit(300)) + 1200)
-    b, p, lot = F.col("block"), prices(F.col("block")), r"(?i)Lot\s*Size[:\s]+(\d+)\s*[xX]\s*(\d+)"
+    # a generator's columns are made once, where plain ones would be made again at each of their many uses
+    x = x.select("*", F.inline(F.array(F.struct(F.substring(t, F.col("_start"), F.lit(BLOCK_CHARS)).alias("block"), near.alias("_near"), F.get("_numbers", F.col("position")).alias("_own")))))
+    x = x.select("*", F.inline(F.array(F.struct(prices(F.col("block")).alias("_prices"), plain_words(F.col("address"), F.col("block"), t).alias("_words")))))
+    near, b, p, lot = F.col("_near"), F.col("block"), F.col("_prices"), r"(?i)Lot\s*Size[:\s]+(\d+)\s*[xX]\s*(\d+)"
     year = commonest(F.transform("_numbers", lambda m: F.substring(m, 1, 4).cast("int")))
     parked = found(b, r"(?i)(attached|detached|double|single|pad|rear|plug|carport)[^\n]{0,50}", 0)
-    place = F.coalesce(place_by_dictionary(plain_words(F.col("address"), b, t), aliases, names), F.lit("Loose Area"))
+    place = F.coalesce(place_by_dictionary(F.col("_words"), aliases, names), F.lit("Loose Area"))
     list_price, sold_price = F.get(p, F.lit(0)), F.get(p, F.lit(1))
     return x.select(
         "path", "page_number", "position", F.coalesce("_own", surrogate_mls("address")).alias("mls_number"), F.when(F.col("_own").isNotNull(), F.substring("_own", 1, 4).cast("int")).otherwise(year).alias("mls_year_hint"), "address", place.alias("neighborhood"),
