@@ -122,13 +122,13 @@ HEADERS = {
     "Date": "sold_date", "DOM": "dom", "Ty": "property_type", "Style": "style", "YrBt": "year_built", "SqFt": "living_area_sqft",
 }
 PRIVATE_LABELS = ("remarks", "dir/gps", "gds incl", "gds excl", "rnt eqp", "legal", "add lgl", "site influ", "features")
-LABEL = r"^([A-Za-z][A-Za-z0-9 /®#.\-]*?):\s*(.*)$"
+LABEL = r"^([A-Za-z][A-Za-z0-9 /®#.\-]*):\s*(.*)$"
 PAGE = ("file", "page_number")
 
 
 def cleaned_fragments(fragments: DataFrame) -> DataFrame:
     """(file, page_number, y, x0, x1, text): text stripped, blanks gone, places at one decimal."""
-    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    text = F.btrim("text", F.lit(" \t\n\x0b\f\r"))
     return fragments.select(*PAGE, *[F.round(c, 1).alias(c) for c in ("y", "x0", "x1")], text.alias("text")).where("text != ''")
 
 
@@ -189,16 +189,23 @@ def flat_pages(fragments: DataFrame) -> DataFrame:
 def labels(lines: str) -> Column:
     """map<label, value> of 'Label: value' lines; a bare label takes the next line unless that is a label too. Private labels go; of a repeated label the last value counts."""
     is_label = lambda x: x.rlike(LABEL)
-    at = F.transform(lines, lambda x, i: F.struct(F.trim(F.regexp_extract(x, LABEL, 1)).alias("k"), F.trim(F.regexp_extract(x, LABEL, 2)).alias("v"), is_label(x).alias("is"), F.get(F.col(lines), i + 1).alias("next")))
+    at = F.transform(lines, lambda x, i: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, LABEL, 2)).alias("v"), is_label(x).alias("is"), F.get(F.col(lines), i + 1).alias("next")))
     pairs = F.transform(F.filter(at, lambda p: p["is"]), lambda p: F.struct(p["k"].alias("k"), F.when((p["v"] == "") & p["next"].isNotNull() & ~is_label(p["next"]), F.trim(p["next"])).otherwise(p["v"]).alias("v")))
     pairs = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*PRIVATE_LABELS))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+
+    def last_ones(p: Column) -> Column:
+        keys = F.array_distinct(F.transform(p, lambda x: x["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(p, lambda x: x["k"] == k), -1)["v"]))
+
+    # an array of one, so that the pairs are made once a page and not once a key
+    return F.get(F.transform(F.array(pairs), last_ones), F.lit(0))
 
 
 def client_full_records(fragments: DataFrame) -> DataFrame:
     """The record of each client-full page with a text layer and a number; private labels never come out."""
-    pages = flat_pages(fragments).where(F.col("n_chars") >= LEAST_PAGE_CHARS).withColumns({"kv": labels("lines"), "flat": F.array_join("lines", "\n")})
+    pages = flat_pages(fragments).where(F.col("n_chars") >= LEAST_PAGE_CHARS)
+    # a generator's columns are made once, where plain ones would be made again at each of their many uses
+    pages = pages.select("*", F.inline(F.array(F.struct(labels("lines").alias("kv"), F.array_join("lines", "\n").alias("flat")))))
     v = lambda n: F.try_element_at("kv", F.lit(n))
     part = lambda x, pattern, group=1: F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
     place = r"(?i)^(\d+[^,]*?),?\s+Winnipeg\s+(R\d[A-Z]\s?\d[A-Z]\d)"
