@@ -161,10 +161,11 @@ def _live(rows: DataFrame) -> DataFrame:
 
 
 def _single(rows: DataFrame) -> DataFrame:
-    """rows without the keys that hold the same lines, indexed and probing, as a lesser key, and so pair the same."""
+    """_live() rows without the keys that hold the same lines, indexed and probing, as a lesser key, and so pair the same; in one semi join."""
     members = rows.select("key", "probe", "h1", "h2").distinct()
     sums = [F.bit_xor(F.xxhash64(F.lit(seed), "h1", "h2", "probe")).alias(f"x{seed}") for seed in (1, 2)]
-    return _under(rows, members.groupBy("key").agg(*sums).groupBy("x1", "x2").agg(F.min("key").alias("key")).select("key"))
+    live = members.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("probe").alias("p"), *sums).where("a != b and p = 0")
+    return _under(rows, live.groupBy("x1", "x2").agg(F.min("key").alias("key")).select("key"))
 
 
 def once(lines: DataFrame) -> DataFrame:
@@ -188,8 +189,8 @@ def linked_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     rows = _single(checkpoint(rows)).withColumns({"old": F.col("line"), "bits": bigram_parity(F.col("line"))})
     for _ in range(REFINE):
         rows = checkpoint(rows.select("owner", "h1", "h2", "bits", "line", "key", rest).distinct())
-        rows = _single(checkpoint(_live(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))))
-    pairs = _pairs(rows.select("key", "probe", "owner", "h1", "h2", "bits", "line").distinct(), tau)
+        rows = _single(signed(rows.withColumnRenamed("rest", "old"), "old", tau, 1, "key"))
+    pairs = _pairs(checkpoint(rows.select("key", "probe", "owner", "h1", "h2", "bits", "line").distinct()), tau)
     return pairs.dropDuplicates(["u", "v"]).where(bounded_edit_distance(F.col("x"), F.col("y"), tau) <= tau).select("u", "v")
 
 

@@ -32,3 +32,22 @@ def test_links_and_lines_are_the_same_without_broadcasts(spark, monkeypatch):
     assert sum(x[4] for x in want) > 100
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 5)
     assert rows() == want
+
+
+def test_keys_are_refined_by_one_join_a_round(spark, monkeypatch):
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh ") for _ in range(60))
+    lines = hashed(spark.createDataFrame([(i, base[: (k := r.randrange(60))] + r.choice("xyz") + base[k + 1 :]) for i in range(60)], "doc long, line string"))
+    made, under = [], line_dedup._under
+
+    def counted(rows, keys):
+        out = under(rows, keys)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_under", counted)
+    found = {tuple(sorted((x.u.h1, x.v.h1))) for x in line_dedup.linked_lines(lines, 2, 12).collect()}
+    alike = {x.h1 for x in lines.collect()}
+    assert len(found) == len(alike) * (len(alike) - 1) // 2  # each differs from base by one replaced character
+    # before, a round put out the rows under all live keys, and then once more those under one of the keys that hold the same lines
+    assert len(made) == 2 + line_dedup.REFINE
