@@ -146,7 +146,7 @@ class Store:
             return counted.number(lambda: self.spark.read.parquet(f"{self.root}/{state.tables[table]['folders'][-1]}").count())
 
     def with_ids(self, rows: DataFrame, table: str, id_col: str = "id") -> DataFrame:
-        """rows with ids that follow the table's largest one without a gap, written, so that they stay when tasks run again.
+        """rows with ids that follow the table's largest one without a gap and stay when tasks run again, as the rows are written.
 
         Ids follow the order of partitions: each one's rows are counted and numbered from where the ones before it end.
         """
@@ -188,11 +188,11 @@ def _merged(old: dict, new: dict) -> dict:
 
 
 def numbered(rows: DataFrame, id_col: str, first: int = 1) -> DataFrame:
-    """rows with dense ids from `first`, by partition; written, so that ids stay the same however often tasks run."""
+    """rows with dense ids from `first`, by partition; told by rows that are written, so that ids stay the same however often tasks run."""
     fixed = written(rows.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
     from pyspark.sql import Window
 
     sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
     before = sizes.select("_part", "_start", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
     at = F.col("_before") + F.col("_place") - F.col("_start") + first
-    return written(fixed.join(F.broadcast(before), "_part").withColumn(id_col, at.cast("long")).select(*[c for c in rows.columns if c != id_col], id_col))
+    return fixed.join(F.broadcast(before), "_part").withColumn(id_col, at.cast("long")).select(*[c for c in rows.columns if c != id_col], id_col)

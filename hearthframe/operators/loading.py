@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import written
 from . import ingestion
 from .commits import Overtaken, Store, numbered
-from .storage import ENUMS, Refused, stored_rows
+from .storage import COLUMNS, ENUMS, Refused, stored_rows
 
 #: Files whose bytes Spark can hold in one row.
 MOST_BYTES = (1 << 31) - 1
@@ -129,8 +129,11 @@ def load_batches(store: Store, plan: DataFrame, staged: DataFrame, issues: DataF
     issues: batch_key, mls_number, severity, reason_code and others. outcome: refused (not safe), duplicate (its fingerprint is loaded, or comes before in
     the plan), else the status that it has after the load, review_required where an issue other than a conflict is unresolved, or staged. Ids follow
     the tables' largest ones, rows in order of their numbers. Without `authorized` nothing is written and no id is given. A writer that
-    overtakes makes the whole load be planned anew; a failure leaves nothing to see.
+    overtakes makes the whole load be planned anew; a failure leaves nothing to see. What is given is computed once, of staged only what is stored.
     """
+    stored_rows(staged.limit(0), "staging_sales")  # names alone, before anything is written
+    plan, issues = written(plan), written(issues)
+    staged = written(staged.join(plan.where("safe_to_write").select("batch_key").distinct(), "batch_key", "left_semi").select("batch_key", *[c for c in staged.columns if c in COLUMNS["staging_sales"] and c != "batch_id"]))
     if not issues.where(~F.col("severity").isin(*ENUMS["import_issues", "severity"]) | F.col("severity").isNull()).isEmpty():
         raise Refused("unknown issue severity")
     while True:
@@ -157,8 +160,8 @@ def load_batches(store: Store, plan: DataFrame, staged: DataFrame, issues: DataF
         if not authorized or fresh.isEmpty():
             return result
         kept = numbered(keyed.orderBy("batch_id", "mls_number"), "id", top("staging_sales"))
-        linked = with_staging_ids(told.drop("batch_key"), kept)
-        linked = numbered(linked.orderBy("batch_id", "mls_number", "severity", "reason_code"), "id", top("import_issues"))
+        told = numbered(told.drop("batch_key").orderBy("batch_id", "mls_number", "severity", "reason_code"), "id", top("import_issues"))
+        linked = with_staging_ids(told, kept)
         try:
             store.commit(appends={"import_batches": status.drop("batch_key"), "staging_sales": kept, "import_issues": linked}, read_at=now, notes={"what": "load"})
             return result

@@ -199,3 +199,19 @@ def test_landing_commits_each_fingerprint_once(spark, tmp_path):
         load_landing_into(store, "arrived", str(tmp_path / "in"), "batch_fingerprint string, mls_number string", str(tmp_path / checkpoint)).awaitTermination()
     assert sorted((r.batch_fingerprint, r.mls_number or "") for r in store.read("arrived").collect()) == [("f", ""), ("f", ""), ("f", "1"), ("f", "2"), ("g", "3")]
     assert store.versions() == [1, 2]
+
+
+def test_a_load_computes_what_it_is_given_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    plan, staged, issues = parts(spark)
+    schema = staged.schema
+
+    def counted(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    given = spark.createDataFrame(staged.rdd.mapPartitions(counted), schema)
+    store = Store(spark, str(tmp_path / "s"))
+    loading.load_batches(store, plan, given, issues, authorized=True)
+    assert seen.value == 5 and store.read("staging_sales").count() == 3  # before, each check, count, sort and join computed all of them again
