@@ -151,7 +151,8 @@ def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, match>>: all matches of a pattern with their starts, from 1, told by the lengths of what lies between."""
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.char_length(x))
-    return F.transform(hits, lambda m, i: F.struct((total(between, i + 1) + total(hits, i) + 1).alias("start"), m.alias("match")))
+    each = lambda x: F.transform(x["hits"], lambda m, i: F.struct((total(x["between"], i + 1) + total(x["hits"], i) + 1).alias("start"), m.alias("match")))
+    return F.get(F.transform(F.array(F.struct(hits.alias("hits"), between.alias("between"))), each), F.lit(0))  # an array of one, so that the text is searched once, not for each match
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -196,9 +197,14 @@ def side_by_side(pages: DataFrame, this_year: int, aliases: dict[str, str], name
 def text_listings(texts: DataFrame, names: tuple[str, ...], suffixes: dict[str, str]) -> DataFrame:
     """Listings of flat texts (path, text): each block lasts from its address to the next one; rejected lines are none."""
     t = F.col("text")
-    x = texts.select("path", "text", F.posexplode(matches(t, ADDRESS)).alias("position", "_m")).withColumn("_next", F.lead("_m.start").over(Window.partitionBy("path").orderBy("position")))
-    block = F.substring(t, F.col("_m.start"), F.coalesce(F.col("_next"), F.char_length(t) + 1) - F.col("_m.start"))
-    x = x.select("path", "position", block.alias("block"), F.trim(F.regexp_replace(F.col("_m.match"), r"\s+", " ")).alias("address"))
+
+    def block(a: Column, m: Column, i: Column) -> Column:
+        long = F.coalesce(F.get(a, i + 1)["start"], F.char_length(t) + 1) - m["start"]
+        return F.struct(F.substring(t, m["start"], long).alias("block"), F.trim(F.regexp_replace(m["match"], r"\s+", " ")).alias("address"))
+
+    # an array of one, so that the matches of a text are found once; what an explode puts out is not made again at each use
+    blocks = F.get(F.transform(F.array(matches(t, ADDRESS)), lambda a: F.transform(a, lambda m, i: block(a, m, i))), F.lit(0))
+    x = spread(texts.select("path", "text")).select("path", F.posexplode(blocks).alias("position", "_m")).select("path", "position", "_m.block", "_m.address")
     low = F.lower("address")
     for word in REJECTED:
         x = x.where(~F.contains(low, F.lit(word)))
