@@ -15,12 +15,17 @@ from ..functions.scalars import rdp, surrogate_mls
 
 # Street words, known terms, keywords and their results, in the order in which they are tried.
 STREETS = "Ave|Avenue|Street|St|Drive|Dr|Road|Rd|Boulevard|Blvd|Lane|Ln|Bay|Crescent|Cres|Place|Pl|Parkway|Way|Trail|Court|Ct"
-ADDRESS = rf"(?i)\d{{1,5}}\s+[A-Za-z0-9 .,'\-]+(?:{STREETS})"
+_BY_LETTER = {a: [w[1:] for w in STREETS.split("|") if w[0] == a] for a in dict.fromkeys(w[0] for w in STREETS.split("|"))}
+#: Words of one first letter are tried together, in their order, and only where such a letter stands.
+ADDRESS = rf"(?i)\d{{1,5}}\s+[A-Za-z0-9 .,'\-]+(?=[{''.join(_BY_LETTER)}])(?:{'|'.join(f'{a}(?:{"|".join(rest)})' for a, rest in _BY_LETTER.items())})"
 STYLES = ("Bungalow", "Two Storey", "One and a Half", "Split-Level", "Bi-Level", "Multi-Level", "Cabin", "Raised Bungalow", "Mobile", "Other")
 TYPES = ("Single Family Detached", "Townhouse", "Condo", "Duplex", "Mobile", "Other")
 GARAGES = {"attached": "Attached", "detached": "Detached", "double": "Double", "single": "Single", "pad": "Pad", "rear": "Rear Drive", "plug": "Plug-In", "carport": "Carport"}
 LEAKAGE = ("bedroom", "bathroom", "electrical", "insulation", "kitchen", "furnace", "wood frame", "frame", "siding", "roof", "garage")
 BASEMENTS = (("crawl",), "Crawl Space"), (("3/4", "three quarter"), "Three Quarter"), (("partial",), "Partial"), (("half",), "Half"), (("walkout",), "Walkout"), (("slab",), "Slab"), (("unfinished",), "Unfinished"), (("finished",), "Finished"), (("none",), "None"), (("full",), "Full")
+BEDS, BATHS, LOT = r"BDA:\s*(\d+)\s*TBD:\s*(\d+)", r"FB:\s*(\d+)\s*HB:\s*(\d+)", r"(?i)Lot\s*Size[:\s]+(\d+)\s*[xX]\s*(\d+)"
+YEARS = r"(?:OL\s*)?/\s*([12][09]\d{2})", r"(?i)(?:Year\s*)?Built[:\s]*([12][09]\d{2})"
+PARKED = r"(?i)(attached|detached|double|single|pad|rear|plug|carport)[^\n]{0,50}"
 REJECTED = (" list", " winnipeg", " regional")
 LEAST_PRICE, LEAST_DOM, MOST_DOM, USUAL_DOM, BLOCK_CHARS, FUZZY_SCORE = 30_000, 1, 180, 14, 1500, 75
 
@@ -35,14 +40,12 @@ def number(text: Column, kind: str = "int") -> Column:
 
 
 def bedrooms(text: Column) -> Column:
-    both = r"BDA:\s*(\d+)\s*TBD:\s*(\d+)"
-    total = found(text, both, 2).cast("int")
-    return F.when(text.rlike(both), F.when(total != 0, total).otherwise(found(text, both).cast("int"))).otherwise(found(text, r"(?i)(\d+)\s*(?:bed|bdrm|bdrms)").cast("int"))
+    total = found(text, BEDS, 2).cast("int")
+    return F.when(text.rlike(BEDS), F.when(total != 0, total).otherwise(found(text, BEDS).cast("int"))).otherwise(found(text, r"(?i)(\d+)\s*(?:bed|bdrm|bdrms)").cast("int"))
 
 
 def bathrooms(text: Column) -> Column:
-    both = r"FB:\s*(\d+)\s*HB:\s*(\d+)"
-    return F.when(text.rlike(both), found(text, both).cast("double") + F.lit(0.5) * found(text, both, 2).cast("double")).otherwise(found(text, r"(?i)(\d+(\.\d+)?)\s*(?:bath|baths)").cast("double"))
+    return F.when(text.rlike(BATHS), found(text, BATHS).cast("double") + F.lit(0.5) * found(text, BATHS, 2).cast("double")).otherwise(found(text, r"(?i)(\d+(\.\d+)?)\s*(?:bath|baths)").cast("double"))
 
 
 def garage(text: Column) -> Column:
@@ -54,14 +57,23 @@ def garage(text: Column) -> Column:
 def year_built(text: Column, this_year: Column | int) -> Column:
     this_year = F.lit(this_year) if isinstance(this_year, int) else this_year
     age = found(text, r"(?i)Age[:\s]*([0-9]{1,3})").cast("int")
-    stated = F.coalesce(found(text, r"(?:OL\s*)?/\s*([12][09]\d{2})"), found(text, r"(?i)(?:Year\s*)?Built[:\s]*([12][09]\d{2})")).cast("int")
+    stated = F.coalesce(*[found(text, p) for p in YEARS]).cast("int")
     return F.coalesce(stated, F.when(age < 150, this_year - age))
 
 
-def basement(text: Column) -> Column:
-    plain = F.lower(text)
+def without_leakage(low: Column) -> Column:
+    """A text in lower case without the words that hold a kind of basement and tell none."""
     for word in LEAKAGE:
-        plain = F.replace(plain, F.lit(word), F.lit(""))
+        low = F.replace(low, F.lit(word), F.lit(""))
+    return low
+
+
+def basement(text: Column) -> Column:
+    return basement_of(without_leakage(F.lower(text)))
+
+
+def basement_of(plain: Column) -> Column:
+    """The kind of basement that a text without_leakage() tells."""
     out = F
     for words, name in BASEMENTS:
         test = F.lit(False)
@@ -81,7 +93,8 @@ def days_on_market(block: Column) -> Column:
     """The commonest number on lines that speak of days on market, else one near such words, else the middle number, else 14."""
     fits = lambda a: F.filter(F.transform(a, lambda x: x.cast("int")), lambda x: (x >= LEAST_DOM) & (x <= MOST_DOM))
     numbers = lambda x: F.regexp_extract_all(x, F.lit(r"\b\d{1,3}\b"), F.lit(0))
-    lines = F.filter(F.split(block, r"\r\n|\n|\r"), lambda x: x.rlike(r"(?i)\b(dom|days on market)\b"))
+    ends = F.replace(F.replace(block, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))  # so that lines are cut at a single character, without a pattern
+    lines = F.filter(F.split(ends, "\n"), lambda x: x.rlike(r"(?i)\b(dom|days on market)\b"))
     near = fits(F.regexp_extract_all(block, F.lit(r"(?i)(?:dom|days on market)[^\n]{0,40}?(\d{1,3})"), F.lit(1)))
     every = F.array_sort(fits(numbers(block)))
     return F.coalesce(commonest(fits(F.flatten(F.transform(lines, numbers)))), F.get(near, F.lit(0)), F.get(every, F.floor(F.size(every) / 2).cast("int")), F.lit(USUAL_DOM))
@@ -102,17 +115,19 @@ def known_terms(text: Column, terms: tuple[str, ...]) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise("Other")
 
 
-def first_term(text: Column, terms: tuple[str, ...], default: str | None = None) -> Column:
-    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(t.lower())), t) for t in terms], F.lit(default))
+def first_term(low: Column, terms: tuple[str, ...], default: str | None = None) -> Column:
+    """The first term that occurs in a text in lower case."""
+    return F.coalesce(*[F.when(F.contains(low, F.lit(t.lower())), t) for t in terms], F.lit(default))
 
 
 def plain_words(*texts: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws(" ", *texts)), r"[^\w\s]", " "), r"\s+", " ")
+    """The texts in lower case, whatever is no letter, digit or underscore turned into one blank. Each is lowered alone, as those of ASCII alone are lowered sooner."""
+    return F.regexp_replace(F.concat_ws(" ", *[F.lower(x) for x in texts]), r"\W+", " ")
 
 
 def place_by_dictionary(text: Column, aliases: dict[str, str], names: tuple[str, ...]) -> Column:
     """The first alias's name, else the longest known name that stands in the text as words; null if none does."""
-    as_words = lambda n: text.rlike(rf"\b\Q{n.lower()}\E\b")
+    as_words = lambda n: F.contains(text, F.lit(n.lower())) & text.rlike(rf"\b\Q{n.lower()}\E\b")
     hits = F.array_compact(F.array(*[F.when(as_words(n), F.struct(F.lit(len(n)).alias("n"), F.lit(-i).alias("at"), F.lit(n).alias("v"))) for i, n in enumerate(names)]))
     return F.coalesce(*[F.when(as_words(a), v) for a, v in aliases.items()], F.array_max(hits)["v"])
 
@@ -148,11 +163,18 @@ def place_by_likeness(rows: DataFrame, text_col: str, names: tuple[str, ...], le
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, match>>: all matches of a pattern with their starts, from 1, told by the lengths of what lies between."""
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.char_length(x))
-    each = lambda x: F.transform(x["hits"], lambda m, i: F.struct((total(x["between"], i + 1) + total(x["hits"], i) + 1).alias("start"), m.alias("match")))
-    return F.get(F.transform(F.array(F.struct(hits.alias("hits"), between.alias("between"))), each), F.lit(0))  # an array of one, so that the text is searched once, not for each match
+    """array<struct<start, match>>: all matches, none empty, of a pattern with their starts, from 1.
+
+    What the pattern matches must not depend on what stands before or after it: then a match starts where its characters first
+    stand behind the last one, as the pattern would match there too, and the text is not searched by the pattern twice.
+    """
+    kind = "struct<at:int,found:array<struct<start:int,match:string>>>"
+
+    def add(acc: Column, m: Column) -> Column:
+        start = F.position(m, text, acc["at"])
+        return F.struct((start + F.char_length(m)).alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), m.alias("match")))).alias("found")).cast(kind)
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.struct(F.lit(1).alias("at"), F.array().alias("found")).cast(kind), add, lambda acc: acc["found"])
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -179,18 +201,24 @@ def side_by_side(pages: DataFrame, this_year: int, aliases: dict[str, str], name
     x = x.select("path", "page_number", "text", "_numbers", F.posexplode(listed).alias("position", "_m")).withColumns({"address": F.col("_m.address"), "_start": F.col("_m.start")})
     near = F.substring(t, F.greatest(F.col("_start") - 300, F.lit(1)), F.least(F.col("_start") - 1, F.lit(300)) + 1200)
     # a generator's columns are made once, where plain ones would be made again at each of their many uses
-    x = x.select("*", F.inline(F.array(F.struct(F.substring(t, F.col("_start"), F.lit(BLOCK_CHARS)).alias("block"), near.alias("_near"), F.get("_numbers", F.col("position")).alias("_own")))))
-    x = x.select("*", F.inline(F.array(F.struct(prices(F.col("block")).alias("_prices"), plain_words(F.col("address"), F.col("block"), t).alias("_words")))))
-    near, b, p, lot = F.col("_near"), F.col("block"), F.col("_prices"), r"(?i)Lot\s*Size[:\s]+(\d+)\s*[xX]\s*(\d+)"
+    once = lambda x, **columns: x.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in columns.items()]))))
+    x = once(x, block=F.substring(t, F.col("_start"), F.lit(BLOCK_CHARS)), _near=near, _own=F.get("_numbers", F.col("position")))
+    b = F.col("block")
+    x = once(x, _low=F.lower(b))
+    # what a pattern matches, empty if it does not
+    said = {f"_{n}": F.regexp_extract(b, p, i) for n, p, i in (("beds", BEDS, 0), ("baths", BATHS, 0), ("parked", PARKED, 0), ("lot", LOT, 0), ("sqft", r"(?i)([\d,]{3,5})\s*(?:sqft|sf|sq ft)", 1), ("year0", YEARS[0], 1))}
+    x = once(x, _prices=prices(b), _words=plain_words(F.col("address"), F.col("_low"), t), _plain=without_leakage(F.col("_low")), **said)
+    x = once(x, _year1=F.when(F.col("_year0") == "", F.regexp_extract(b, YEARS[1], 1)).otherwise(""), _dom=days_on_market(F.col("_near")), _place=place_by_dictionary(F.col("_words"), aliases, names))
+    p, low, parked = F.col("_prices"), F.col("_low"), F.col("_parked")
+    either = lambda said, parse: F.when(F.col(said) != "", parse(F.col(said))).otherwise(parse(b))
     year = commonest(F.transform("_numbers", lambda m: F.substring(m, 1, 4).cast("int")))
-    parked = found(b, r"(?i)(attached|detached|double|single|pad|rear|plug|carport)[^\n]{0,50}", 0)
-    place = F.coalesce(place_by_dictionary(F.col("_words"), aliases, names), F.lit("Loose Area"))
+    built = F.when(F.col("_year0") != "", F.col("_year0").cast("int")).when(F.col("_year1") != "", F.col("_year1").cast("int")).otherwise(year_built(b, this_year))
     list_price, sold_price = F.get(p, F.lit(0)), F.get(p, F.lit(1))
     return x.select(
-        "path", "page_number", "position", F.coalesce("_own", surrogate_mls("address")).alias("mls_number"), F.when(F.col("_own").isNotNull(), F.substring("_own", 1, 4).cast("int")).otherwise(year).alias("mls_year_hint"), "address", place.alias("neighborhood"),
-        list_price.alias("list_price"), sold_price.alias("sold_price"), rdp(sold_price / list_price, 2).alias("sell_list_ratio"), bedrooms(b).alias("bedrooms"), bathrooms(b).alias("bathrooms"), days_on_market(near).alias("dom_days"), basement(b).alias("basement_type"),
-        F.when(parked.isNotNull(), garage(parked)).otherwise("None").alias("garage_type"), year_built(b, this_year).alias("built_year"), first_term(b, TYPES, "Single Family Detached").alias("house_type"), first_term(b, STYLES).alias("style"), number(found(b, r"(?i)([\d,]{3,5})\s*(?:sqft|sf|sq ft)")).alias("sqft"),
-        rdp(found(b, lot).cast("double") * found(b, lot, 2).cast("double") * 0.092903, 2).alias("lot_size"),
+        "path", "page_number", "position", F.coalesce("_own", surrogate_mls("address")).alias("mls_number"), F.when(F.col("_own").isNotNull(), F.substring("_own", 1, 4).cast("int")).otherwise(year).alias("mls_year_hint"), "address", F.coalesce("_place", F.lit("Loose Area")).alias("neighborhood"),
+        list_price.alias("list_price"), sold_price.alias("sold_price"), rdp(sold_price / list_price, 2).alias("sell_list_ratio"), either("_beds", bedrooms).alias("bedrooms"), either("_baths", bathrooms).alias("bathrooms"), F.col("_dom").alias("dom_days"), basement_of(F.col("_plain")).alias("basement_type"),
+        F.when(parked != "", garage(parked)).otherwise("None").alias("garage_type"), built.alias("built_year"), first_term(low, TYPES, "Single Family Detached").alias("house_type"), first_term(low, STYLES).alias("style"), number(F.when(F.col("_sqft") != "", F.col("_sqft"))).alias("sqft"),
+        rdp(found(F.col("_lot"), LOT).cast("double") * found(F.col("_lot"), LOT, 2).cast("double") * 0.092903, 2).alias("lot_size"),
     )
 
 
